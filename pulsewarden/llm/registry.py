@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsewarden.llm import decontaminate
+from pulsewarden.llm import decontaminate, ngram_join
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +15,13 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op6_decontaminate": op6_decontaminate}
+    found = (op2_ngram_join, op6_decontaminate)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
