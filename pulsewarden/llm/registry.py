@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pulsewarden.llm import decontaminate, ngram_join
+from pulsewarden.llm import decontaminate, ngram_join, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +20,14 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).withColumn("toxic", F.col("severity") >= 0.5)
+
+
 def queries() -> dict:
-    found = (op2_ngram_join, op6_decontaminate)
+    found = (op2_ngram_join, op6_decontaminate, op7_toxicity)
     return {f.__name__: f for f in found}
 
 
