@@ -80,7 +80,7 @@ def sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").where(F.col("text").isNotNull()).select("text", "grade")
 
 
-def fit(sampled: DataFrame, *, least_docs: int = 4, penalty: float = 2e-4, rounds: int = 150, refine=None) -> Model:
+def fit(sampled: DataFrame, *, least_docs: int = 4, penalty: float = 1e-3, rounds: int = 100, refine=None) -> Model:
     """Fit on a bounded sample of (text, grade >= 0); its size is the caller's documented parameter.
 
     Accelerated proximal gradient on the mean log-likelihood. refine(grades, has) may turn the grades
@@ -199,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = 8000) -> Model:
     return fit(sample(docs, graded(labels), bound=bound), refine=by_evidence)
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, *, most: float = 0.5, bound: int = 8000) -> DataFrame:
+def keep_clean(docs: DataFrame, labels: DataFrame, *, most: float = 0.6, bound: int = 8000) -> DataFrame:
     """docs whose expected severity is below `most`; columns are unchanged."""
     scored = score(docs, train(docs, labels, bound), keep=tuple(docs.columns), out="__severity")
     return scored.where(F.col("__severity") < most).select(*docs.columns)
