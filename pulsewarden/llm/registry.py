@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsewarden.llm import decontaminate, ngram_join, token_ids, toxicity
+from pulsewarden.llm import decontaminate, ngram_join, token_ids, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,10 +32,14 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).withColumn("toxic", F.col("severity") >= 0.6)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(warc.read(warc.write(_table(spark, sf_dir, "pages"))))
+
+
 def queries() -> dict:
-    found = (op1_token_ids, op2_ngram_join, op6_decontaminate, op7_toxicity)
+    found = (op1_token_ids, op2_ngram_join, op6_decontaminate, op7_toxicity, op8_warc)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_warc": warc.SQL}
