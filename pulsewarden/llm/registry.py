@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsewarden.llm import decontaminate, ngram_join, token_ids, toxicity, warc
+import corpus_pipeline
+from pulsewarden.llm import decontaminate, mixing, ngram_join, token_ids, toxicity, url_filter, warc
+
+#: Target shares of tokens by domain.
+MIXTURE = {"plain": 0.8, "poor": 0.15, "toxic": 0.05}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = mixing.quality_domains(_table(spark, sf_dir, "labels"))
+    return mixing.mix(_table(spark, sf_dir, "documents"), labels, MIXTURE)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
@@ -36,9 +45,14 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(warc.read(warc.write(_table(spark, sf_dir, "pages"))))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return url_filter.Filter(url_filter.RULES).fit(url_filter.labelled_by_rules(pages, url_filter.RULES)).judge(pages)
+
+
 def queries() -> dict:
-    found = (op1_token_ids, op2_ngram_join, op6_decontaminate, op7_toxicity, op8_warc)
-    return {f.__name__: f for f in found}
+    found = (op1_token_ids, op2_ngram_join, op3_mixing, op6_decontaminate, op7_toxicity, op8_warc, op9_url_filter)
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
