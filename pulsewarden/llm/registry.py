@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pulsewarden.llm import decontaminate, mixing, ngram_join, token_ids, toxicity, url_filter, warc
+from pulsewarden.llm import decontaminate, mixing, ngram_join, suffix_dedup, token_ids, toxicity, url_filter, warc
 
 #: Target shares of tokens by domain.
 MIXTURE = {"plain": 0.8, "poor": 0.15, "toxic": 0.05}
@@ -50,8 +50,12 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.Filter(url_filter.RULES).fit(url_filter.labelled_by_rules(pages, url_filter.RULES)).judge(pages)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    found = (op1_token_ids, op2_ngram_join, op3_mixing, op6_decontaminate, op7_toxicity, op8_warc, op9_url_filter)
+    found = (op1_token_ids, op2_ngram_join, op3_mixing, op6_decontaminate, op7_toxicity, op8_warc, op9_url_filter, op10_suffix_dedup)
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
