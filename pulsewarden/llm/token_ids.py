@@ -109,13 +109,23 @@ class Pieces:
         return out, np.diff(bounds) + 1
 
 
+_of_worker: dict[str, Pieces] = {}
+
+
+def _pieces(path: str) -> Pieces:
+    """The worker process's own pieces, which outlive a task."""
+    if path not in _of_worker:
+        _of_worker[path] = Pieces(path)
+    return _of_worker[path]
+
+
 def _tokenise(path: str, end_id: int, file_ids: int):
     """Rows of about file_ids ids: (shard, seq, doc_ids, sizes, ids), in order."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        pieces, shard, seq = Pieces(path), TaskContext.get().partitionId(), 0
+        pieces, shard, seq = _pieces(path), TaskContext.get().partitionId(), 0
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         count = 0
 
