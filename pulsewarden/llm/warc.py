@@ -69,12 +69,13 @@ def read_dictionary(raw: bytes) -> tuple[bytes, int]:
 def train(pages: DataFrame, *, payload_col: str = "html", rows: int = 2000, row_bytes: int = 16384, size: int = 64 << 10) -> bytes:
     """A dictionary of about `size` bytes from a sample of at most `rows` rows, of each `row_bytes` bytes.
 
-    The rows are those whose payload digests hash lowest; only the dictionary's sample is cut, never an
+    The rows are those whose payloads hash lowest, each payload once; hashes are ranked before any payload moves; only the dictionary's sample is cut, never an
     archived record. With too few samples for training the first samples themselves are the dictionary.
     """
     spread = F.xxhash64(payload_col)
     sampled = pages.where(F.octet_length(payload_col) > 0).select(F.substring(F.col(payload_col).cast("binary"), 1, row_bytes).alias("head"), spread.alias("at"))
-    chosen = [bytes(r[0]) for r in sampled.orderBy("at").limit(rows).collect()]
+    lowest = sampled.select("at").orderBy("at").limit(rows).agg(F.max("at")).head()[0]
+    chosen = [bytes(r[0]) for r in sampled.where(F.col("at") <= (lowest or 0)).dropDuplicates(["at"]).orderBy("at").collect()]
     samples = [record(n, f"https://host{n}.example/", head, "0" * 64, None) for n, head in enumerate(chosen)]
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
