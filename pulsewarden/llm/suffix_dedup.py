@@ -12,8 +12,8 @@ can be equal, which leaves about two suffix groups per `length` bytes to look at
    a blind trie for each group that still shares its prefix. Strings that meet in one leaf repeat.
 4. Repeated strings become byte intervals of documents; their union is removed.
 
-Blocks of a gram with very many different blocks are dealt out as single strings by a hash of their ends, so
-that no task holds such a gram whole. Identical blocks are counted before they are shuffled.
+Blocks of a gram with very many different blocks are dealt out in parts, by the distance of their strings from
+the anchor, so that no task holds such a gram whole. Identical blocks are counted before they are shuffled.
 """
 
 from __future__ import annotations
@@ -151,7 +151,13 @@ def repeated(data: bytes, starts: np.ndarray, length: int, shallow: int = SHALLO
 
 
 def _fetch(length: int, split_over: int):
-    """Rows (bucket, gram, block, low, high, bytes) of the blocks asked for in each document."""
+    """Rows (bucket, gram, block, low, high, bytes) of the blocks asked for in each document.
+
+    Equal strings stand equally far before their anchors. So the blocks of a gram with more than split_over
+    of them are dealt out in that many parts by this distance, and if single distances are still too much,
+    by a hash of the string's ends as well.
+    """
+    span = length - max(1, length // 5) + 1
 
     def run(batches):
         for batch in batches:
@@ -162,13 +168,18 @@ def _fetch(length: int, split_over: int):
                 raw = (texts[row].as_py() or "").encode()
                 for w in wanted:
                     at, low, high = w["at"], w["low"], w["high"]
-                    if w["blocks"] <= split_over:
-                        out.append((w["gram"], w["gram"], w["block"], low, high, raw[at - high : at - low + length]))
-                        continue
-                    for back in range(low, high + 1):
-                        one = raw[at - back : at - back + length]
-                        ends = hashlib.blake2b(one[: length // 2] + one[-length // 4 :], digest_size=8, key=back.to_bytes(4, "big")).digest()
-                        out.append((int.from_bytes(ends, "big", signed=True), w["gram"], w["block"], back, back, one))
+                    parts = min(-(-w["blocks"] // split_over), span)
+                    width = -(-span // parts)
+                    for first in range(0, span, width):
+                        near, far = max(low, first), min(high, first + width - 1)
+                        if near > far:
+                            continue
+                        some = raw[at - far : at - near + length]
+                        bucket = w["gram"]
+                        if parts > 1:
+                            ends = some[: length // 2] + some[-length // 4 :] if w["blocks"] > span * split_over else b""
+                            bucket = int.from_bytes(hashlib.blake2b(ends + first.to_bytes(4, "big") + w["gram"].to_bytes(8, "big", signed=True), digest_size=8).digest(), "big", signed=True)
+                        out.append((bucket, w["gram"], w["block"], near, far, some))
                 if len(out) >= 4096:
                     yield _blocks(out)
                     out = []
