@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pulsewarden.plans.queries import SQL, Q
+
 
 def queries() -> dict:
-    return {}
+    return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
