@@ -4,7 +4,7 @@ P(grade <= k) = sigmoid(theta_k - score) for ordered thresholds theta_1 <= theta
 a sum of weights of the features a text has, is shared by all thresholds. Features are the hashed words of
 a text and the hashed first letters of its longer words, each counted once however often it stands. An L1
 penalty keeps the weights of only those features that carry evidence, so very long texts do not gather
-noise. The output is the expected severity, the sum over k of P(grade > k).
+noise; weights are not negative, so that a text without evidence is mild whatever else it says. The output is the expected severity, the sum over k of P(grade > k).
 """
 
 from __future__ import annotations
@@ -61,7 +61,7 @@ def _distinct(hashes: np.ndarray, row: np.ndarray, n: int) -> list[np.ndarray]:
     return [np.unique(hashes[a:b]) for a, b in zip(at[:-1], at[1:])]
 
 
-def sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", bound: int = 8000) -> DataFrame:
+def sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", bound: int = 4000) -> DataFrame:
     """At most `bound` labelled texts of each grade, those whose ids hash lowest: (text, grade).
 
     Rows without id, text or grade are left out; an id that repeats counts once, with its highest grade.
@@ -93,11 +93,14 @@ def fit(sampled: DataFrame, *, least_docs: int = 4, penalty: float = 1e-3, round
     flat, offsets = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
     if len(np.unique(grades)) < 2:
         return Model(np.empty(0, np.uint64), np.empty(0), np.full(1, 60.0))
-    vocabulary, column, seen = np.unique(flat, return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(grades)), np.diff(offsets))
-    often = seen >= least_docs
-    vocabulary, number = vocabulary[often], np.cumsum(often) - 1
-    row, column = row[often[column]], number[column[often[column]]]
+    vocabulary, seen = np.unique(flat, return_counts=True)
+    vocabulary = vocabulary[seen >= least_docs]
+    column = np.searchsorted(vocabulary, flat).astype(np.int32)
+    column[column == len(vocabulary)] = 0
+    often = vocabulary[column] == flat if len(vocabulary) else np.zeros(len(flat), bool)
+    row = np.repeat(np.arange(len(grades), dtype=np.int32), np.diff(offsets))[often]
+    column = column[often]
+    del flat, lists, got, often
     if refine is not None:
         grades = refine(grades, row, column)
     top = int(grades.max())
@@ -133,7 +136,7 @@ def fit(sampled: DataFrame, *, least_docs: int = 4, penalty: float = 1e-3, round
         loss, d_w, d_theta = slope(held_w, held_theta)
         while True:
             new_w = held_w - step * d_w
-            new_w = np.sign(new_w) * np.maximum(np.abs(new_w) - step * penalty, 0)
+            new_w = np.maximum(new_w - step * penalty, 0)
             new_theta = np.maximum.accumulate(held_theta - step * d_theta)
             move_w, move_t = new_w - held_w, new_theta - held_theta
             if slope(new_w, new_theta)[0] <= loss + d_w @ move_w + d_theta @ move_t + (move_w @ move_w + move_t @ move_t) / (2 * step) + 1e-12 or step < 1e-9:
@@ -195,11 +198,11 @@ def by_evidence(grades: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.n
     return np.where(toxic, 1 + (found >= 2) + (found >= 5), 0).astype(np.int64)
 
 
-def train(docs: DataFrame, labels: DataFrame, bound: int = 8000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, bound: int = 4000) -> Model:
     return fit(sample(docs, graded(labels), bound=bound), refine=by_evidence)
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, *, most: float = 0.6, bound: int = 8000) -> DataFrame:
+def keep_clean(docs: DataFrame, labels: DataFrame, *, most: float = 0.6, bound: int = 4000) -> DataFrame:
     """docs whose expected severity is below `most`; columns are unchanged."""
     scored = score(docs, train(docs, labels, bound), keep=tuple(docs.columns), out="__severity")
     return scored.where(F.col("__severity") < most).select(*docs.columns)
