@@ -77,19 +77,19 @@ class Domains:
         return F.slice(p, 1, len(self.names))
 
 
-def _rate(steps: list[list[float]]) -> Column:
-    """The rate after these rounds of e_k: a fold of r <- max(0, r - p . e) from 1."""
+def _rate(steps: list[list[float]], floor: float = 0.0) -> Column:
+    """The rate after these rounds of e_k: a fold of r <- max(floor, r - p . e) from 1."""
     if not steps:
         return F.lit(1.0)
     rounds = F.array(*[F.array(*[F.lit(float(x)) for x in e]) for e in steps])
     dot = lambda e: F.aggregate(F.zip_with("posterior", e, lambda p, x: p * x), F.lit(0.0), lambda s, x: s + x)
-    return F.aggregate(rounds, F.lit(1.0), lambda r, e: F.greatest(F.lit(0.0), r - dot(e)))
+    return F.aggregate(rounds, F.lit(1.0), lambda r, e: F.greatest(F.lit(float(floor)), r - dot(e)))
 
 
-def fit_rates(members: DataFrame, targets: list[float], *, tolerance: float = 1e-3, rounds: int = 40) -> tuple[DataFrame, list[list[float]]]:
+def fit_rates(members: DataFrame, targets: list[float], *, floor: float = 0.0, tolerance: float = 1e-3, rounds: int = 40) -> tuple[DataFrame, list[list[float]]]:
     """(members with `rate`, the rounds): stops when every expected total is within tolerance of its target.
 
-    A domain with no expected tokens cannot be met and is passed over. Documents without tokens change no
+    Rates stay at `floor` or above (0 by default: any nonnegative rate). A domain with no expected tokens cannot be met and is passed over. Documents without tokens change no
     total; they get a rate by their posterior as any other.
     """
     k = len(targets)
@@ -97,13 +97,13 @@ def fit_rates(members: DataFrame, targets: list[float], *, tolerance: float = 1e
     steps: list[list[float]] = []
     base = None
     for _ in range(rounds + 1):
-        now = members.agg(*totals(_rate(steps))).head() if k else []
+        now = members.agg(*totals(_rate(steps, floor))).head() if k else []
         base = base or [max(x, 1e-9) for x in now]
         error = [(x - t) / b if b > 1e-6 else 0.0 for x, t, b in zip(now, targets, base)]
         if len(steps) == rounds or all(abs(e) * b <= tolerance * max(t, 1.0) for e, t, b in zip(error, targets, base)):
             break
         steps.append(error)
-    return members.withColumn("rate", _rate(steps)), steps
+    return members.withColumn("rate", _rate(steps, floor)), steps
 
 
 def quality_domains(labels: DataFrame) -> DataFrame:
@@ -128,20 +128,19 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], *, id_col
 def resample(docs: DataFrame, labels: DataFrame, weights: dict[str, float], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with each row floor(rate + u) times, u in [0, 1) from the id: the mixture as rows, columns unchanged.
 
-    A rate is a mean of its domains' rates, weighed by the posterior, unless it was cut at 0. All rates are
-    scaled so that the least rate of a domain with a weight is 1: documents of such domains all stay, and
-    domains below their weight repeat. Rows without an id, and all rows if no document has a label, stay once.
+    Rates are fitted at 1 or above and the number of tokens is the least at which every domain has at least
+    its expected tokens, so documents all stay and those of domains below their weight repeat. Domains
+    without a weight keep rate 1. Rows without an id, and all rows if no document has a label, stay once.
     """
     domains = Domains().fit(docs, labels, id_col=id_col, text_col=text_col)
     members = shared.cut(domains.members(docs, id_col=id_col, text_col=text_col), "members")
     given = [max(0.0, weights.get(name, 0.0)) for name in domains.names]
     if not sum(given):
         return docs
-    total = float(members.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).head()[0])
-    rated, steps = fit_rates(members, [total * w / sum(given) for w in given])
-    of_domain = [1 - sum(e[k] for e in steps) for k in range(len(given))]
-    least = max(min(r for r, w in zip(of_domain, given) if w > 0), 0.05)
+    held = members.agg(*[F.coalesce(F.sum(F.col("n_tokens") * F.col("posterior")[k]), F.lit(0.0)) for k in range(len(given))]).head()
+    total = max((h * sum(given) / w for h, w in zip(held, given) if w > 0), default=0.0)
+    rated, _ = fit_rates(members, [total * w / sum(given) if w > 0 else h for h, w in zip(held, given)], floor=1.0)
     u = F.pmod(F.xxhash64(F.lit("mix"), F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    decided = rated.groupBy(id_col).agg(F.max(F.floor(F.col("rate") / least + 1e-9 + u).cast("int")).alias("__copies"))
+    decided = rated.groupBy(id_col).agg(F.max(F.floor(F.col("rate") + u).cast("int")).alias("__copies"))
     joined = docs.join(decided, id_col, "left").withColumn("__copies", F.coalesce("__copies", F.lit(1)))
     return joined.where("__copies > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select(*docs.columns)
