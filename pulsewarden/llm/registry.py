@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pulsewarden.llm import decontaminate, mixing, ngram_join, suffix_dedup, token_ids, topk_search, toxicity, url_filter, warc
+from pulsewarden.llm import decontaminate, line_dedup, mixing, ngram_join, suffix_dedup, token_ids, topk_search, toxicity, url_filter, warc
 
 #: Target shares of tokens by domain.
 MIXTURE = {"plain": 0.8, "poor": 0.15, "toxic": 0.05}
@@ -21,6 +21,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"), labels, MIXTURE)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return topk_search.search(docs, docs.where(F.col("doc_id") % 50 == 0))
@@ -60,7 +64,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_token_ids, op2_ngram_join, op3_mixing, op5_topk_search, op6_decontaminate, op7_toxicity, op8_warc, op9_url_filter, op10_suffix_dedup)
+    found = (op1_token_ids, op2_ngram_join, op3_mixing, op4_line_dedup, op5_topk_search, op6_decontaminate, op7_toxicity, op8_warc, op9_url_filter, op10_suffix_dedup)
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
