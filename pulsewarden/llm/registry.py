@@ -47,7 +47,7 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).withColumn("toxic", F.col("severity") >= 0.6)
+    return toxicity.score(docs, model).withColumn("toxic", F.col("severity") >= toxicity.CUT)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

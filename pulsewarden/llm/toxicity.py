@@ -20,6 +20,8 @@ from pulsewarden.llm import shared, words
 
 #: Bytes of a word's beginning that form a feature of their own.
 STEMS = (5,)
+#: Expected severity from which a text counts as toxic.
+CUT = 0.75
 
 
 class Model(NamedTuple):
@@ -80,9 +82,11 @@ def sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").where(F.col("text").isNotNull()).select("text", "grade")
 
 
-def fit(sampled: DataFrame, *, least_docs: int = 4, penalty: float = 1e-3, rounds: int = 100, refine=None) -> Model:
+def fit(sampled: DataFrame, *, least_docs: int | None = None, penalty: float = 3e-4, rounds: int = 100, refine=None) -> Model:
     """Fit on a bounded sample of (text, grade >= 0); its size is the caller's documented parameter.
 
+    Features of fewer than `least_docs` texts (by default 1 in 500, 4 at least) are left out.
+
     Accelerated proximal gradient on the mean log-likelihood. refine(grades, has) may turn the grades
     into others before the fit. With fewer than two grades the model gives everything severity 0.
     """
@@ -94,6 +98,7 @@ def fit(sampled: DataFrame, *, least_docs: int = 4, penalty: float = 1e-3, round
     if len(np.unique(grades)) < 2:
         return Model(np.empty(0, np.uint64), np.empty(0), np.full(1, 60.0))
     vocabulary, seen = np.unique(flat, return_counts=True)
+    least_docs = least_docs or max(4, len(grades) // 500)
     vocabulary = vocabulary[seen >= least_docs]
     column = np.searchsorted(vocabulary, flat).astype(np.int32)
     column[column == len(vocabulary)] = 0
@@ -202,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = 4000) -> Model:
     return fit(sample(docs, graded(labels), bound=bound), refine=by_evidence)
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, *, most: float = 0.6, bound: int = 4000) -> DataFrame:
+def keep_clean(docs: DataFrame, labels: DataFrame, *, most: float = CUT, bound: int = 4000) -> DataFrame:
     """docs whose expected severity is below `most`; columns are unchanged."""
     scored = score(docs, train(docs, labels, bound), keep=tuple(docs.columns), out="__severity")
     return scored.where(F.col("__severity") < most).select(*docs.columns)
