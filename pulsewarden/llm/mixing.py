@@ -1,7 +1,8 @@
 """Mixing sources to target weights by soft domain membership.
 
 1. A multinomial classifier, trained on labelled documents, gives each document's posterior p_k for every
-   domain k.
+   domain k. Its margins are calibrated on labelled documents it was not trained on, weighted by their tokens,
+   so that expected domain token totals of unseen documents are those that labels would give.
 2. Rates r_d >= 0 are fitted so that the expected domain token totals sum_d r_d n_d p_dk meet the targets
    T_k: projected gradient on sum_k (total_k - T_k)^2 / s_k, where s_k is the total at rate 1. In the metric
    that weighs documents by their tokens, a step is r_d <- max(0, r_d - sum_k p_dk e_k) with
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsewarden.llm import shared
@@ -35,14 +36,16 @@ class Domains:
         self.bound, self.rounds, self.regularise = bound, rounds, regularise
         self.hashing = HashingTF(inputCol="__words", outputCol="__features", numFeatures=features, binary=True)
         self.names: list[str] = []
-        self.model = None
+        self.model = self.calibrated = None
 
     def fit(self, docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> "Domains":
         """Fit on at most `bound` labelled documents of each domain, those whose ids hash lowest.
 
         labels has id_col and `domain`; rows with nulls are left out, an id that repeats takes its smallest
-        domain. The classes are weighed so that posteriors follow the labelled shares. One domain or none
-        needs no model: every posterior is then 1, or the list of domains is empty.
+        domain. The classes are weighed so that posteriors follow the labelled shares. Of each domain's
+        documents every third calibrates and the others train; where a domain has but one document, margins
+        stay as they are. One domain or none needs no model: every posterior is then 1, or the list of
+        domains is empty.
         """
         known = labels.where(F.col("domain").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min("domain").alias("domain"))
         known = known.join(docs.select(F.col(id_col).alias("__id")), "__id", "left_semi").persist()
@@ -56,9 +59,17 @@ class Domains:
             part = known.where(F.col("domain") == name).orderBy(F.xxhash64("__id"), "__id").limit(self.bound)
             part = part.select("__id", F.lit(float(k)).alias("__label"), F.lit(counts[name] / min(counts[name], self.bound)).alias("__weight"))
             chosen = part if chosen is None else chosen.unionByName(part)
+        place = F.row_number().over(Window.partitionBy("__label").orderBy(F.xxhash64("__id"), "__id"))
+        chosen = chosen.withColumn("__held", place % 3 == 0)
         texts = docs.select(F.col(id_col).alias("__id"), tokens(F.col(text_col)).alias("__words")).join(F.broadcast(chosen), "__id")
-        ready = self.hashing.transform(texts).select("__features", "__label", "__weight").persist()
-        self.model = LogisticRegression(featuresCol="__features", labelCol="__label", weightCol="__weight", family="multinomial", maxIter=self.rounds, regParam=self.regularise, aggregationDepth=2).fit(ready)
+        ready = self.hashing.transform(texts).select("__features", "__label", "__weight", "__held", F.size("__words").alias("__size")).persist()
+        learner = LogisticRegression(labelCol="__label", weightCol="__weight", family="multinomial", aggregationDepth=2)
+        self.model = learner.copy({learner.featuresCol: "__features", learner.maxIter: self.rounds, learner.regParam: self.regularise}).fit(ready.where(~F.col("__held")))
+        self.model.setRawPredictionCol("__margins").setProbabilityCol("__p0").setPredictionCol("__top0")
+        held = self.model.transform(ready.where("__held")).select("__margins", "__label", (F.col("__weight") * F.greatest(F.col("__size"), F.lit(1))).alias("__weight")).persist()
+        if held.select("__label").distinct().count() == len(counts):
+            self.calibrated = learner.copy({learner.featuresCol: "__margins", learner.maxIter: 50, learner.regParam: 1e-3}).fit(held)
+        held.unpersist()
         ready.unpersist()
         known.unpersist()
         return self
@@ -70,7 +81,9 @@ class Domains:
         if self.model is None:
             share = F.array(*[F.lit(1.0 / len(self.names))] * len(self.names)) if self.names else F.array().cast("array<double>")
             return rows.select(id_col, size, share.alias("posterior"))
-        scored = self.model.setProbabilityCol("__p").transform(self.hashing.transform(rows))
+        scored = self.model.transform(self.hashing.transform(rows)).withColumnRenamed("__p0", "__p")
+        if self.calibrated is not None:
+            scored = self.calibrated.setProbabilityCol("__p").setPredictionCol("__top").setRawPredictionCol("__raw").transform(scored.drop("__p"))
         return scored.select(id_col, size, self._posterior(vector_to_array("__p")).alias("posterior"))
 
     def _posterior(self, p: Column) -> Column:
