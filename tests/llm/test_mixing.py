@@ -42,3 +42,13 @@ def test_resample_keeps_all_and_repeats(spark):
     assert set(got) == set(range(300)) and sum(got.values()) > 330
     assert m.resample(docs, labels.limit(0), {"a": 1.0}).count() == 304
     assert m.mix(docs.limit(0), labels, {"a": 1.0}).count() == 0
+
+
+def test_posteriors_hold_beyond_the_sample(spark):
+    rng = random.Random(5)
+    rows = [(k, " ".join(f"w{rng.randint(0, 2000)}" for _ in range(40)), "b" if rng.random() < 0.2 else "a") for k in range(600)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, d) for k, _, d in rows[:300]], "doc_id long, domain string")
+    unseen = m.Domains().fit(docs, labels).members(docs.where("doc_id >= 300"))
+    share = unseen.agg(F.sum(F.col("n_tokens") * F.col("posterior")[1]) / F.sum("n_tokens")).head()[0]
+    assert 0.1 < share < 0.3
