@@ -45,7 +45,7 @@ def probe_keys(line: Column, limit: int) -> Column:
     """Keys under which a line's neighbours of its own length or up to `limit` less may stand.
 
     For a line shorter by `less`, segment no can have moved by `move` only if |move| <= no and
-    |move - less| <= limit - no; places outside the line have no key.
+    |move - less| <= limit - no; places outside the line have a null key.
     """
     own = F.length(line)
     out = []
@@ -56,7 +56,7 @@ def probe_keys(line: Column, limit: int) -> Column:
             for move in range(max(-no, less - (limit - no)), min(no, less + (limit - no)) + 1):
                 start = at + move
                 out.append(F.when((start >= 0) & (start + length <= own), _key(size, no, line.substr(start + 1, length))))
-    return F.array_compact(F.array(*out))
+    return F.array(*out)
 
 
 def _let(value: Column, body) -> Column:
@@ -128,9 +128,12 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text).alias("hash"), text.alias("text"))
 
 
-def _lines(keyed: DataFrame, least: int) -> DataFrame:
-    """(doc, hash, pos, line, id) of the lines that take part."""
-    lines = keyed.select("doc", "hash", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.length("line") >= least)
+def _lines(keyed: DataFrame, least: int, every: bool = False) -> DataFrame:
+    """(doc, hash, pos, line, id) of the lines that take part: those of `least` characters and, with `every`, all that are not blank."""
+    taken = F.length("line") >= least
+    if every:
+        taken = taken | F.col("line").rlike(r"\S")
+    lines = keyed.select("doc", "hash", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(taken)
     return lines.withColumn("id", F.xxhash64("line"))
 
 
@@ -139,14 +142,16 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def near_lines(docs: DataFrame, *, limit: int = 2, least: int = 20, id_col: str = "doc_id", text_col: str = "text", block: int = 64, broadcast_rows: int = 500_000) -> DataFrame:
+def near_lines(docs: DataFrame, *, limit: int = 2, least: int = 20, every: bool = False, id_col: str = "doc_id", text_col: str = "text", block: int = 64, broadcast_rows: int = 500_000) -> DataFrame:
     """(line, earlier): distinct lines that have an earlier line within `limit` edits, with the earliest such place.
 
-    Places are (doc, hash, pos); equal lines are one line, whose place is its first.
+    Places are (doc, hash, pos); equal lines are one line, whose place is its first. Only lines of `least`
+    characters are judged; with `every`, lines down to `least - limit` serve as earlier ones.
     """
-    lines = _lines(_keyed(docs, id_col, text_col), least)
+    lines = _lines(_keyed(docs, id_col, text_col), max(1, least - limit) if every else least)
+    judged = lambda line: F.length(line) >= least
     indexed = lines.select("id", F.explode(index_keys(F.col("line"), limit)).alias("key"))
-    probing = lines.select("id", F.explode(probe_keys(F.col("line"), limit)).alias("key"))
+    probing = lines.where(judged("line")).select("id", F.explode(probe_keys(F.col("line"), limit)).alias("key")).where("key IS NOT NULL")
     stored = indexed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
     met = probing.join(stored, "key").where("low <> id OR high <> id").select("key", "id").distinct()
     met = shared.cut(met, "probes")
@@ -165,24 +170,25 @@ def near_lines(docs: DataFrame, *, limit: int = 2, least: int = 20, id_col: str
     first = lambda found: F.array_min(F.transform(found, lambda x: x["place"]))
     of_probes = F.transform("probes", lambda p: F.struct(p["line"].alias("line"), p["place"].alias("place"), first(F.filter("stored", lambda m: match(p, m))).alias("earlier")))
     longer = lambda m: F.filter("probes", lambda p: (F.length(p["line"]) > F.length(m["line"])) & (p["place"] < m["place"]) & match(p, m))
-    of_stored = F.transform("stored", lambda m: F.struct(m["line"].alias("line"), m["place"].alias("place"), first(longer(m)).alias("earlier")))
+    of_stored = F.transform(F.filter("stored", lambda m: judged(m["line"])), lambda m: F.struct(m["line"].alias("line"), m["place"].alias("place"), first(longer(m)).alias("earlier")))
     compared = shared.cut(pairs.select(F.filter(F.concat(of_probes, of_stored), lambda x: x["earlier"] < x["place"]).alias("found")), "compared")
     found = compared.select(F.explode("found").alias("x"))
     return found.groupBy(F.col("x.line").alias("line")).agg(F.min("x.earlier").alias("earlier"))
 
 
-def dedup(docs: DataFrame, *, limit: int = 2, least: int = 20, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 500_000) -> DataFrame:
+def dedup(docs: DataFrame, *, limit: int = 2, least: int = 20, every: bool = False, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 500_000) -> DataFrame:
     """Per row: doc_id, n_lines, n_repeated, n_near, kept_sha256, kept text.
 
     Lines end at line feeds. A line of at least `least` characters goes if the same line stands earlier (by
-    id, then place) or if some earlier line is within `limit` edits of it; shorter lines always stay. A line
-    that goes still counts as earlier for others. Null texts are one empty line; rows that repeat an id and
+    id, then place) or if some earlier line of `least` characters is within `limit` edits of it; shorter lines
+    always stay. With `every`, any line that is not blank goes if the same line stands earlier, and earlier lines
+    of all lengths count for lines of `least` characters; only near matches of shorter lines stay. A line that goes still counts as earlier for others. Null texts are one empty line; rows that repeat an id and
     text count as one place, and so all keep the same lines; extra columns are ignored.
     """
     keyed = _keyed(docs, id_col, text_col)
-    near = near_lines(docs, limit=limit, least=least, id_col=id_col, text_col=text_col, broadcast_rows=broadcast_rows).select("line")
+    near = near_lines(docs, limit=limit, least=least, every=every, id_col=id_col, text_col=text_col, broadcast_rows=broadcast_rows).select("line")
     marks = shared.cut(near.select(F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("twin")), "near").withColumn("near", F.lit(True))
-    places = _lines(keyed, least).select("doc", "hash", "pos", "id", F.xxhash64(F.lit(1), "line").alias("twin"))
+    places = _lines(keyed, least, every).select("doc", "hash", "pos", "id", F.xxhash64(F.lit(1), "line").alias("twin"))
     often = places.groupBy("id", "twin").agg(F.min(F.struct("doc", "hash", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     decided = shared.cut(often.join(marks, ["id", "twin"], "full_outer"), "decisions")
     gone = places.join(_small(decided, broadcast_rows), ["id", "twin"])

@@ -22,7 +22,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup(_table(spark, sf_dir, "documents")).drop("kept")
+    return line_dedup.dedup(_table(spark, sf_dir, "documents"), every=True).drop("kept")
 
 
 def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

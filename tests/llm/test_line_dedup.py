@@ -77,3 +77,11 @@ def test_repeated_rows_and_empty(spark):
     got = sorted(((r.doc_id or 0, r.n_repeated, r.kept) for r in d.dedup(frame).collect()))
     assert [x[0] for x in got] == [0, 1, 1, 2] and got[1] == got[2]
     assert d.dedup(frame.limit(0)).collect() == []
+
+
+def test_short_lines_repeat_and_serve_as_earlier(spark):
+    short, longer = "abcdefghijklmnopqr", "abcdefghijklmnopqrst"
+    rows = [(1, "Les.\n\n  "), (2, "Les.\n\n  \nLet."), (3, short), (4, longer + "\n" + short), (5, "z" * 20), (6, "z" * 19 + "\n" + "z" * 18)]
+    got = {r.doc_id: (r.n_repeated, r.n_near, r.kept) for r in d.dedup(spark.createDataFrame(rows, "doc_id long, text string"), every=True).collect()}
+    assert got[2] == (1, 0, "\n  \nLet.") and got[1][:2] == got[3][:2] == got[5][:2] == (0, 0)
+    assert got[4] == (1, 1, "") and got[6] == (0, 0, rows[5][1])
