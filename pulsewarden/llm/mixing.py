@@ -3,18 +3,22 @@
 1. A multinomial classifier, trained on labelled documents, gives each document's posterior p_k for every
    domain k. Its margins are calibrated on labelled documents it was not trained on, weighted by their tokens,
    so that expected domain token totals of unseen documents are those that labels would give.
-2. Rates r_d >= 0 are fitted so that the expected domain token totals sum_d r_d n_d p_dk meet the targets
-   T_k: projected gradient on sum_k (total_k - T_k)^2 / s_k, where s_k is the total at rate 1. In the metric
-   that weighs documents by their tokens, a step is r_d <- max(0, r_d - sum_k p_dk e_k) with
-   e_k = (total_k - T_k) / s_k; the scaled Hessian's rows add up to at most 1, so a step of 1 is safe.
-
-The driver holds the K numbers e_k of each round and nothing else; a document's rate is a fold over these
-rounds, so no rates are stored between rounds and a lost executor costs only its tasks. All steps are
-DataFrame functions and Spark ML.
+2. Rates r_d >= floor are fitted so that the expected domain token totals sum_d r_d n_d p_dk meet the targets
+   T_k, and of all such rates those that are closest to 1: sum_d n_d (r_d - 1)^2 is least. They have the form
+   r_d = max(floor, 1 + sum_k l_k p_dk) with one number l_k a domain, found by Newton steps on the concave dual.
+   A tiny penalty keeps the l_k finite where no rates meet the targets; the distance left is then reported.
+
+The driver holds the K numbers l_k and the K x K second derivatives of each round and nothing else; a
+document's rate follows from the l_k, so no rates are stored between rounds and a lost executor costs only
+its tasks. All steps over documents are DataFrame functions and Spark ML.
 """
 
 from __future__ import annotations
 
+import warnings
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -90,33 +94,73 @@ class Domains:
         return F.slice(p, 1, len(self.names))
 
 
-def _rate(steps: list[list[float]], floor: float = 0.0) -> Column:
-    """The rate after these rounds of e_k: a fold of r <- max(floor, r - p . e) from 1."""
-    if not steps:
-        return F.lit(1.0)
-    rounds = F.array(*[F.array(*[F.lit(float(x)) for x in e]) for e in steps])
-    dot = lambda e: F.aggregate(F.zip_with("posterior", e, lambda p, x: p * x), F.lit(0.0), lambda s, x: s + x)
-    return F.aggregate(rounds, F.lit(1.0), lambda r, e: F.greatest(F.lit(float(floor)), r - dot(e)))
+@dataclass
+class Fit:
+    """What a fit of rates reached: expected totals, their distances from the targets, whether all are within tolerance."""
+
+    totals: list[float]
+    residuals: list[float]
+    met: bool
+    rounds: int
+
+
+def _dot(numbers, values: Column) -> Column:
+    return sum((F.lit(float(x)) * values[k] for k, x in enumerate(numbers)), F.lit(0.0))
 
 
-def fit_rates(members: DataFrame, targets: list[float], *, floor: float = 0.0, tolerance: float = 1e-3, rounds: int = 40) -> tuple[DataFrame, list[list[float]]]:
-    """(members with `rate`, the rounds): stops when every expected total is within tolerance of its target.
+def fit_rates(members: DataFrame, targets: list[float], *, values: Column | None = None, floor: float = 0.0, tolerance: float = 1e-3, rounds: int = 100, penalty: float = 1e-9) -> tuple[DataFrame, Fit]:
+    """(members with `rate`, the Fit): the rates closest to 1, `floor` at least, whose expected totals meet the targets.
 
-    Rates stay at `floor` or above (0 by default: any nonnegative rate). A domain with no expected tokens cannot be met and is passed over. Documents without tokens change no
-    total; they get a rate by their posterior as any other.
+    values (by default the posteriors) are what a token of a document adds to each total. A total is met within
+    tolerance of its target, or, if that is 0, of all tokens. A total that no document adds to cannot be met and is passed over. Where the
+    targets cannot be met, rates come as near as the penalty lets them, Fit.met is false and Fit.residuals says what
+    is missing. Documents without tokens change no total; they get a rate by their values as any other.
     """
     k = len(targets)
-    totals = lambda rate: [F.coalesce(F.sum(rate * F.col("n_tokens") * F.col("posterior")[i]), F.lit(0.0)) for i in range(k)]
-    steps: list[list[float]] = []
-    base = None
-    for _ in range(rounds + 1):
-        now = members.agg(*totals(_rate(steps, floor))).head() if k else []
-        base = base or [max(x, 1e-9) for x in now]
-        error = [(x - t) / b if b > 1e-6 else 0.0 for x, t, b in zip(now, targets, base)]
-        if len(steps) == rounds or all(abs(e) * b <= tolerance * max(t, 1.0) for e, t, b in zip(error, targets, base)):
+    if not k:
+        return members.withColumn("rate", F.lit(1.0)), Fit([], [], True, 0)
+    values = F.col("posterior") if values is None else values
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0.0))
+    n, each = F.col("n_tokens"), [values[i] for i in range(k)]
+    first = members.agg(total(n.cast("double")), *[total(n * F.abs(v)) for v in each]).head()
+    tokens_in, known = max(float(first[0]), 1e-9), np.array([x > 1e-6 for x in first[1:]])
+    goal = np.array(targets, float) * known
+
+    def look(numbers):
+        """Totals, second derivatives and the dual at these numbers."""
+        line = _dot(numbers, values) + 1.0
+        free = line >= floor
+        rate = F.when(free, line).otherwise(F.lit(float(floor)))
+        cost = F.when(free, line * line / 2).otherwise(line * float(floor) - float(floor) ** 2 / 2)
+        pairs = [(i, j) for i in range(k) for j in range(i, k)]
+        row = members.agg(total(n * cost), *[total(n * rate * v) for v in each], *[total(F.when(free, n * each[i] * each[j])) for i, j in pairs]).head()
+        bend = np.zeros((k, k))
+        for (i, j), x in zip(pairs, row[k + 1 :]):
+            bend[i, j] = bend[j, i] = x
+        held = penalty * tokens_in
+        dual = float(numbers @ goal) - row[0] - held / 2 * float(numbers @ numbers)
+        return np.array(row[1 : k + 1]) * known, bend + held * np.eye(k), dual
+
+    near = tolerance * np.where(goal == 0, tokens_in, np.maximum(np.abs(goal), 1.0))
+    numbers = np.zeros(k)
+    totals, bend, dual = look(numbers)
+    done = 0
+    while done < rounds and (np.abs(totals - goal) > near).any():
+        slope = (goal - totals - penalty * tokens_in * numbers) * known
+        step = np.linalg.solve(bend, slope) * known
+        size, gain = 1.0, float(slope @ step)
+        if gain <= 1e-12 * tokens_in:
             break
-        steps.append(error)
-    return members.withColumn("rate", _rate(steps, floor)), steps
+        while done < rounds:
+            done += 1
+            new = look(numbers + size * step)
+            if new[2] >= dual + 1e-4 * size * gain - 1e-12 * abs(dual):
+                break
+            size /= 2
+        numbers, (totals, bend, dual) = numbers + size * step, new
+    left = totals - goal
+    fit = Fit(totals.tolist(), left.tolist(), bool((np.abs(left) <= near).all()), done)
+    return members.withColumn("rate", F.greatest(F.lit(float(floor)), _dot(numbers, values) + 1.0)), fit
 
 
 def quality_domains(labels: DataFrame) -> DataFrame:
@@ -135,7 +179,10 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], *, id_col
     given = [max(0.0, weights.get(name, 0.0)) for name in domains.names]
     total = tokens_out if tokens_out is not None else float(members.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).head()[0])
     targets = [total * w / (sum(given) or 1.0) for w in given]
-    return fit_rates(members, targets)[0]
+    rated, fit = fit_rates(members, targets)
+    if not fit.met:
+        warnings.warn(f"mixing: no rates of 0 or above meet the token targets; off by domain: {dict(zip(domains.names, fit.residuals))} of {dict(zip(domains.names, targets))}", stacklevel=2)
+    return rated
 
 
 def resample(docs: DataFrame, labels: DataFrame, weights: dict[str, float], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

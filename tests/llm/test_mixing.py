@@ -52,3 +52,31 @@ def test_posteriors_hold_beyond_the_sample(spark):
     unseen = m.Domains().fit(docs, labels).members(docs.where("doc_id >= 300"))
     share = unseen.agg(F.sum(F.col("n_tokens") * F.col("posterior")[1]) / F.sum("n_tokens")).head()[0]
     assert 0.1 < share < 0.3
+
+
+def overlapping(spark, spread, share=0.1):
+    rng = random.Random(8)
+    rows = []
+    for k in range(2000):
+        p = min(0.99, max(0.01, rng.gauss(share, spread)))
+        rows.append((k, rng.randint(10, 50), [1 - p, p]))
+    return spark.createDataFrame(rows, "doc_id long, n_tokens long, posterior array<double>").persist()
+
+
+def totals(rated):
+    return rated.agg(*[F.sum(F.col("rate") * F.col("n_tokens") * F.col("posterior")[k]) for k in range(2)], F.min("rate")).head()
+
+
+def test_rates_reach_targets_of_overlapping_domains(spark):
+    members = overlapping(spark, 0.04)
+    size = members.agg(F.sum("n_tokens")).head()[0]
+    rated, fit = m.fit_rates(members, [0.85 * size, 0.15 * size])
+    got = totals(rated)
+    assert fit.met and got[2] >= 0 and all(abs(g - w * size) <= 1e-3 * w * size for g, w in zip(got, (0.85, 0.15)))
+
+
+def test_targets_out_of_reach_are_reported(spark):
+    members = overlapping(spark, 0.02)
+    size = members.agg(F.sum("n_tokens")).head()[0]
+    _, fit = m.fit_rates(members, [0.1 * size, 0.9 * size])
+    assert not fit.met and fit.residuals[1] < -0.1 * size
