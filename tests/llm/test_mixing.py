@@ -80,3 +80,11 @@ def test_targets_out_of_reach_are_reported(spark):
     size = members.agg(F.sum("n_tokens")).head()[0]
     _, fit = m.fit_rates(members, [0.1 * size, 0.9 * size])
     assert not fit.met and fit.residuals[1] < -0.1 * size
+    rated, shares, met = m.fit_shares(members, [0.1, 0.9])
+    assert not met and shares[1] < 0.3 and rated.agg(F.max("rate")).head()[0] < 1000
+
+
+def test_resample_shares_of_overlapping_domains(spark):
+    rated, shares, met = m.fit_shares(overlapping(spark, 0.04), [0.85, 0.15])
+    got = totals(rated)
+    assert met and got[2] >= 1 and abs(got[1] / (got[0] + got[1]) - 0.15) <= 2e-3 and abs(shares[1] - 0.15) <= 2e-3
