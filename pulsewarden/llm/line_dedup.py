@@ -7,8 +7,9 @@ unchanged in it, at a place that the edits before and after it bound. So segment
 lines themselves: common ends are cut off and the cores compared in a band of 2 * limit + 1
 diagonals whose states are the bits of one long per number of edits.
 
-Lines that meet under a key are gathered in blocks of bounded size, and blocks are compared with blocks, so
-neither pairs nor unbounded groups ever become rows. All of it is DataFrame functions.
+Lines that meet under a key are gathered in blocks of bounded size, and blocks are compared with blocks, each two
+of them a row of their own, so neither pairs nor unbounded groups ever become rows and a hot key's work is dealt
+out. All of it is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -19,44 +20,35 @@ from pyspark.sql import functions as F
 from pulsewarden.llm import shared
 
 
-def _segment(size: Column, no: int, limit: int) -> tuple[Column, Column]:
-    """(start from 0, length) of a segment of a line of that size; the last ones are longer by one."""
-    parts = limit + 1
-    short = F.floor(size / parts).cast("int")
-    plain = F.lit(parts) - (size - short * parts)
-    return short * no + F.greatest(F.lit(0), F.lit(no) - plain).cast("int"), (short + (F.lit(no) >= plain).cast("int")).cast("int")
-
-
-def _key(size: Column, no: int, text: Column) -> Column:
-    return F.xxhash64(size.cast("int"), F.lit(no), text)
-
+def _specs(limit: int, probes: bool) -> list[tuple[int, int, int]]:
+    """(less, segment number, move) of the segments of a line itself or of those that its neighbours may have.
 
-def index_keys(line: Column, limit: int) -> Column:
-    """Keys of a line's segments."""
-    size = F.length(line)
-    out = []
-    for no in range(limit + 1):
-        at, length = _segment(size, no, limit)
-        out.append(_key(size, no, line.substr(at + 1, length)))
-    return F.array(*out)
+    For a line shorter by `less`, segment no can have moved by `move` only if |move| <= no and
+    |move - less| <= limit - no.
+    """
+    if not probes:
+        return [(0, no, 0) for no in range(limit + 1)]
+    moves = lambda less, no: range(max(-no, less - (limit - no)), min(no, less + (limit - no)) + 1)
+    return [(less, no, move) for less in range(limit + 1) for no in range(limit + 1) for move in moves(less, no)]
 
 
-def probe_keys(line: Column, limit: int) -> Column:
-    """Keys under which a line's neighbours of its own length or up to `limit` less may stand.
+def segment_keys(lines: DataFrame, limit: int, *, probes: bool) -> DataFrame:
+    """(id, key): one row for each segment of each line, or for each place where a neighbour's segment may stand.
 
-    For a line shorter by `less`, segment no can have moved by `move` only if |move| <= no and
-    |move - less| <= limit - no; places outside the line have a null key.
+    The few specs are one literal array that is exploded first, so the key is one small expression a row. The
+    first limit + 1 - size % (limit + 1) segments of a line have size / (limit + 1) characters, the others one more;
+    places outside the line give no row.
     """
-    own = F.length(line)
-    out = []
-    for less in range(limit + 1):
-        size = own - less
-        for no in range(limit + 1):
-            at, length = _segment(size, no, limit)
-            for move in range(max(-no, less - (limit - no)), min(no, less + (limit - no)) + 1):
-                start = at + move
-                out.append(F.when((start >= 0) & (start + length <= own), _key(size, no, line.substr(start + 1, length))))
-    return F.array(*out)
+    parts = limit + 1
+    specs = F.array(*[F.struct(F.lit(x).alias("less"), F.lit(y).alias("no"), F.lit(z).alias("move")) for x, y, z in _specs(limit, probes)])
+    rows = lines.select("id", "line", F.length("line").alias("own"), F.explode(specs).alias("spec"))
+    rows = rows.select("id", "line", "own", (F.col("own") - F.col("spec.less")).alias("size"), F.col("spec.no").alias("no"), F.col("spec.move").alias("move"))
+    over = F.pmod("size", F.lit(parts))
+    short = ((F.col("size") - over) / parts).cast("int")
+    length = short + (F.col("no") >= parts - over).cast("int")
+    start = short * F.col("no") + F.greatest(F.lit(0), F.col("no") + over - parts) + F.col("move")
+    inside = (F.col("size") >= 0) & (start >= 0) & (start + length <= F.col("own"))
+    return rows.where(inside).select("id", F.xxhash64("size", "no", F.col("line").substr(start + 1, length)).alias("key"))
 
 
 def _let(value: Column, body) -> Column:
@@ -129,12 +121,11 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _lines(keyed: DataFrame, least: int, every: bool = False) -> DataFrame:
-    """(doc, hash, pos, line, id) of the lines that take part: those of `least` characters and, with `every`, all that are not blank."""
+    """(doc, hash, pos, line) of the lines that take part: those of `least` characters and, with `every`, all that are not blank."""
     taken = F.length("line") >= least
     if every:
         taken = taken | F.col("line").rlike(r"\S")
-    lines = keyed.select("doc", "hash", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(taken)
-    return lines.withColumn("id", F.xxhash64("line"))
+    return keyed.select("doc", "hash", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(taken)
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -142,30 +133,49 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def near_lines(docs: DataFrame, *, limit: int = 2, least: int = 20, every: bool = False, id_col: str = "doc_id", text_col: str = "text", block: int = 64, broadcast_rows: int = 500_000) -> DataFrame:
-    """(line, earlier): distinct lines that have an earlier line within `limit` edits, with the earliest such place.
+def repeats(lines: DataFrame, broadcast_rows: int) -> DataFrame:
+    """(doc, hash, again): of each document the places of lines that stand earlier, by id and place, as they are.
+
+    Lines are known by two 64-bit hashes; only hashes and places are shuffled, combined before they are. A line
+    that very many documents have is one row of the table that all its places are joined with: broadcast if small,
+    else a sort-merge join whose hot partitions Spark splits.
+    """
+    places = lines.select("doc", "hash", "pos", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("twin"))
+    place = F.struct("doc", "hash", "pos")
+    often = places.groupBy("id", "twin").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    often = shared.cut(often, "repeated-lines")
+    again = places.join(_small(often, broadcast_rows), ["id", "twin"]).where(place > F.col("first"))
+    return shared.cut(again.groupBy("doc", "hash").agg(F.collect_set("pos").alias("again")), "repeats")
+
+
+def near_lines(lines: DataFrame, *, limit: int = 2, least: int = 20, broadcast_rows: int = 500_000, block: int = 64) -> DataFrame:
+    """(place, line, earlier): lines that have an earlier line within `limit` edits, with the earliest such place.
 
-    Places are (doc, hash, pos); equal lines are one line, whose place is its first. Only lines of `least`
-    characters are judged; with `every`, lines down to `least - limit` serve as earlier ones.
+    lines are (doc, hash, pos, line), each text at one place (repeats of that place do no harm). Lines of `least` characters are
+    judged; all that are given serve as earlier ones.
     """
-    lines = _lines(_keyed(docs, id_col, text_col), max(1, least - limit) if every else least)
+    lines = lines.withColumn("id", F.xxhash64("line"))
     judged = lambda line: F.length(line) >= least
-    indexed = lines.select("id", F.explode(index_keys(F.col("line"), limit)).alias("key"))
-    probing = lines.where(judged("line")).select("id", F.explode(probe_keys(F.col("line"), limit)).alias("key")).where("key IS NOT NULL")
+    indexed = segment_keys(lines, limit, probes=False)
+    probing = segment_keys(lines.where(judged("line")), limit, probes=True)
     stored = indexed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
     met = probing.join(stored, "key").where("low <> id OR high <> id").select("key", "id").distinct()
     met = shared.cut(met, "probes")
-    hit = shared.cut(indexed.join(met.select("key").distinct(), "key").select("key", "id").distinct(), "segments")
+    hit = indexed.join(_small(met.select("key").distinct(), broadcast_rows), "key").select("key", "id").distinct()
+    hit = shared.cut(hit, "segments")
     wanted = shared.cut(met.select("id").unionByName(hit.select("id")).distinct(), "lines-wanted")
     texts = lines.join(_small(wanted, broadcast_rows), "id").groupBy("id", "line").agg(F.min(F.struct("doc", "hash", "pos")).alias("place"))
     texts = shared.cut(texts, "lines")
 
-    def blocks(side: DataFrame, name: str) -> DataFrame:
-        counted = side.groupBy("key").agg(F.count("*").alias("n"))
-        placed = side.join(texts, "id").join(counted, "key").withColumn("part", F.pmod(F.xxhash64("line", F.lit(name)), F.ceil(F.col("n") / block)))
-        return placed.groupBy("key", "part").agg(F.collect_list(F.struct("line", "place")).alias(name)).drop("part")
+    def blocks(side: DataFrame, name: str, number: str, others: str, other: str) -> DataFrame:
+        """Lines of a key in blocks, each block once for every block of the other side."""
+        placed = side.join(texts, "id").join(counts, "key").withColumn(number, F.pmod(F.xxhash64("line", F.lit(name)), F.col(f"n_{name}")))
+        placed = placed.groupBy("key", number).agg(F.collect_list(F.struct("line", "place")).alias(name), F.first(f"n_{others}").alias("n"))
+        return placed.select("key", number, name, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias(other))
 
-    pairs = blocks(met, "probes").join(blocks(hit, "stored"), "key")
+    sizes = lambda side, name: side.groupBy("key").agg(F.ceil(F.count("*") / block).alias(f"n_{name}"))
+    counts = shared.cut(sizes(met, "probes").join(sizes(hit, "stored"), "key"), "blocks")
+    pairs = blocks(met, "probes", "p", "stored", "q").join(blocks(hit, "stored", "q", "probes", "p"), ["key", "p", "q"])
     match = lambda p, m: (p["line"] != m["line"]) & within(p["line"], m["line"], limit)
     first = lambda found: F.array_min(F.transform(found, lambda x: x["place"]))
     of_probes = F.transform("probes", lambda p: F.struct(p["line"].alias("line"), p["place"].alias("place"), first(F.filter("stored", lambda m: match(p, m))).alias("earlier")))
@@ -173,7 +183,7 @@ def near_lines(docs: DataFrame, *, limit: int = 2, least: int = 20, every: bool
     of_stored = F.transform(F.filter("stored", lambda m: judged(m["line"])), lambda m: F.struct(m["line"].alias("line"), m["place"].alias("place"), first(longer(m)).alias("earlier")))
     compared = shared.cut(pairs.select(F.filter(F.concat(of_probes, of_stored), lambda x: x["earlier"] < x["place"]).alias("found")), "compared")
     found = compared.select(F.explode("found").alias("x"))
-    return found.groupBy(F.col("x.line").alias("line")).agg(F.min("x.earlier").alias("earlier"))
+    return found.groupBy(F.col("x.place").alias("place"), F.col("x.line").alias("line")).agg(F.min("x.earlier").alias("earlier"))
 
 
 def dedup(docs: DataFrame, *, limit: int = 2, least: int = 20, every: bool = False, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 500_000) -> DataFrame:
@@ -184,22 +194,23 @@ def dedup(docs: DataFrame, *, limit: int = 2, least: int = 20, every: bool = Fal
     always stay. With `every`, any line that is not blank goes if the same line stands earlier, and earlier lines
     of all lengths count for lines of `least` characters; only near matches of shorter lines stay. A line that goes still counts as earlier for others. Null texts are one empty line; rows that repeat an id and
     text count as one place, and so all keep the same lines; extra columns are ignored.
+
+    Repeats are found first, by hashes alone, and cut from the documents, so the search for near lines sees every
+    line once, at its first place, and a very common line is no hot key there.
     """
     keyed = _keyed(docs, id_col, text_col)
-    near = near_lines(docs, limit=limit, least=least, every=every, id_col=id_col, text_col=text_col, broadcast_rows=broadcast_rows).select("line")
-    marks = shared.cut(near.select(F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("twin")), "near").withColumn("near", F.lit(True))
-    places = _lines(keyed, least, every).select("doc", "hash", "pos", "id", F.xxhash64(F.lit(1), "line").alias("twin"))
-    often = places.groupBy("id", "twin").agg(F.min(F.struct("doc", "hash", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    decided = shared.cut(often.join(marks, ["id", "twin"], "full_outer"), "decisions")
-    gone = places.join(_small(decided, broadcast_rows), ["id", "twin"])
-    again = F.coalesce(F.struct("doc", "hash", "pos") > F.col("first"), F.lit(False))
-    gone = gone.select("doc", "hash", "pos", F.coalesce("near", F.lit(False)).alias("near"), again.alias("again")).where("near OR again")
-    gone = gone.groupBy("doc", "hash").agg(F.collect_set("pos").alias("gone"), F.collect_set(F.when(F.col("again"), F.col("pos"))).alias("again"))
-    gone = shared.cut(gone, "gone")
-    joined = keyed.join(_small(gone, broadcast_rows), ["doc", "hash"], "left")
+    again = _small(repeats(_lines(keyed, least, every), broadcast_rows), broadcast_rows)
+    shortest = max(1, least - limit) if every else least
+    left = keyed.join(again, ["doc", "hash"], "left")
+    once = left.select("doc", "hash", F.posexplode(F.split("text", "\n")).alias("pos", "line"), "again")
+    once = once.where((F.length("line") >= shortest) & (F.col("again").isNull() | ~F.array_contains("again", F.col("pos")))).drop("again")
+    near = near_lines(once, limit=limit, least=least, broadcast_rows=broadcast_rows).select("place.*")
+    near = shared.cut(near.groupBy("doc", "hash").agg(F.collect_set("pos").alias("near")), "near")
+    joined = left.join(_small(near, broadcast_rows), ["doc", "hash"], "left")
     lines = F.split("text", "\n")
     none = F.array().cast("array<int>")
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, k: ~F.array_contains("gone", k)), "\n"))
-    repeated = F.size(F.coalesce("again", none)).cast("long")
-    out = joined.select(F.col("id").alias(id_col), F.size(lines).cast("long").alias("n_lines"), repeated.alias("n_repeated"), (F.size(F.coalesce("gone", none)) - repeated).cast("long").alias("n_near"), kept.alias("kept"))
+    gone = F.concat(F.coalesce("again", none), F.coalesce("near", none))
+    kept = F.when(F.size(gone) == 0, F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, k: ~F.array_contains(gone, k)), "\n"))
+    count = lambda name: F.size(F.coalesce(name, none)).cast("long")
+    out = joined.select(F.col("id").alias(id_col), F.size(lines).cast("long").alias("n_lines"), count("again").alias("n_repeated"), count("near").alias("n_near"), kept.alias("kept"))
     return out.select(id_col, "n_lines", "n_repeated", "n_near", F.sha2("kept", 256).alias("kept_sha256"), "kept")
