@@ -68,3 +68,14 @@ def test_bands():
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     assert {r.node: r.component for r in components(edges).collect()} == {k: 0 for k in range(61)} | {100: 100, 101: 100}
+
+
+def test_repeated_id_with_other_text(spark):
+    """An id that stands with two texts links neither the texts nor their copies, and loses no link."""
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, b + " more")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.n_grams): (r.class_id, r.n_links) for r in j.join(frame).collect() if r.doc_id != 1}
+    assert got == {(2, 36): (2, 1), (3, 36): (3, 2), (4, 37): (3, 2)}
+    assert sorted(r.class_id for r in j.join(frame.where("doc_id = 1")).collect())[1] < 0
+    assert sorted(map(tuple, j.keep_one(frame).collect())) == [(1, a), (1, b)]
