@@ -186,20 +186,20 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], *, id_col
 
 
 def fit_shares(members: DataFrame, given: list[float], *, tolerance: float = 1e-3) -> tuple[DataFrame, list[float], bool]:
-    """(members with `rate` of 1 or above, shares reached, whether they are met) for shares of the tokens of weighted domains.
+    """(members with `rate` of 0 or above, shares reached, whether they are met) for shares of the tokens of weighted domains.
 
-    Shares hold where sum_d r_d n_d (p_dk - w_k p_d) = 0, p_d being what all weighted domains have of a document.
-    Rates that cannot meet the shares would grow without bound; a firmer penalty then holds them.
+    The weighted domains together keep the tokens they are expected to have, dealt out by their weights; domains without
+    a weight have no target. Rates that cannot meet the targets would grow without bound; a firmer penalty then holds them.
     """
     w = [x / sum(given) for x in given]
     p = F.col("posterior")
-    all_given = sum((p[k] for k, x in enumerate(w) if x > 0), F.lit(0.0))
-    values = F.array(*[p[k] - x * all_given if x > 0 else F.lit(0.0) for k, x in enumerate(w)])
-    targets = [0.0] * len(w)
-    tolerance *= min(x for x in w if x > 0)
-    rated, fit = fit_rates(members, targets, values=values, floor=1.0, tolerance=tolerance)
+    values = F.array(*[p[k] if x > 0 else F.lit(0.0) for k, x in enumerate(w)])
+    weighted = sum((p[k] for k, x in enumerate(w) if x > 0), F.lit(0.0))
+    total = members.agg(F.coalesce(F.sum(F.col("n_tokens") * weighted), F.lit(0.0))).head()[0]
+    targets = [x * total for x in w]
+    rated, fit = fit_rates(members, targets, values=values, tolerance=tolerance)
     if not fit.met:
-        rated, _ = fit_rates(members, targets, values=values, floor=1.0, tolerance=tolerance, penalty=0.01)
+        rated, _ = fit_rates(members, targets, values=values, tolerance=tolerance, penalty=0.01)
     row = rated.agg(*[F.coalesce(F.sum(F.when(F.lit(x > 0), F.col("rate") * F.col("n_tokens") * p[k])), F.lit(0.0)) for k, x in enumerate(w)]).head()
     return rated, [x / (sum(row) or 1.0) for x in row], fit.met
 
@@ -207,11 +207,11 @@ def fit_shares(members: DataFrame, given: list[float], *, tolerance: float = 1e-
 def resample(docs: DataFrame, labels: DataFrame, weights: dict[str, float], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with each row floor(rate + u) times, u in [0, 1) from the id: the mixture as rows, columns unchanged.
 
-    Rates are fitted at 1 or above, so documents all stay. Targets are shares of the expected tokens of the
-    domains that have a weight; the total is free, so it grows as far as the overlap of posteriors asks for, and
-    of all such rates those closest to 1 are taken. Domains without a weight have no target. If no rates of 1 or
-    above give the shares, the nearest ones by bounded rates are used. The expected shares reached are printed, with a
-    warning if they are off. Rows without an id, and all rows if no document has a label, stay once.
+    Targets are the expected tokens of the domains that have a weight, dealt out by the weights, so the mixture
+    stays as large as the input at every size; of all nonnegative rates that meet them those closest to 1 are taken. Domains without a weight have no
+    target. If no rates meet the targets, the nearest ones by bounded rates are used. The expected shares reached are
+    printed, with a warning if they are off. Rows of one id, repeated or not, are repeated alike. Rows without an id, and all rows if no document has a
+    label, stay once.
     """
     domains = Domains().fit(docs, labels, id_col=id_col, text_col=text_col)
     members = shared.cut(domains.members(docs, id_col=id_col, text_col=text_col), "members")
@@ -222,7 +222,7 @@ def resample(docs: DataFrame, labels: DataFrame, weights: dict[str, float], *, i
     said = f"mixing: expected shares {({x: round(s, 4) for x, s, w in zip(domains.names, shares, given) if w})} for weights {weights}"
     print(said, flush=True)
     if not met:
-        warnings.warn(f"{said}: rates of 1 or above do not meet them", stacklevel=2)
+        warnings.warn(f"{said}: no nonnegative rates meet them", stacklevel=2)
     u = F.pmod(F.xxhash64(F.lit("mix"), F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     decided = rated.groupBy(id_col).agg(F.max(F.floor(F.col("rate") + u).cast("int")).alias("__copies"))
     joined = docs.join(decided, id_col, "left").withColumn("__copies", F.coalesce("__copies", F.lit(1)))
