@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on every row its predecessor kept and returns a DataFrame with
 the columns of documents; the last returns what its files hold. Stages are written and read again.
+
+Null texts count as empty ones and pass every stage; rows without an id pass all decisions that are made by id and
+stand in the token files under the smallest long; repeated rows share every decision; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated by their fitted rates, so that domains have their shares of tokens."""
+    """Documents repeated or left out by their fitted rates, so that domains have their shares of tokens in a corpus of the same size."""
     return mixing.resample(docs, mixing.quality_domains(spark.read.parquet(f"{sf_dir}/labels.parquet")), WEIGHTS)
 
 
