@@ -81,11 +81,13 @@ def sequences(series: DataFrame, length: int = 14, stride: int = 1) -> DataFrame
 
 
 def standardise(rows: DataFrame, fitted_on: DataFrame, columns: list[str]) -> DataFrame:
-    """Columns less their mean, over their population deviation, both from fitted_on; deviation 0 counts as 1."""
-    moments = fitted_on.agg(*[F.avg(c).alias(f"__m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"__s_{c}") for c in columns])
+    """Columns less their signal's mean, over its population deviation, both from fitted_on; deviation 0 counts as 1.
+
+    Moments are one row a signal; a signal that fitted_on lacks has none, and its columns are null.
+    """
+    moments = fitted_on.groupBy("signal").agg(*[F.avg(c).alias(f"__m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"__s_{c}") for c in columns])
     scaled = [((F.col(c) - F.col(f"__m_{c}")) / F.when(F.col(f"__s_{c}") == 0, 1.0).otherwise(F.col(f"__s_{c}"))).alias(c) for c in columns]
-    others = [c for c in rows.columns if c not in columns]
-    return rows.join(F.broadcast(moments)).select(*others, *scaled)
+    return rows.join(moments, "signal", "left").select(*[c for c in rows.columns if c not in columns], *scaled)
 
 
 def weekly(series: DataFrame, k: int) -> DataFrame:

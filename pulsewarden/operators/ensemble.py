@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsewarden.operators import calibrate, metrics
+from pulsewarden.operators import calibrate
 from pulsewarden.operators.slices import SERIES
 
 
@@ -33,14 +33,16 @@ def align_global_tail(scores: DataFrame, detectors: list[str]) -> DataFrame:
     """Scores of several detectors by position from the end of each signal's concatenated series.
 
     This reproduces an alignment that, with unequal windows, pairs different days; vote() by day is the default.
-    Labels come from the first detector. Rows: signal, back (1 = last), y, one score column per detector.
+    Labels come from the first detector. Positions are counted within each series and moved by the sizes of those after it, so
+    no window holds more than a series. Rows: signal, back (1 = last), y, one score column per detector.
     """
-    back = F.row_number().over(Window.partitionBy("signal", "detector").orderBy(F.col("sim").desc(), F.col("t").desc()))
-    ranked = scores.where(F.col("detector").isin(detectors)).select("signal", "detector", "score", "y", back.alias("back"))
+    of = ["signal", "detector"]
+    held = scores.where(F.col("detector").isin(detectors))
+    sizes = held.groupBy(*of, "sim").agg(F.count("*").alias("n"))
+    later = F.sum("n").over(Window.partitionBy(*of).orderBy(F.col("sim").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(*of, "sim", F.coalesce(later, F.lit(0)).alias("later"))
+    back = F.col("later") + F.row_number().over(Window.partitionBy(*of, "sim").orderBy(F.col("t").desc()))
+    ranked = held.join(offsets, [*of, "sim"]).select(*of, "score", "y", back.alias("back"))
     sides = [F.max(F.when(F.col("detector") == d, F.col("score"))).alias(d) for d in detectors]
     joined = ranked.groupBy("signal", "back").agg(F.count("*").alias("n"), F.max(F.when(F.col("detector") == detectors[0], F.col("y"))).alias("y"), *sides)
     return joined.where(F.col("n") == len(detectors)).select("signal", "back", "y", *detectors)
-
-
-def vote_summary(voted: DataFrame) -> DataFrame:
-    return metrics.original(voted)

@@ -6,6 +6,7 @@ planted by a rule (panels.with_outbreaks). Series are shorter than the reference
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -165,12 +166,12 @@ def parse_sim_name(spark, sf):
     return names.select("sim", signal.alias("parsed_signal"), index.alias("parsed_idx"))
 
 
-@query(FULL + """ SELECT t, CAST(max(CASE WHEN sim_idx = 0 AND x > 12 THEN 1 ELSE 0 END) AS INT) AS sim_0, CAST(max(CASE WHEN sim_idx = 1 AND x > 12 THEN 1 ELSE 0 END) AS INT) AS sim_1,
-CAST(max(CASE WHEN sim_idx = 2 AND x > 12 THEN 1 ELSE 0 END) AS INT) AS sim_2 FROM tail WHERE signal = 1 GROUP BY t""")
+@query(FULL + " SELECT signal, t, " + ", ".join(f"CAST(max(CASE WHEN sim_idx = {k} THEN CASE WHEN x > 12 THEN 1 ELSE 0 END END) AS INT) AS sim_{k}" for k in range(6)) + " FROM tail GROUP BY signal, t")
 def wide_alarm_pivot(spark, sf):
-    tail = slices.tail(panel(spark, sf).where("signal = 1"), TAIL).withColumn("a", (F.col("x") > 12).cast("int"))
-    named = tail.withColumn("column", F.concat(F.lit("sim_"), F.col("sim_idx")))
-    return named.groupBy("t").pivot("column", ["sim_0", "sim_1", "sim_2"]).agg(F.first("a"))
+    """Alarms of every series of every signal, a column a simulation; the names come from the small table of series."""
+    tail = slices.tail(panel(spark, sf), TAIL).select("signal", "t", F.concat(F.lit("sim_"), F.col("sim_idx")).alias("sim"), (F.col("x") > 12).cast("int").alias("a"))
+    names = sorted((r[0] for r in tail.select("sim").distinct().collect()), key=lambda x: int(x[4:]))
+    return panels.wide(tail, names, "a", "sim", ("signal", "t"))
 
 
 SPLITS = PANEL + """, sims AS (SELECT DISTINCT signal, sim FROM panel),
@@ -243,13 +244,13 @@ def features4_w14(spark, sf):
     return _rounded(features.features4(slices.tail(panel(spark, sf), TAIL), 14))
 
 
-@query(FULL + f", b AS (SELECT *, list(x) OVER {_W14} AS v, row_number() OVER (PARTITION BY signal, sim ORDER BY t) AS rn FROM tail) SELECT signal, sim, t, array_to_string(list_transform(v, lambda e: CAST(e AS INT)), ',') AS seq, y FROM b WHERE rn >= 14 AND (rn - 14) % 2 = 0")
+@query(FULL + f", b AS (SELECT *, list(x) OVER {_W14} AS v, row_number() OVER (PARTITION BY signal, sim ORDER BY t) AS rn FROM tail) SELECT signal, sim, t, array_to_string(list_transform(v, lambda e: CAST(e AS INT)), ',') AS seq, y FROM b WHERE rn >= 14")
 def seq_windows14(spark, sf):
-    got = features.sequences(slices.tail(panel(spark, sf), TAIL), 14, 2)
+    got = features.sequences(slices.tail(panel(spark, sf), TAIL), 14)
     return got.withColumn("seq", F.concat_ws(",", F.transform("seq", lambda v: v.cast("int").cast("string"))))
 
 
-@query(FULL + ", m AS (SELECT avg(x) AS m, stddev_pop(x) AS s FROM train) SELECT signal, sim, t, round((x - m) / s, 6) AS x FROM tail, m")
+@query(FULL + ", m AS (SELECT signal, avg(x) AS m, stddev_pop(x) AS s FROM train GROUP BY 1) SELECT signal, sim, t, round((x - m) / s, 6) AS x FROM tail JOIN m USING (signal)")
 def standardize(spark, sf):
     p = panel(spark, sf)
     return _rounded(features.standardise(slices.tail(p, TAIL).select(*KEYS, "x"), slices.head(p, TRAIN), ["x"]))
@@ -331,7 +332,8 @@ def tune_two_stage(spark, sf):
     return _rounded(calibrate.two_stage(_val(spark, sf)))
 
 
-MIXES = [(1.0, 0.0), (0.8, 0.2), (0.5, 0.5), (0.0, 1.0)]
+# fixed values
+MIXES = [(1.0, 0.0), (0.95, 0.05), (0.9, 0.1), (0.8, 0.2), (0.7, 0.3), (0.6, 0.4), (0.4, 0.6), (0.3, 0.7), (0.2, 0.8), (0.1, 0.9), (0.05, 0.95), (0.0, 1.0)]
 
 
 def _mix_sql() -> str:
@@ -371,11 +373,16 @@ def tune_negative_tail_beta(spark, sf):
     return _rounded(calibrate.negative_tail(_val(spark, sf), 0.97, beta=0.5))
 
 
-@query(_SC + _tail_sql(0.95, False) + f", r AS (SELECT signal, quantile_cont({_Z}, 0.95) AS rail FROM test GROUP BY 1) SELECT r.signal, round(thr, 6) AS tuned, round(rail, 6) AS rail, round(greatest(thr, rail), 6) AS thr FROM r LEFT JOIN tuned USING (signal)")
+_TRAIN_SC = f", trs AS (SELECT signal, {_Z} AS score FROM (SELECT signal, x, avg(x) OVER {_W14} AS m, stddev_pop(x) OVER {_W14} AS s, row_number() OVER (PARTITION BY signal, sim ORDER BY t) AS rn FROM train) WHERE rn >= 14)"
+
+
+@query(_SC + _tail_sql(0.95, False) + _TRAIN_SC + ", r AS (SELECT signal, quantile_cont(score, 0.95) AS rail FROM trs GROUP BY 1) SELECT r.signal, round(thr, 6) AS tuned, round(rail, 6) AS rail, round(greatest(thr, rail), 6) AS thr FROM r LEFT JOIN tuned USING (signal)")
 def guard_rail(spark, sf):
-    val, test = _scored(spark, sf)
-    tuned = calibrate.negative_tail(val.select(*KEYS, F.col("z").alias("score"), "y"), 0.95)
-    return _rounded(calibrate.guard_rail(tuned, test.select("signal", F.col("z").alias("score"))))
+    """Thresholds tuned on validation days, held up by a percentile of the scores of the train days."""
+    tuned = calibrate.negative_tail(_val(spark, sf), 0.95)
+    train = features.features4(slices.head(panel(spark, sf), TRAIN), 14)
+    scores = train.select("signal", F.round((F.col("x") - F.col("mean")) / (F.col("std") + 1e-6), 9).alias("score"))
+    return _rounded(calibrate.guard_rail(tuned, scores))
 
 
 @query(_scores_sql() + f", q AS (SELECT signal, quantile_cont({_Z}, CASE signal WHEN 1 THEN 0.97 ELSE 0.95 END) AS thr FROM test GROUP BY 1) SELECT t.signal, sim, t, y, CASE WHEN {_Z} >= thr THEN 1 ELSE 0 END AS a FROM test t JOIN q USING (signal)".replace("quantile_cont(" + _Z + ", CASE signal WHEN 1 THEN 0.97 ELSE 0.95 END)", f"CASE signal WHEN 1 THEN quantile_cont({_Z}, 0.97) ELSE quantile_cont({_Z}, 0.95) END"))
@@ -501,7 +508,7 @@ def vote_2of3(spark, sf):
 
 @query(_VOTE + _PER + _ORIGINAL)
 def vote_metrics(spark, sf):
-    return _rounded(ensemble.vote_summary(_voted(spark, sf)))
+    return _rounded(metrics.original(_voted(spark, sf)))
 
 
 @query(_scores_sql() + f""", u AS (SELECT signal, 'z' AS detector, {_Z} AS score, y, sim, t FROM val UNION ALL SELECT signal, 'jump', d, y, sim, t FROM val WHERE rn >= 20),
@@ -523,13 +530,18 @@ def farrington_alarms(spark, sf):
     return farrington.detect(panel(spark, sf))
 
 
-@query("SELECT * FROM (WITH r AS (SELECT l_orderkey AS k, sum(l_quantity) AS y, avg(l_quantity) AS mu FROM lineitem GROUP BY 1), s AS (SELECT k, 1.5 * (pow(y, 2.0 / 3) * pow(mu, -1.0 / 6) - sqrt(mu)) / sqrt(1.2) AS s FROM r), w AS (SELECT k, s, CASE WHEN s > 2.58 THEN 1 / (s * s) ELSE 1.0 END AS w FROM s) SELECT k, round(s, 6) + 0.0 AS residual, round(w * count(*) OVER () / sum(w) OVER (), 6) AS weight FROM w)")
+@query(WEEKS + """, r AS (SELECT *, avg(cases) OVER (PARTITION BY signal, sim) AS mu FROM wk), s AS (SELECT *, 1.5 * (pow(cases, 2.0 / 3) * pow(mu, -1.0 / 6) - sqrt(mu)) / sqrt(1.2) AS s FROM r),
+w AS (SELECT *, CASE WHEN s > 2.58 THEN 1 / (s * s) ELSE 1.0 END AS w FROM s) SELECT signal, sim, week, round(w * count(*) OVER v / sum(w) OVER v, 6) AS weight FROM w WINDOW v AS (PARTITION BY signal, sim)""")
 def farrington_weights(spark, sf):
-    rows = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("k")).agg(F.sum("l_quantity").alias("y"), F.avg("l_quantity").alias("mu"))
-    s = 1.5 * (F.pow("y", F.lit(2.0 / 3)) * F.pow("mu", F.lit(-1.0 / 6)) - F.sqrt("mu")) / F.sqrt(F.lit(1.2))
-    raw = rows.select("k", s.alias("residual")).withColumn("w", F.when(F.col("residual") > 2.58, 1 / (F.col("residual") * F.col("residual"))).otherwise(1.0))
-    scale = raw.agg((F.count("*") / F.sum("w")).alias("g"))
-    return _rounded(raw.join(F.broadcast(scale)).select("k", "residual", (F.col("w") * F.col("g")).alias("weight"))).withColumn("residual", F.col("residual") + 0.0)
+    """Weights of the weeks of each series around its mean, with a dispersion of 1.2 and no leverage."""
+    def weigh(part):
+        y = part["cases"].to_numpy()[None, :]
+        full = lambda v: np.full(y.shape, float(v))
+        weight = farrington.down_weights(y, full(y.mean()), np.array([1.2]), full(0), np.ones(y.shape, bool))[0]
+        return part[["signal", "sim", "week"]].assign(weight=weight)
+
+    weeks = features.weekly(panel(spark, sf), _K)
+    return _rounded(weeks.groupBy("signal", "sim").applyInPandas(weigh, "signal int, sim string, week int, weight double"))
 
 
 def _vectors(spark, sf):
@@ -562,17 +574,24 @@ def seq_recon_scores(spark, sf):
 
 @query()
 def ensemble_full(spark, sf):
-    """Isolation forest, one-class SVM and sequence reconstruction, voted: metrics per signal."""
+    """Isolation forest, one-class SVM and sequence reconstruction, voted: metrics per signal.
+
+    Detectors are fitted on the train days of train series, thresholds tuned on the last days of validation series,
+    and alarms are those of test series.
+    """
     p = panel(spark, sf)
-    labels = p.select(*KEYS, "y")
-    train, test = _vectors(spark, sf)
-    recon = detectors.SequenceReconstructor().fit(features.sequences(slices.head(p, TRAIN)))
-    scored = [detectors.IsolationForest(trees=40).fit(train).score(test), detectors.OneClassSVM(size=300).fit(train).score(test), recon.score(features.sequences(slices.tail(p, TAIL, 13)))]
+    labels, splits = p.select(*KEYS, "y"), slices.split_sims(p)
+    train, last = _vectors(spark, sf)
+    train = slices.restrict(train, splits, "train")
+    fit_on = slices.restrict(p, splits, "train")
+    recon = detectors.SequenceReconstructor().fit(features.sequences(slices.head(fit_on, TRAIN)))
+    scored = [detectors.IsolationForest(trees=40).fit(train).score(last), detectors.OneClassSVM(size=300).fit(train).score(last), recon.score(features.sequences(slices.tail(p, TAIL, 13)))]
     parts = []
     for k, rows in enumerate(scored):
         labelled = rows.join(labels, KEYS)
-        parts.append(calibrate.alarms(labelled, calibrate.negative_tail(labelled, 0.95)).select(*KEYS, F.lit(k).alias("detector"), "a", "y"))
-    return ensemble.vote_summary(ensemble.vote(parts[0].unionByName(parts[1]).unionByName(parts[2])))
+        tuned = calibrate.negative_tail(slices.restrict(labelled, splits, "val"), 0.95)
+        parts.append(calibrate.alarms(slices.restrict(labelled, splits, "test"), tuned).select(*KEYS, F.lit(k).alias("detector"), "a", "y"))
+    return metrics.original(ensemble.vote(parts[0].unionByName(parts[1]).unionByName(parts[2])))
 
 
 @query(FULL + f", b AS (SELECT *, row_number() OVER (PARTITION BY signal, sim ORDER BY t) AS rn, avg(x) OVER {_W14} AS m, stddev_pop(x) OVER {_W14} AS s FROM tail), sc AS (SELECT signal, sim, t, y, round((x - m) / (s + 1e-6), 9) AS score FROM b WHERE rn >= 14), q AS (SELECT signal, quantile_cont(score, 0.95) AS thr FROM sc GROUP BY 1), al AS (SELECT sc.signal, sim, t, y, CASE WHEN score >= thr THEN 1 ELSE 0 END AS a FROM sc JOIN q USING (signal))" + _PER + f" SELECT {_EACH} FROM ps")

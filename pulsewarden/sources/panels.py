@@ -69,14 +69,14 @@ def check_shapes(frames: dict[str, DataFrame]) -> None:
 def daily_panel(events: DataFrame, day: Column, keys: list[str], signal: int = 1) -> DataFrame:
     """Counts per day and key, with every day of the table's range present and zeros filled in.
 
-    Series are numbered by their sorted key; keys are few (one series each) and day ranges are short, so
-    the calendar of all series is small beside the events and is built by sequences, not by a cross join of rows.
+    Series are numbered by their sorted key; the keys (one a series) are sorted in one row, then dealt out, and
+    each key's days are made where the key went, by sequences and not by a cross join of rows.
     """
     counted = events.select(day.cast("date").alias("day"), F.concat_ws("/", *keys).alias("key")).groupBy("key", "day").agg(F.count("*").cast("double").alias("x"))
     span = counted.agg(F.min("day").alias("first"), F.max("day").alias("last"))
     names = counted.select("key").distinct().agg(F.array_sort(F.collect_set("key")).alias("names"))
     calendar = names.join(F.broadcast(span)).select(F.posexplode("names").alias("sim_idx", "key"), "first", "last")
-    calendar = calendar.select("sim_idx", "key", F.posexplode(F.sequence("first", "last")).alias("t", "day"))
+    calendar = calendar.repartition("key").select("sim_idx", "key", F.posexplode(F.sequence("first", "last")).alias("t", "day"))
     filled = calendar.join(counted, ["key", "day"], "left")
     return filled.select(F.lit(signal).alias("signal"), sim_name(F.lit(signal), F.col("sim_idx")).alias("sim"), "sim_idx", "t", F.coalesce("x", F.lit(0.0)).alias("x"))
 
@@ -91,10 +91,14 @@ def join_labels(series: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ("
     return series.join(labels, list(keys))
 
 
+def wide(alarms: DataFrame, sims: list[str], value: str = "a", by: str = "sim", keys: tuple[str, ...] = ("t",)) -> DataFrame:
+    """A row per day, a column per simulation, null where a simulation has no such day. The simulations are given, so that no pass finds them."""
+    return alarms.groupBy(*keys).pivot(by, sims).agg(F.first(value))
+
+
 def write_wide(alarms: DataFrame, path: str, sims: list[str], value: str = "a", by: str = "sim") -> None:
-    """One CSV file, a row per day in order, a column per simulation. The simulations are given, so that no pass finds them."""
-    wide = alarms.groupBy("t").pivot(by, sims).agg(F.first(value)).orderBy("t").drop("t")
-    wide.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """One CSV file, a row per day in order, a column per simulation."""
+    wide(alarms, sims, value, by).orderBy("t").drop("t").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_table(rows: DataFrame, path: str, order: list[str], header: bool = True) -> None:
