@@ -10,6 +10,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsewarden.llm import shared
+
 ALLOW, BLOCK = "allow", "block"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = (
@@ -38,7 +40,7 @@ def apply_rules(rows: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame
     expression; no join is made.
     """
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for what, host, path in sorted(rules, key=lambda r: len(r[1]) + len(r[2])) if rules else []:
+    for what, host, path in sorted(reversed(rules), key=lambda r: len(r[1]) + len(r[2])):  # the last that fits counts
         fits = ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(path)
         rule = F.when(fits, F.lit(host + path)).otherwise(rule)
         verdict = F.when(fits, F.lit(what)).otherwise(verdict)
@@ -46,10 +48,9 @@ def apply_rules(rows: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame
 
 
 def _entropy(text: Column) -> Column:
-    """Shannon entropy in bits of a short ASCII-like string's characters."""
-    chars = F.split(text, "")
-    size = F.greatest(F.length(text), F.lit(1)).cast("double")
-    share = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / size)
+    """Shannon entropy in bits of all characters of a string, from the runs of equal ones once they are sorted."""
+    runs = F.regexp_extract_all(F.array_join(F.array_sort(F.split(text, "")), ""), F.lit(r"(?s)(.)\1*"), F.lit(0))
+    share = F.transform(runs, lambda run: F.length(run) / F.length(text).cast("double"))
     return F.when(F.length(text) > 0, -F.aggregate(share, F.lit(0.0), lambda s, p: s + p * F.log2(p))).otherwise(0.0)
 
 
@@ -57,8 +58,8 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("double")
 
 
-def lexical(rows: DataFrame, entropy_chars: int = 256) -> DataFrame:
-    """Lexical feature columns of url, host, path. Entropy looks at the first `entropy_chars` characters."""
+def lexical(rows: DataFrame) -> DataFrame:
+    """Lexical feature columns of url, host, path, over the whole strings."""
     url = F.coalesce(F.col("url"), F.lit(""))
     query = F.when(F.instr(url, "?") > 0, F.substring_index(url.substr(F.instr(url, "?") + 1, F.length(url)), "#", 1)).otherwise(F.lit(""))
     size = F.greatest(F.length(url), F.lit(1))
@@ -73,8 +74,8 @@ def lexical(rows: DataFrame, entropy_chars: int = 256) -> DataFrame:
         (_count(url, "[0-9]") / size).alias("digit_ratio"),
         (_count(F.col("host"), "[0-9]") / F.greatest(F.length("host"), F.lit(1))).alias("host_digit_ratio"),
         _count(F.col("host"), "-").alias("hyphens"),
-        _entropy(F.substring("host", 1, entropy_chars)).alias("host_entropy"),
-        _entropy(F.substring(url, 1, entropy_chars)).alias("url_entropy"),
+        _entropy(F.col("host")).alias("host_entropy"),
+        _entropy(url).alias("url_entropy"),
         F.when(query == "", 0.0).otherwise(_count(query, "&") + 1).alias("parameters"),
         (F.instr(url, "#") > 0).cast("double").alias("has_fragment"),
         F.col("path").endswith("/").cast("double").alias("ends_in_slash"),
@@ -86,37 +87,50 @@ def lexical(rows: DataFrame, entropy_chars: int = 256) -> DataFrame:
 class Filter:
     """Rules, boosted trees and suffix statistics fitted on labelled URLs."""
 
-    def __init__(self, rules: list[tuple[str, str, str]], *, bound: int = 20_000, trees: int = 12, depth: int = 4, prior: float = 20.0):
-        self.rules, self.bound, self.trees, self.depth, self.prior = rules, bound, trees, depth, prior
-        self.model, self.suffixes, self.base = None, [], 0.0
+    def __init__(self, rules: list[tuple[str, str, str]], *, bound: int = 20_000, trees: int = 12, depth: int = 4, prior: float = 20.0, folds: int = 5, broadcast_rows: int = 200_000):
+        self.rules, self.bound, self.trees, self.depth = rules, bound, trees, depth
+        self.prior, self.folds, self.broadcast_rows = prior, folds, broadcast_rows
+        self.model, self.suffixes, self.base = None, None, 0.0
         self.assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep")
 
-    def _with_suffix_rate(self, rows: DataFrame) -> DataFrame:
-        """Share of blocked URLs by host suffix, drawn towards the overall share; suffixes are few and bounded."""
-        if not self.suffixes:
-            return rows.withColumn("suffix_rate", F.lit(self.base)).withColumn("suffix_known", F.lit(0.0))
-        rates = F.create_map(*[F.lit(x) for pair in self.suffixes for x in pair])
-        found = F.try_element_at(rates, F.col("suffix"))
-        return rows.withColumn("suffix_rate", F.coalesce(found, F.lit(self.base))).withColumn("suffix_known", found.isNotNull().cast("double"))
+    def _with_suffix_rate(self, rows: DataFrame, held_out: bool = False) -> DataFrame:
+        """Share of blocked URLs by host suffix, drawn towards the overall share.
+
+        With held_out, rates are those of the other folds: of labelled rows none counts its own label.
+        """
+        whole = self.suffixes.groupBy("suffix").agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
+        small = whole.limit(self.broadcast_rows + 1).count() <= self.broadcast_rows
+        out = rows.join(F.broadcast(whole) if small else whole, "suffix", "left")
+        b, n = F.coalesce("b", F.lit(0.0)), F.coalesce("n", F.lit(0))
+        if held_out:
+            own = self.suffixes.select("suffix", F.col("fold"), F.col("b").alias("b_own"), F.col("n").alias("n_own"))
+            out = out.withColumn("fold", self._fold()).join(own, ["suffix", "fold"], "left")
+            b, n = b - F.coalesce("b_own", F.lit(0.0)), n - F.coalesce("n_own", F.lit(0))
+        return out.withColumn("suffix_rate", F.coalesce(F.try_divide(b + self.prior * self.base, n + self.prior), F.lit(self.base))).withColumn("suffix_known", (n > 0).cast("double"))
+
+    def _fold(self) -> Column:
+        return F.pmod(F.xxhash64(F.lit("fold"), F.col("url")), F.lit(self.folds))
 
     def fit(self, labelled: DataFrame) -> "Filter":
-        """Fit on (url, blocked) rows; at most `bound` rows, those whose urls hash lowest, are used.
+        """Fit on (url, blocked) rows: suffix rates on all of them, trees on `bound` different ones, those whose urls hash lowest.
 
-        Null labels and urls are left out. Without both labels among the rows no trees are grown, and every
-        URL that no rule decides gets the commoner label (allow if there are none).
+        Rows that repeat a url and label are one with their number as weight. Null labels and urls are left out.
+        Without both labels among the rows no trees are grown, and every URL that no rule decides gets the commoner
+        label (allow if there are none).
         """
-        some = labelled.where(F.col("url").isNotNull() & F.col("blocked").isNotNull()).select("url", F.col("blocked").cast("double").alias("blocked"))
-        some = some.orderBy(F.xxhash64("url"), "url", "blocked").limit(self.bound)
+        some = labelled.where(F.col("url").isNotNull() & F.col("blocked").isNotNull()).groupBy("url", F.col("blocked").cast("double").alias("blocked")).agg(F.count("*").cast("double").alias("weight"))
         host, path = host_and_path(F.col("url"))
-        rows = lexical(some.withColumn("host", host).withColumn("path", path)).persist()
-        counted = rows.agg(F.avg("blocked"), F.min("blocked"), F.max("blocked")).head()
-        self.base = counted[0] or 0.0
-        stats = rows.groupBy("suffix").agg(F.sum("blocked").alias("b"), F.count("*").alias("n")).orderBy(F.desc("n"), "suffix").limit(200).collect()
-        self.suffixes = [(r.suffix, (r.b + self.prior * self.base) / (r.n + self.prior)) for r in stats]
-        if counted[1] is not None and counted[1] != counted[2]:
-            ready = self.assembler.transform(self._with_suffix_rate(rows)).select("features", "blocked")
-            self.model = GBTClassifier(labelCol="blocked", maxIter=self.trees, maxDepth=self.depth, seed=7).fit(ready)
-        rows.unpersist()
+        some = some.withColumn("host", host).withColumn("path", path)
+        suffix = F.substring_index("host", ".", -1).alias("suffix")
+        stats = some.groupBy(suffix, self._fold().alias("fold")).agg(F.sum(F.col("blocked") * F.col("weight")).alias("b"), F.sum("weight").cast("long").alias("n"))
+        self.suffixes = shared.cut(stats, "suffixes")
+        blocked, count = self.suffixes.agg(F.coalesce(F.sum("b"), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0))).head()
+        self.base = blocked / count if count else 0.0
+        rows = shared.cut(self._with_suffix_rate(lexical(some.orderBy(F.xxhash64("url"), "url", "blocked").limit(self.bound)), True).select(*FEATURES, "blocked", "weight"), "labelled-urls")
+        least, most = rows.agg(F.min("blocked"), F.max("blocked")).head()
+        if least is not None and least != most:
+            ready = self.assembler.transform(rows).select("features", "blocked", "weight")
+            self.model = GBTClassifier(labelCol="blocked", weightCol="weight", maxIter=self.trees, maxDepth=self.depth, seed=7).fit(ready)
         return self
 
     def judge(self, pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -146,17 +160,3 @@ def labelled_by_rules(pages: DataFrame, rules: list[tuple[str, str, str]], *, ur
 
 #: The rules of the query.
 RULES = [(ALLOW, "com", "/"), (BLOCK, "example.com", "/en/"), (ALLOW, "www.example.com", "/en/"), (BLOCK, "net", "/es/"), (BLOCK, "net", "/fr/")]
-
-
-def host_path_rule(url: str | None, rules=tuple(RULES)) -> tuple[str, str, str | None, str | None]:
-    """Reference for tests: (host, path, rule, verdict of the rule)."""
-    _, mark, rest = (url or "").partition("://")
-    if not mark:
-        rest = ""
-    ends = [rest.find(c) for c in "/?#" if c in rest]
-    cut = min(ends, default=len(rest))
-    host, after = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:cut]), rest[cut:]
-    path = after[: min([after.find(c) for c in "?#" if c in after], default=len(after))]
-    fit = [(len(h) + len(p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
-    best = max(fit, default=None, key=lambda x: x[0])
-    return host, path, best and best[1], best and best[2]
