@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pulsewarden.llm import shared, words
 
@@ -177,7 +178,7 @@ def match(matcher: Matcher, split: words.Words) -> tuple[list[tuple[int, int, in
     return spans, sorted(found)
 
 
-def _scan(text_column: str, id_type: pa.DataType, shards: list, remove: bool, max_coverage: float):
+def _scan(text_column: str, id_type: pa.DataType, shards: list, remove: bool):
     schema = [("n_words", pa.int64()), ("n_hit", pa.int64()), ("longest", pa.int64()), ("items", pa.list_(id_type)),
               ("spans", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))),
               ("cleaned", pa.string()), ("coverage", pa.float64())]
@@ -237,7 +238,7 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def find(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
          item_text_col: str = "text", window: int = 10, keep: tuple[str, ...] = (), remove: bool = False,
-         shard_bytes: int = 32 << 20, max_coverage: float = 1.0) -> DataFrame:
+         shard_bytes: int = 32 << 20) -> DataFrame:
     """Per document: its id and kept columns, n_words, n_hit, longest, items, spans, cleaned, coverage (each after `__`).
 
     The benchmark is a stated query set: it is read to the driver in shards of at most `shard_bytes` of
@@ -258,12 +259,11 @@ def find(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
         if matcher:
             shards.append(spark.sparkContext.broadcast(matcher))
     item_type = benchmark.schema[item_col].dataType.simpleString()
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
     columns = list(dict.fromkeys([id_col, *keep, text_col] if remove else [id_col, *keep]))
     read = docs.select(*[F.col(c) for c in dict.fromkeys([*columns, text_col])])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema)
     schema += f", __n_words long, __n_hit long, __longest long, __items array<{item_type}>, __spans {SPANS}, __cleaned string, __coverage double"
-    scanned = read.mapInArrow(_scan(text_col, kinds[item_type], shards, remove, max_coverage), schema)
+    scanned = read.mapInArrow(_scan(text_col, to_arrow_type(benchmark.schema[item_col].dataType), shards, remove), schema)
     return scanned if remove else scanned.drop(*({text_col} - set(columns)))
 
 
@@ -289,28 +289,3 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_hit").alias("n_hit"),
                         F.size("__items").cast("long").alias("n_items"), F.sha2(named, 256).alias("items_sha256"),
                         (F.col("__n_hit") > 0).alias("contaminated"), F.col("__longest").alias("longest_span"))
-
-
-def brute(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], window: int = 10) -> dict:
-    """Reference by plain window sets, for tests: doc id -> (n_words, n_hit, n_items, items_sha256)."""
-    import re
-
-    def split(text):
-        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
-
-    windows: dict[tuple, set] = {}
-    for item, text in items:
-        w = split(text)
-        for at in range(max(len(w) - window + 1, min(1, len(w)))):
-            windows.setdefault(tuple(w[at : at + window]), set()).add(item)
-    sizes = {len(w) for w in windows}
-    out = {}
-    for doc, text in docs:
-        w, hit, found = split(text), set(), set()
-        for size in sizes:
-            for at in range(len(w) - size + 1):
-                if (run := tuple(w[at : at + size])) in windows:
-                    hit.update(range(at, at + size))
-                    found |= windows[run]
-        out[doc] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest())
-    return out
