@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 FREQUENCY, YEARS, HALF_WINDOW, GROUPS = 52.18, 5, 3, 10
 RECENT, ALPHA, ENOUGH, DAYS = 28, 0.01, 5, 343
-SCHEMA = "signal int, sim string, t int, mu double, upper double, exceedance double, alarm double, alarmall double, trend double, status string"
+SCHEMA = "signal int, sim string, t int, mu double, upper double, exceedance double, alarm double, alarmall double, trend double, slope double, status string"
 
 
 def lag_groups(last: int = 330) -> np.ndarray:
@@ -41,16 +41,18 @@ def group_table() -> list[tuple[int, int]]:
     return [(lag, int(groups[lag])) for lag in range(RECENT, 266)]
 
 
-def fit(y: np.ndarray, groups: np.ndarray, x: np.ndarray, used: np.ndarray, weights: np.ndarray):
+def fit(y: np.ndarray, groups: np.ndarray, x: np.ndarray, used: np.ndarray, weights: np.ndarray, trend: np.ndarray | None = None):
     """Quasi-Poisson fits of each row of y (days by weeks): mean, dispersion, leverage, slope, log effect of group 1.
 
     Weighted likelihood equations for log mu = a_g + b * x with weights w: a_g = log(sum w y / sum w e^(b x)) over
-    the group, b by Newton on the profile score.
+    the group, b by Newton on the profile score. Rows where trend is False, and those whose Newton search does not
+    settle, are fitted without slope; their slope is NaN.
     """
     w = np.where(used, weights, 0.0)
     member = (groups[:, None] == np.arange(1, GROUPS + 1)[None, :]).astype(float)
     total = (w * y) @ member
     centred = x - x.mean()
+    sloped = np.ones(len(y), bool) if trend is None else trend.copy()
     b = np.zeros(len(y))
     sum_xy = (w * y * centred).sum(axis=1)
     for _ in range(40):
@@ -61,10 +63,12 @@ def fit(y: np.ndarray, groups: np.ndarray, x: np.ndarray, used: np.ndarray, weig
             var = np.where(s0 > 0, s2 / s0 - mean**2, 0.0)
         score = sum_xy - (total * mean).sum(axis=1)
         info = (total * var).sum(axis=1)
-        move = np.where(info > 1e-12, score / np.maximum(info, 1e-12), 0.0)
+        move = np.where(sloped & (info > 1e-12), score / np.maximum(info, 1e-12), 0.0)
         b = b + np.clip(move, -0.2, 0.2)
         if np.abs(move).max(initial=0.0) < 1e-10:
             break
+    sloped &= np.isfinite(b) & (np.abs(move) < 1e-6)
+    b = np.where(sloped, b, 0.0)
     e = w * np.exp(np.clip(b[:, None] * centred, -30, 30))
     s0 = e @ member
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -77,10 +81,11 @@ def fit(y: np.ndarray, groups: np.ndarray, x: np.ndarray, used: np.ndarray, weig
     off = centred - mean @ member.T
     info = (wm * off**2).sum(axis=1)
     within = np.where(mass > 0, 1 / np.where(mass > 0, mass, 1.0), 0.0) @ member.T
-    leverage = np.clip(wm * (within + off**2 / np.maximum(info, 1e-12)[:, None]), 0, 0.999)
-    n = used.sum(axis=1) - (mass > 0).sum(axis=1) - 1
+    along = np.where(sloped[:, None], off**2 / np.maximum(info, 1e-12)[:, None], 0.0)
+    leverage = np.clip(wm * (within + along), 0, 0.999)
+    n = used.sum(axis=1) - (mass > 0).sum(axis=1) - sloped
     phi = np.maximum((np.where(used, w * (y - mu) ** 2 / np.maximum(mu, 1e-12), 0.0)).sum(axis=1) / np.maximum(n, 1), 1.0)
-    return mu, phi, leverage, b, effect[:, 0] - b * x.mean()
+    return mu, phi, leverage, np.where(sloped, b, np.nan), effect[:, 0] - b * x.mean()
 
 
 def down_weights(y: np.ndarray, mu: np.ndarray, phi: np.ndarray, leverage: np.ndarray, used: np.ndarray, cut: float = 2.58) -> np.ndarray:
@@ -91,19 +96,27 @@ def down_weights(y: np.ndarray, mu: np.ndarray, phi: np.ndarray, leverage: np.nd
     return raw * (used.sum(axis=1) / np.maximum(raw.sum(axis=1), 1e-12))[:, None]
 
 
-def quantile(mu: float, phi: float, p: float) -> int:
-    """Smallest count whose cumulated probability reaches p: Poisson if phi is 1, else negative binomial."""
-    log_mu = np.log(max(mu, 1e-12))
-    top = int(mu + 12 * np.sqrt(max(mu * phi, 1.0)) + 40)
-    k = np.arange(top + 1)
-    factorial = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, top + 1)))])
-    if phi <= 1 + 1e-9:
-        log_p = k * log_mu - mu - factorial
-    else:
-        size = mu / (phi - 1)
-        rising = np.concatenate([[0.0], np.cumsum(np.log(size + np.arange(top)))])
-        log_p = rising - factorial + size * np.log(1 / phi) + k * np.log(1 - 1 / phi)
-    return int(np.searchsorted(np.cumsum(np.exp(log_p)), p - 1e-12).clip(0, top))
+def quantile(mu: np.ndarray, phi: np.ndarray, p: float) -> np.ndarray:
+    """Smallest counts whose cumulated probability reaches p, all days at once: Poisson if phi is 1, else negative binomial.
+
+    Each probability is the one before it times (mu + (k - 1) (phi - 1)) / (k phi), which holds for both.
+    """
+    mu, phi = np.maximum(np.atleast_1d(mu).astype(float), 1e-12), np.maximum(np.atleast_1d(phi).astype(float), 1.0)
+    top = (mu + 12 * np.sqrt(np.maximum(mu * phi, 1.0)) + 14 * phi + 40).astype(int)
+    out = np.zeros(len(mu), int)
+    order = np.argsort(top, kind="stable")
+    at = 0
+    while at < len(order):
+        step = max(1, 2_000_000 // int(top[order[min(at + 63, len(order) - 1)]] + 1))
+        rows = order[at : at + min(step, 64)]
+        at += len(rows)
+        m, f, k = mu[rows, None], phi[rows, None], np.arange(1, top[rows].max() + 1)[None, :]
+        over = f - 1
+        none = np.where(over > 1e-9, -m * np.log(f) / np.maximum(over, 1e-9), -m)
+        log_p = none + np.cumsum(np.log((m + (k - 1) * over) / (k * f)), axis=1)
+        reached = np.cumsum(np.concatenate([np.exp(none), np.exp(log_p)], axis=1), axis=1) >= p - 1e-12
+        out[rows] = np.where(reached.any(axis=1), reached.argmax(axis=1), top[rows])
+    return out
 
 
 def one_series(x: np.ndarray, days: int = DAYS, alpha: float = ALPHA) -> dict[str, np.ndarray]:
@@ -116,7 +129,6 @@ def one_series(x: np.ndarray, days: int = DAYS, alpha: float = ALPHA) -> dict[st
     last = ends[:, None] - 7 * lags[None, :]
     whole = last - 6 >= 0
     y = np.where(whole, cumulated[np.clip(last + 1, 0, n)] - cumulated[np.clip(last - 6, 0, n)], 0.0)
-    weeks = np.round((ends + 1) / 7).astype(int)
     nonzero = np.flatnonzero(x > 0)
     first_day = nonzero[0] if len(nonzero) else n
     history = np.where(len(nonzero), (ends - first_day) // 7, 0)
@@ -124,35 +136,43 @@ def one_series(x: np.ndarray, days: int = DAYS, alpha: float = ALPHA) -> dict[st
     used = whole & (lags[None, :] >= 27) & (lags[None, :] <= history[:, None])
     full = history >= FREQUENCY * YEARS + HALF_WINDOW + 1
     used &= ~(full[:, None] & (lags[None, :] < RECENT))
-    few = (used & (y > 0)).sum(axis=1) < 2
+    cases = used & (y > 0)
+    few = cases.sum(axis=1) < 2
+    newest, oldest = cases.argmax(axis=1), len(lags) - 1 - cases[:, ::-1].argmax(axis=1)
+    spread_out = oldest - newest >= 52
     ones = np.ones_like(y)
     slope_at = -lags.astype(float)
-    mu, phi, leverage, _, _ = fit(y, groups, slope_at, used, ones)
+    mu, phi, leverage, first, _ = fit(y, groups, slope_at, used, ones, spread_out)
     weights = down_weights(y, mu, phi, leverage, used)
-    _, phi, _, b, base = fit(y, groups, slope_at, used, weights)
-    predicted = np.exp(np.clip(base, -60, 60))
+    _, phi, _, b, base = fit(y, groups, slope_at, used, weights, ~np.isnan(first))
+    # weeks of a full history are counted from a fractional one, so the current week lies further by its fraction
+    fraction = np.where(full, np.ceil(FREQUENCY * YEARS) - FREQUENCY * YEARS, 0.0)
+    predicted = np.exp(np.clip(base - np.nan_to_num(b) * fraction, -60, 60))
     recent = cumulated[ends + 1] - cumulated[np.maximum(ends - 27, 0)]
-    upper = np.array([max(1, quantile(m, f, 1 - alpha)) for m, f in zip(predicted, phi)], float)
+    upper = np.maximum(quantile(predicted, phi, 1 - alpha), 1).astype(float)
     spread = upper - predicted
     exceedance = (y[:, 0] - predicted) / np.where(np.abs(spread) < 1e-12, 1e-12, spread)
     status = np.where(short, "short", np.where(few, "few", np.where(recent < ENOUGH, "low", "ok")))
-    alarmall = np.where(short, 1e300, np.where(few, np.inf, (exceedance > 1).astype(float)))
+    marked = lambda value: np.where(short, 1e300, np.where(few, np.inf, value))
+    alarmall = marked((exceedance > 1).astype(float))
     alarm = np.where(status == "low", 1e-300, alarmall)
     missing = short | few
-    return {"t": ends, "mu": np.where(missing, np.nan, predicted), "upper": np.where(missing, np.nan, upper), "exceedance": np.where(missing, np.nan, exceedance),
-            "alarm": alarm, "alarmall": alarmall, "trend": np.where(missing, np.nan, b), "status": status, "weeks": weeks}
+    return {"t": ends, "mu": np.where(missing, np.nan, predicted), "upper": marked(upper), "exceedance": np.where(missing, np.nan, exceedance), "alarm": alarm,
+            "alarmall": alarmall, "trend": marked((~np.isnan(b)).astype(float)), "slope": np.where(missing, np.nan, b), "status": status}
 
 
 def detect(series: DataFrame, days: int = DAYS, alpha: float = ALPHA) -> DataFrame:
     """Alarms of the last `days` days of each series; a series, some thousand days long, is one group.
 
     alarm is 1 or 0, or a sentinel: 1e300 for too short a history, infinity for too few weeks with cases, 1e-300
-    for too few recent cases (alarmall keeps 1 or 0 there). status names them. Missing counts are 0.
+    for too few recent cases (alarmall keeps 1 or 0 there). status names them; upper and trend have the first two as
+    well. trend is 1 where a slope was fitted, 0 where all weeks with cases lie within a year or the slope's search did
+    not settle; slope is its value a week, null without one. Missing counts are 0.
     """
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("t")
         got = one_series(part["x"].fillna(0.0).to_numpy(), days, alpha)
-        out = pd.DataFrame({k: got[k] for k in ("t", "mu", "upper", "exceedance", "alarm", "alarmall", "trend", "status")})
+        out = pd.DataFrame({k: got[k] for k in ("t", "mu", "upper", "exceedance", "alarm", "alarmall", "trend", "slope", "status")})
         out.insert(0, "sim", part["sim"].iloc[0])
         out.insert(0, "signal", part["signal"].iloc[0])
         return out

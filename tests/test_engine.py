@@ -148,6 +148,65 @@ def test_farrington_groups_weights_and_quantiles():
     assert np.isclose(farrington.down_weights(y, mu, phi, leverage, used).sum(axis=1), 238).all()
 
 
+def _dense_fit(y, groups, x, w, sloped):
+    """Iteratively reweighted least squares on the whole design matrix: coefficients, dispersion, leverage."""
+    design = (groups[:, None] == np.unique(groups)[None, :]).astype(float)
+    design = np.column_stack([design, x]) if sloped else design
+    mu = y + 0.1
+    for _ in range(60):
+        z = np.log(mu) + (y - mu) / mu
+        root = np.sqrt(w * mu)
+        beta = np.linalg.lstsq(design * root[:, None], z * root, rcond=None)[0]
+        mu = np.exp(design @ beta)
+    q = np.linalg.qr(design * np.sqrt(w * mu)[:, None])[0]
+    return beta, mu, max((w * (y - mu) ** 2 / mu).sum() / (len(y) - design.shape[1]), 1.0), (q**2).sum(axis=1)
+
+
+@pytest.mark.parametrize("sloped", [True, False])
+def test_farrington_fit_against_dense_regression(sloped):
+    rng = np.random.default_rng(3)
+    lags = np.arange(28, 266)
+    groups = farrington.lag_groups(265)
+    y = np.zeros((1, 266))
+    y[0, 28:] = rng.negative_binomial(4, 0.2, len(lags))
+    w = np.ones_like(y)
+    w[0, 28:] = rng.uniform(0.1, 1.5, len(lags))
+    used = np.zeros(y.shape, bool)
+    used[:, 28:] = True
+    mu, phi, leverage, b, base = farrington.fit(y, groups, -np.arange(266.0), used, w, np.array([sloped]))
+    beta, dense, dispersion, hat = _dense_fit(y[0, 28:], groups[28:], -lags.astype(float), w[0, 28:], sloped)
+    assert np.allclose(mu[0, 28:], dense) and np.isclose(phi[0], dispersion) and np.allclose(leverage[0, 28:], hat)
+    assert np.isclose(base[0], beta[0]) and (np.isclose(b[0], beta[-1]) if sloped else np.isnan(b[0]))
+
+
+def test_farrington_quantiles_by_summing():
+    def slow(mu, phi, p):
+        k, total, term = 0, 0.0, np.exp(-mu) if phi == 1 else phi ** (-mu / (phi - 1))
+        while True:
+            total += term
+            if total >= p - 1e-12:
+                return k
+            k += 1
+            term *= mu / k if phi == 1 else (mu / (phi - 1) + k - 1) / k * (1 - 1 / phi)
+
+    cells = [(m, f) for m in (1e-6, 0.3, 3.0, 40.0, 300.0) for f in (1.0, 1.5, 4.0, 60.0)]
+    got = farrington.quantile(np.array([m for m, _ in cells]), np.array([f for _, f in cells]), 0.99)
+    assert got.tolist() == [slow(m, f, 0.99) for m, f in cells]
+
+
+def test_farrington_trend_flag():
+    rng = np.random.default_rng(5)
+    x = rng.poisson(2, 2500).astype(float)
+    got = farrington.one_series(x)
+    assert (got["trend"] == 1).all() and not np.isnan(got["slope"]).any()
+    burst = np.zeros(2500)
+    burst[1000] = 3
+    burst[1200:1300] = rng.poisson(3, 100)
+    got = farrington.one_series(burst, 100)
+    assert set(got["status"]) == {"low"} and (got["trend"] == 0).all() and np.isnan(got["slope"]).all()
+    assert (farrington.one_series(np.zeros(2500))["trend"] == 1e300).all()
+
+
 def test_farrington_alarms_and_sentinels(spark):
     rng = np.random.default_rng(4)
     x = rng.poisson(6, 2500).astype(float)
