@@ -155,6 +155,28 @@ def choose_config(tuned: DataFrame, target: float) -> DataFrame:
     return best(tuned.withColumn("objective", score), [F.col("objective").desc_nulls_last(), F.col("config").asc()], ["signal"])
 
 
+def with_default(tuned: DataFrame, train_errors: DataFrame, mix: int, percent: float = 95.0) -> DataFrame:
+    """The tuned mixes, and for signals without validation days the default mix with a percentile of the mean error of train days.
+
+    tuned is what mixes returns, train_errors has signal and mse. The threshold of such a signal is one of the mean
+    error alone, though its scores are those of the mix.
+    """
+    rest = train_errors.join(tuned.select("signal"), "signal", "left_anti")
+    missing = lambda: F.lit(None).cast("double")
+    spare = rest.groupBy("signal").agg(F.percentile("mse", percent / 100).alias("thr")).select(
+        "signal", F.lit(mix).alias("mix"), F.lit("default").alias("stage"), F.lit(percent).alias("percent"), "thr", missing().alias("sens"), missing().alias("spec"))
+    return tuned.unionByName(spare)
+
+
+def apply_choice(scores: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Scores of each signal's chosen configuration, with a = 1 where they reach its threshold.
+
+    scores: signal, sim, t, config, score, y; chosen: signal, config, thr, a row a signal.
+    """
+    small = F.broadcast(chosen.select("signal", "config", "thr"))
+    return scores.join(small, ["signal", "config"]).withColumn("a", (F.col("score") >= F.col("thr")).cast("int")).drop("thr")
+
+
 def alarms(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Scores with a = 1 where they reach their signal's threshold."""
     small = F.broadcast(thresholds.select("signal", "thr"))

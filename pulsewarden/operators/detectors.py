@@ -7,6 +7,8 @@ tables that scoring joins by signal.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
 from typing import Protocol
 
 import numpy as np
@@ -16,6 +18,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsewarden.operators import calibrate, slices
+
 KEYS = ["signal", "sim", "t"]
 
 
@@ -43,10 +47,13 @@ def _sampled(train: DataFrame, draws: int, size: int, seed: int) -> DataFrame:
 
 
 class IsolationForest:
-    """Isolation forest: per tree a sample of `size` rows and a share of features; score 2^(-depth / c(size))."""
+    """Isolation forest: per tree a sample of `size` rows and a share of features; score 2^(-depth / c(size)).
+
+    Rows are scored in `blocks` tasks a signal, each of which gets the trees; very many rows want more.
+    """
 
-    def __init__(self, trees: int = 100, size: int = 256, feature_share: float = 1.0, seed: int = 42):
-        self.name, self.trees, self.size, self.feature_share, self.seed = "iforest", trees, size, feature_share, seed
+    def __init__(self, trees: int = 100, size: int = 256, feature_share: float = 1.0, seed: int = 42, blocks: int = 64):
+        self.name, self.trees, self.size, self.feature_share, self.seed, self.blocks = "iforest", trees, size, feature_share, seed, blocks
         self.model: DataFrame | None = None
 
     def fit(self, train: DataFrame) -> "IsolationForest":
@@ -87,7 +94,7 @@ class IsolationForest:
 
     def score(self, rows: DataFrame) -> DataFrame:
         """Trees travel once a signal and block of rows, as rows of a block are scored together."""
-        blocks = rows.groupBy("signal", F.pmod(F.xxhash64("sim", F.floor(F.col("t") / 512)), F.lit(64)).alias("block"))
+        blocks = rows.groupBy("signal", F.pmod(F.xxhash64("sim", F.floor(F.col("t") / 512)), F.lit(self.blocks)).alias("block"))
 
         def run(key, part: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
             if part.empty or model.empty:
@@ -109,7 +116,7 @@ class IsolationForest:
             score = 2.0 ** (-(total / len(sizes)) / max(_expected(int(np.mean(sizes))), 1e-9))
             return pd.DataFrame({"signal": part["signal"].to_numpy(), "sim": part["sim"].to_numpy(object), "t": part["t"].to_numpy(), "score": score})
 
-        spread = self.model.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(63).cast("bigint"))).alias("block"))
+        spread = self.model.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(self.blocks - 1).cast("bigint"))).alias("block"))
         return blocks.cogroup(spread.groupBy("signal", "block")).applyInPandas(run, "signal int, sim string, t int, score double")
 
 
@@ -203,5 +210,19 @@ class SequenceReconstructor:
         return self.errors(rows).select(*KEYS, (a * F.col("mse") + b * F.col("peak")).alias("score"))
 
 
+def search(candidates: list[tuple[Detector, DataFrame, DataFrame]], labels: DataFrame, splits: DataFrame, tune: Callable[[DataFrame], DataFrame], target: float) -> DataFrame:
+    """Alarms of the test series by each signal's best configuration: signal, sim, t, config, score, y, a.
+
+    A candidate is a detector, its train rows and the rows to score (their features depend on the configuration). Thresholds
+    and the configuration come from the validation series alone. Scores are persisted, as they are read twice.
+    """
+    parts = [model.fit(slices.restrict(train, splits, "train")).score(rows).withColumn("config", F.lit(k)) for k, (model, train, rows) in enumerate(candidates)]
+    scored = functools.reduce(DataFrame.unionByName, parts).join(labels.select(*KEYS, "y"), KEYS).persist()
+    val, test = (slices.restrict(scored, splits, s) for s in ("val", "test"))
+    keyed = val.select(F.struct("signal", "config").alias("signal"), "sim", "t", "score", "y")
+    tuned = tune(keyed).select("signal.signal", "signal.config", "thr", "sens", "spec")
+    return calibrate.apply_choice(test, calibrate.choose_config(tuned, target))
+
+
 #: Detectors by name; an unknown name is a KeyError.
 REGISTRY = {"iforest": IsolationForest, "ocsvm": OneClassSVM, "seqrecon": SequenceReconstructor}

@@ -29,6 +29,13 @@ def vote(alarms: DataFrame, least: int = 2, detectors: int = 3) -> DataFrame:
     return by_day.where(F.col("n") == detectors).select(*SERIES, "t", (F.col("votes") >= least).cast("int").alias("a"), "y")
 
 
+def common_span(scores: DataFrame, windows: dict[str, int]) -> DataFrame:
+    """Per signal the fewest scores any detector has, and the widest window of the detectors that scored it."""
+    listed = F.create_map(*[F.lit(v) for pair in windows.items() for v in pair])
+    by_detector = scores.groupBy("signal", "detector").agg(F.count("*").alias("n"))
+    return by_detector.groupBy("signal").agg(F.min("n").alias("length"), F.max(listed[F.col("detector")]).alias("window"))
+
+
 def align_global_tail(scores: DataFrame, detectors: list[str]) -> DataFrame:
     """Scores of several detectors by position from the end of each signal's concatenated series.
 

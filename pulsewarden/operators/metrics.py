@@ -81,6 +81,12 @@ def each_sim(tail: DataFrame, no_outbreak: float | None = None, undefined: float
     return per_sim(tail).select(*SERIES, sens.alias("sens"), spec.alias("spec"), pod.alias("pod"), timeliness_by_sim(no_outbreak).alias("timeliness"), F.col("n").alias("n_points"))
 
 
+def positives(labels: DataFrame) -> DataFrame:
+    """Per signal the number of labelled days, of outbreak days, and their share in percent."""
+    y = F.col("y") > 0
+    return labels.groupBy("signal").agg(F.count("*").alias("n"), F.count_if(y).alias("positives"), (100 * F.avg(y.cast("double"))).alias("rate"))
+
+
 def means(summary: DataFrame, columns: list[str], skip_missing: bool = True) -> DataFrame:
     """Mean of summary columns over signals; without skip_missing one missing value makes the mean missing."""
     out = []

@@ -107,5 +107,5 @@ def restrict(series: DataFrame, splits: DataFrame, split: str) -> DataFrame:
 
 
 def subsample(rows: DataFrame, keys: list[str], most: int, seed: int = 42) -> DataFrame:
-    """A repeatable sample without replacement of at most `most` rows."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(most)
+    """A repeatable sample without replacement of at most `most` rows: those whose keys hash lowest."""
+    return rows.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])), *keys).limit(most)

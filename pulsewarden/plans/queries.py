@@ -218,6 +218,20 @@ def test_sims_only(spark, sf):
     return slices.restrict(p, slices.split_sims(p), "test").select(*KEYS, "x")
 
 
+@query("""WITH c AS (SELECT o_orderpriority AS sim, CAST(o_orderdate AS DATE) AS day, CAST(count(*) AS DOUBLE) AS x FROM orders GROUP BY ALL)
+SELECT sim, CAST(day AS VARCHAR) AS day, CAST(row_number() OVER (PARTITION BY sim ORDER BY day) - 1 AS INT) AS t, x FROM c""")
+def day_ordinal(spark, sf):
+    """Days by their position in their series, days without an order not counted."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderpriority").alias("sim"), F.col("o_orderdate").cast("date").alias("day"))
+    counted = orders.groupBy("sim", "day").agg(F.count("*").cast("double").alias("x"))
+    return panels.with_ordinal(counted, "day", ("sim",)).withColumn("day", F.col("day").cast("string"))
+
+
+@query(FULL + " SELECT signal, sim, t, x FROM train ORDER BY md5('42:' || signal || ':' || sim || ':' || t), signal, sim, t LIMIT 5000")
+def subsample_train(spark, sf):
+    return slices.subsample(slices.head(panel(spark, sf), TRAIN).select(*KEYS, "x"), KEYS, 5000)
+
+
 # features
 
 
@@ -403,9 +417,42 @@ def config_select(spark, sf):
     return _rounded(calibrate.choose_config(rows[0].unionByName(rows[1]).unionByName(rows[2]), 0.97))
 
 
+_CHOSEN = ", chosen AS (SELECT CAST(sig AS INT) AS signal, CAST(config AS INT) AS config, thr FROM k QUALIFY row_number() OVER (PARTITION BY sig ORDER BY objective DESC NULLS LAST, config) = 1)"
+
+
+@query(_CFG + _grid_sql(calibrate.STAGE_1) + _grid_sql(calibrate.STAGE_2, name="h") + f""", tuned AS ({_two_sql(0.97).strip()}), k AS (SELECT signal // 100 AS sig, signal % 100 AS config, thr, CASE WHEN spec >= 0.97 THEN 2 * sens + 3 * spec ELSE spec END AS objective FROM tuned){_CHOSEN}
+SELECT t.signal, sim, t, config, y, CASE WHEN CASE config WHEN 0 THEN {_Z} WHEN 1 THEN {_RATIO} ELSE d END >= thr THEN 1 ELSE 0 END AS a FROM test t JOIN chosen USING (signal)""")
+def chosen_config_alarms(spark, sf):
+    """Thresholds and the configuration of each signal from validation days, alarms and labels of the test days."""
+    val, test = _scored(spark, sf)
+    stacked = lambda rows: rows.select(*KEYS, "y", F.posexplode(F.array("z", "ratio", "jump")).alias("config", "score"))
+    keyed = stacked(val).select(F.struct("signal", "config").alias("signal"), "sim", "t", "score", "y")
+    tuned = _rounded(calibrate.two_stage(keyed, 0.97).select("signal.signal", "signal.config", "thr", "sens", "spec"))
+    return calibrate.apply_choice(stacked(test), calibrate.choose_config(tuned, 0.97)).drop("score")
+
+
+_BESIDE = FULL.replace("WITH ev AS", ", ev AS", 1)
+_MSE = f", trm AS (SELECT signal, {_Z} * {_Z} AS mse FROM (SELECT signal, x, avg(x) OVER {_W14} AS m, stddev_pop(x) OVER {_W14} AS s, row_number() OVER (PARTITION BY signal, sim ORDER BY t) AS rn FROM train) WHERE rn >= 14)"
+
+
+@query("WITH mixed AS (" + _mix_sql().strip().replace("FROM val)", "FROM val WHERE signal = 1)") + ")" + _BESIDE + _MSE + """ SELECT signal, mix, stage, CAST(percent AS DOUBLE) AS percent, thr, sens, spec FROM mixed
+UNION ALL SELECT signal, 3, 'default', CAST(95 AS DOUBLE), round(quantile_cont(mse, 0.95), 6), NULL, NULL FROM trm WHERE signal NOT IN (SELECT signal FROM mixed) GROUP BY signal""")
+def mix_without_validation(spark, sf):
+    """The best mix of a signal with validation days; a signal without any gets the default mix and a percentile of its train errors."""
+    val = _scored(spark, sf)[0].where("signal = 1").select(*KEYS, "y", F.col("z").alias("mse"), F.col("jump").alias("peak"))
+    train = features.features4(slices.head(panel(spark, sf), TRAIN), 14)
+    z = F.round((F.col("x") - F.col("mean")) / (F.col("std") + 1e-6), 9)
+    return _rounded(calibrate.with_default(calibrate.mixes(val, MIXES), train.select("signal", (z * z).alias("mse")), MIXES.index((0.8, 0.2))))
+
+
 # metrics
 
 
+@query(_scores_sql() + " SELECT signal, count(*) AS n, CAST(sum(y) AS BIGINT) AS positives, round(100 * avg(y), 6) AS rate FROM test GROUP BY signal")
+def positives_report(spark, sf):
+    return _rounded(metrics.positives(_scored(spark, sf)[1]))
+
+
 _AL = _scores_sql() + f", al AS (SELECT signal, sim, t, y, CASE WHEN {_Z} >= 1.5 THEN 1.0 WHEN x = 0 THEN 1e-300 ELSE 0.0 END AS a FROM test)"
 _PER = """, ps AS (SELECT signal, sim, sum(CASE WHEN a = 1 AND y > 0 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN a = 1 AND y = 0 THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN a = 0 AND y = 0 THEN 1 ELSE 0 END) AS tn, sum(CASE WHEN a = 0 AND y > 0 THEN 1 ELSE 0 END) AS fn,
  sum(CASE WHEN y = 0 THEN 1 ELSE 0 END) AS quiet, sum(CASE WHEN y > 0 THEN 1 ELSE 0 END) AS outbreak, count(*) AS n, min(CASE WHEN y > 0 THEN t END) AS first, max(CASE WHEN y > 0 THEN t END) AS last, min(CASE WHEN a = 1 AND y > 0 THEN t END) AS hit FROM al GROUP BY ALL)"""
@@ -522,6 +569,21 @@ def vote_global_tail_align(spark, sf):
     return _rounded(got.withColumn("back", F.col("back").cast("long")))
 
 
+@query(_VOTE.replace("FROM test t JOIN", "FROM val t JOIN") + _PER + f" SELECT {_EACH} FROM ps")
+def vote_on_validation(spark, sf):
+    """Metrics per series of the vote on the validation days that the thresholds were tuned on."""
+    val, _, tuned = _three(spark, sf)
+    parts = [calibrate.alarms(val.select(*KEYS, F.col(n).alias("score"), "y"), t).withColumn("detector", F.lit(n)) for n, t in zip(_NAMES, tuned)]
+    return _rounded(metrics.each_sim(ensemble.vote(parts[0].unionByName(parts[1]).unionByName(parts[2]))))
+
+
+@query(_scores_sql() + ", n AS (SELECT signal, count(*) AS n FROM val GROUP BY 1 UNION ALL SELECT signal, count(*) FROM val WHERE rn >= 20 GROUP BY 1) SELECT signal, min(n) AS length, 20 AS window FROM n GROUP BY signal")
+def common_span(spark, sf):
+    val = _scored(spark, sf)[0]
+    both = val.select("signal", F.lit("z").alias("detector")).unionByName(slices.warmed_up(val, 7).select("signal", F.lit("jump").alias("detector")))
+    return ensemble.common_span(both, {"z": 14, "jump": 20})
+
+
 # detectors
 
 

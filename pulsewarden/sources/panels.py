@@ -5,7 +5,7 @@ Canonical columns: signal INT, sim STRING, sim_idx INT, t INT (0-based day), x D
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Names of date columns, compared without case; they are dropped.
@@ -59,6 +59,11 @@ def to_long(wide: DataFrame, day: str, value: str = "x") -> DataFrame:
     return long.withColumn("sim_idx", position[F.col("sim_col")])
 
 
+def with_ordinal(series: DataFrame, day: str = "day", keys: tuple[str, ...] = ("signal", "sim")) -> DataFrame:
+    """t, the position of each day among the days its series has, from 0."""
+    return series.withColumn("t", F.row_number().over(Window.partitionBy(*keys).orderBy(day)) - 1)
+
+
 def check_shapes(frames: dict[str, DataFrame]) -> None:
     """Raise unless all wide frames have as many simulation columns."""
     widths = {name: len(drop_dates(f).columns) for name, f in frames.items()}

@@ -235,6 +235,36 @@ def test_detectors_find_planted_days(spark, name):
     assert sum(r.t >= 1000 for r in top) >= 9
 
 
+def test_search_tunes_on_validation_series_only(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for sim in ("train", "val", "test"):
+        odd = range(20) if sim != "train" else ()
+        rows += [(1, sim, t, (rng.normal(size=3) + (9 if t in odd else 0)).tolist(), int(t in odd)) for t in range(200)]
+    table = spark.createDataFrame(rows, "signal int, sim string, t int, features array<double>, y int")
+    blind = table.withColumn("features", F.array(F.lit(0.5), F.rand(1), F.lit(0.5)))
+    splits = spark.createDataFrame([(1, s, s) for s in ("train", "val", "test")], "signal int, sim string, split string")
+    candidates = [(detectors.OneClassSVM(nu=0.05, size=200), rows.drop("y"), rows.drop("y")) for rows in (blind, table)]
+    got = detectors.search(candidates, table, splits, calibrate.two_stage, 0.97).collect()
+    assert len(got) == 200 and {r.sim for r in got} == {"test"} and {r.config for r in got} == {1}
+    assert sum(r.a for r in got if r.y) >= 18 and sum(r.a for r in got if not r.y) <= 20
+
+
+def test_subsample_default_mix_and_common_span(spark):
+    rows = spark.createDataFrame([(1, t) for t in range(50)], "signal int, t int")
+    taken = {r.t for r in slices.subsample(rows, ["signal", "t"], 10).collect()}
+    assert len(taken) == 10 and taken == {r.t for r in slices.subsample(rows.repartition(7), ["signal", "t"], 10).collect()}
+    assert slices.subsample(rows, ["signal", "t"], 99).count() == 50
+    tuned = spark.createDataFrame([(1, 0, "first", 90.0, 2.0, 0.5, 0.99)], "signal int, mix int, stage string, percent double, thr double, sens double, spec double")
+    errors = spark.createDataFrame([(s, float(v)) for s in (1, 2) for v in range(101)], "signal int, mse double")
+    got = {r.signal: r for r in calibrate.with_default(tuned, errors, 3).collect()}
+    assert got[1].stage == "first" and (got[2].stage, got[2].mix, got[2].thr, got[2].sens) == ("default", 3, 95.0, None)
+    span = ensemble.common_span(spark.createDataFrame([(1, "a")] * 5 + [(1, "b")] * 3, "signal int, detector string"), {"a": 7, "b": 14}).head()
+    assert (span.length, span.window) == (3, 14)
+    report = metrics.positives(alarms(spark, [0, 1, 0, 0], [0] * 4)).head()
+    assert (report.n, report.positives, report.rate) == (4, 1, 25.0)
+
+
 def test_sequence_reconstruction(spark):
     rng = np.random.default_rng(8)
     wave = lambda: (10 + 3 * np.sin(np.arange(14) / 2 + rng.random() * 6)).tolist()
