@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,21 +14,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in one Arrow batch: with texts of 100 KB a batch stays near 50 MB.
 ARROW_ROWS = 500
+#: Bytes in one Arrow batch, beyond which it takes no further row.
+ARROW_BYTES = 64 << 20
 #: Bytes of text that one vectorised step works on; its work arrays take about 60 times that.
 CHUNK_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder name under spark.checkpoint.dir, which driver and executors share.
+    """A new folder's URI under spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is missing (a local session), a temporary folder is set in its place.
+    A setting without a scheme is on Hadoop's default file system, for Spark's writers and for files that tasks
+    write themselves alike. Where the setting is missing (a local session), a temporary folder is set in its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="pulsewarden-")
+        base = "file:" + tempfile.mkdtemp(prefix="pulsewarden-")
         spark.conf.set("spark.checkpoint.dir", base)
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -42,15 +48,14 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of the Python steps that follow."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The store and the path in it of a shared-folder URI or plain path."""
-    if "://" not in uri and not uri.startswith("file:"):
-        return pafs.LocalFileSystem(), uri
+    """The store and the path in it of a URI as shared_folder gives it."""
     if uri.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + uri[len("file:") :].lstrip("/")
-    return pafs.FileSystem.from_uri(uri)
+    return pafs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

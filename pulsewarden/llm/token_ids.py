@@ -240,10 +240,10 @@ def write(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_
         for batch in batches:
             for row in range(batch.num_rows):
                 shard, seq, docs, sizes, ids, n_docs, n_ids = (batch.column(k)[row] for k in range(7))
-                name = f"{root}/ids-{shard.as_py():06d}-{seq.as_py():06d}-{uuid.uuid4().hex[:8]}.pwids"
-                with fs.open_output_stream(name, compression=None) as stream:
+                name = f"ids-{shard.as_py():06d}-{seq.as_py():06d}-{uuid.uuid4().hex[:8]}.pwids"
+                with fs.open_output_stream(f"{root}/{name}", compression=None) as stream:
                     size = write_file(stream, lengths, codes, docs.as_py(), sizes.as_py(), _ids(ids.as_buffer(), n_ids.as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (shard.as_py(), seq.as_py(), name, n_docs.as_py(), n_ids.as_py(), size)], names=["shard", "seq", "path", "n_docs", "n_ids", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (shard.as_py(), seq.as_py(), f"{folder}/{name}", n_docs.as_py(), n_ids.as_py(), size)], names=["shard", "seq", "path", "n_docs", "n_ids", "bytes"])
 
     files = shared.cut(chunks.mapInArrow(store, "shard long, seq long, path string, n_docs long, n_ids long, bytes long"), "manifest")
     before, seen = [], 0

@@ -22,19 +22,23 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 resource-like record: a response with its payload, or a revisit without it."""
+def header(page_id: int, url: str | None, size: int, digest: str, refers_to: int | None) -> bytes:
+    """The fields of a WARC/1.1 record whose payload has `size` bytes: a response, or a revisit if refers_to is given."""
     kind = "response" if refers_to is None else "revisit"
-    body = payload if refers_to is None else b""
     target = "".join(c if " " < c < "\x7f" else f"%{b:02X}" if len(c.encode()) == 1 else "".join(f"%{x:02X}" for x in c.encode()) for c in url or "" for b in [ord(c)])
     lines = [
         "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {target or 'about:blank'}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}",
-        "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}",
+        f"WARC-Target-URI: {target or 'about:blank'}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {size}",
+        "Content-Type: text/html; charset=utf-8", f"Content-Length: {size if refers_to is None else 0}",
     ]
     if refers_to is not None:
         lines[2:2] = [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {PROFILE}"]
-    return ("\r\n".join(lines) + "\r\n\r\n").encode() + body + b"\r\n\r\n"
+    return ("\r\n".join(lines) + "\r\n\r\n").encode()
+
+
+def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+    """One WARC/1.1 record: a response with its payload, or a revisit without it."""
+    return header(page_id, url, len(payload), digest, refers_to) + (payload if refers_to is None else b"") + b"\r\n\r\n"
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
@@ -66,17 +70,22 @@ def read_dictionary(raw: bytes) -> tuple[bytes, int]:
     return content, 8 + size
 
 
-def train(pages: DataFrame, *, payload_col: str = "html", rows: int = 2000, row_bytes: int = 16384, size: int = 64 << 10) -> bytes:
-    """A dictionary of about `size` bytes from a sample of at most `rows` rows, of each `row_bytes` bytes.
+def train(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", rows: int = 2000, row_bytes: int = 16384, size: int = 64 << 10) -> bytes:
+    """A dictionary of about `size` bytes from at most `rows` of the records to be archived, of each its header and `row_bytes` bytes of its payload.
 
-    The rows are those whose payloads hash lowest, each payload once; hashes are ranked before any payload moves; only the dictionary's sample is cut, never an
-    archived record. With too few samples for training the first samples themselves are the dictionary.
+    The records are the responses whose payloads hash lowest, each payload once under its smallest id; hashes are ranked before any payload
+    moves; only the dictionary's sample is cut, never an archived record. With too few records for training, the records themselves are the dictionary.
     """
-    spread = F.xxhash64(payload_col)
-    sampled = pages.where(F.octet_length(payload_col) > 0).select(F.substring(F.col(payload_col).cast("binary"), 1, row_bytes).alias("head"), spread.alias("at"))
-    lowest = sampled.select("at").orderBy("at").limit(rows).agg(F.max("at")).head()[0]
-    chosen = [bytes(r[0]) for r in sampled.where(F.col("at") <= (lowest or 0)).dropDuplicates(["at"]).orderBy("at").collect()]
-    samples = [record(n, f"https://host{n}.example/", head, "0" * 64, None) for n, head in enumerate(chosen)]
+    at, payload = F.xxhash64(payload_col), F.col(payload_col).cast("binary")
+    some = pages.where(F.octet_length(payload_col) > 0)
+    lowest = some.select(at.alias("at")).distinct().orderBy("at").limit(rows).agg(F.max("at")).head()[0]
+    ids = some.where(at <= (lowest or 0)).select(at.alias("at"), F.col(id_col).cast("long").alias("id"))
+    first = ids.groupBy("at").agg(F.min("id").alias("id"))
+    held = some.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), at.alias("at"))
+    same = held.join(F.broadcast(first), (held["at"] == first["at"]) & held["id"].eqNullSafe(first["id"]), "left_semi")
+    chosen = same.select("at", "id", "url", F.substring("payload", 1, row_bytes).alias("head"), F.octet_length("payload").alias("size"), F.sha2("payload", 256).alias("digest"))
+    found = chosen.groupBy("at").agg(F.min(F.struct("id", "url", "head", "size", "digest")).alias("one")).orderBy("at").select("one.*").collect()
+    samples = [header(-(1 << 63) if r.id is None else r.id, r.url, r.size, r.digest, None) + bytes(r.head) for r in found]
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -106,7 +115,7 @@ def write(pages: DataFrame, *, level: int = 3, archive_bytes: int = 256 << 20, *
     """
     spark = pages.sparkSession
     shared.small_batches(spark)
-    dictionary = spark.sparkContext.broadcast(train(pages, payload_col=columns.get("payload_col", "html")))
+    dictionary = spark.sparkContext.broadcast(train(pages, **{k: v for k, v in columns.items() if k != "least"}))
     folder = shared.shared_folder(spark, "warc")
 
     def store(batches):
@@ -119,14 +128,14 @@ def write(pages: DataFrame, *, level: int = 3, archive_bytes: int = 256 << 20, *
 
         def close():
             stream.close()
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([count]), pa.array([size])], names=["path", "n_records", "bytes"])
+            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([count]), pa.array([size])], names=["path", "n_records", "bytes"])
 
         for batch in batches:
             ids, urls, payloads, digests, refers = (batch.column(k) for k in range(5))
             for row in range(batch.num_rows):
                 if stream is None:
-                    name, count = f"{root}/pages-{uuid.uuid4().hex}.warc.zst", 0
-                    stream = fs.open_output_stream(name, compression=None)
+                    name, count = f"pages-{uuid.uuid4().hex}.warc.zst", 0
+                    stream = fs.open_output_stream(f"{root}/{name}", compression=None)
                     head = leading_frame(dictionary.value)
                     stream.write(head)
                     size = len(head)

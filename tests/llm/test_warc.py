@@ -42,3 +42,13 @@ def test_empty_and_tiny(spark):
     assert warc.read(warc.write(frame.limit(0))).collect() == []
     one = spark.createDataFrame([(5, "http://a", "only")], "page_id long, url string, html string")
     assert warc.read(warc.write(one)).head().payload_bytes == 4
+
+
+def test_dictionary_comes_from_archived_records(spark):
+    frame = spark.createDataFrame([(9, "http://b/x", "copy"), (5, "http://a/x", "copy"), (5, "http://a/x", "copy"), (None, None, "other"), (7, "http://c", None)], "page_id long, url string, html string")
+    digests = {h: hashlib.sha256(h.encode()).hexdigest() for h in ("copy", "other")}
+    whole = [warc.record(5, "http://a/x", b"copy", digests["copy"], None), warc.record(-(1 << 63), None, b"other", digests["other"], None)]
+    found = warc.train(frame)
+    assert sorted(len(x) - 4 for x in whole) == sorted(len(x) for x in found.replace(b"WARC/1.1", b"|WARC/1.1").split(b"|")[1:])
+    assert all(x[:-4] in found for x in whole)
+    assert len(warc.train(frame, rows=1)) in [len(x) - 4 for x in whole]
