@@ -14,8 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in one Arrow batch: with texts of 100 KB a batch stays near 50 MB.
 ARROW_ROWS = 500
-#: Bytes in one Arrow batch, beyond which it takes no further row.
-ARROW_BYTES = 64 << 20
 #: Bytes of text that one vectorised step works on; its work arrays take about 60 times that.
 CHUNK_BYTES = 1 << 20
 
@@ -48,7 +46,6 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of the Python steps that follow."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:

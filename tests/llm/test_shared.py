@@ -1,6 +1,3 @@
-import pyarrow as pa
-from pyspark.sql import functions as F
-
 from pulsewarden.llm import shared
 
 
@@ -9,10 +6,3 @@ def test_folders_are_qualified(spark):
     assert folder.startswith("file:/") and "/some-" in folder
     store, path = shared.filesystem(folder)
     assert store.type_name == "local" and path == "/" + folder.split(":", 1)[1].lstrip("/")
-
-
-def test_batches_are_bounded_by_bytes(spark):
-    shared.small_batches(spark)
-    texts = spark.range(0, 120, 1, 1).select(F.repeat(F.lit("x"), 2 << 20).alias("text"))
-    sizes = texts.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches), "n long").toPandas()["n"]
-    assert sizes.sum() == 120 and sizes.max() <= (shared.ARROW_BYTES >> 21) + 1
