@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsewarden.llm import decontaminate, line_dedup, mixing, ngram_join, suffix_dedup, token_ids, topk_search, toxicity, url_filter, warc
+from pulsewarden.llm import collocations, decontaminate, filter_audit, line_dedup, mixing, ngram_join, sentencepieces, suffix_dedup, token_ids, topk_search, toxicity, url_filter, warc
 
 #: Target shares of tokens by domain.
 MIXTURE = {"plain": 0.8, "poor": 0.15, "toxic": 0.05}
@@ -62,12 +62,28 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return sentencepieces.digest(sentencepieces.encode(_table(spark, sf_dir, "documents"), path), path)
+
+
 def queries() -> dict:
     import corpus_pipeline
 
-    found = (op1_token_ids, op2_ngram_join, op3_mixing, op4_line_dedup, op5_topk_search, op6_decontaminate, op7_toxicity, op8_warc, op9_url_filter, op10_suffix_dedup)
+    found = (op1_token_ids, op2_ngram_join, op3_mixing, op4_line_dedup, op5_topk_search, op6_decontaminate, op7_toxicity, op8_warc, op9_url_filter, op10_suffix_dedup,
+             op11_collocations, op12_filter_audit, op13_sentencepiece)
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": warc.SQL}
+    return {"op8_warc": warc.SQL, "op11_collocations": collocations.SQL, "op12_filter_audit": filter_audit.SQL}

@@ -35,11 +35,11 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
+def cut(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: a lineage cut that survives lost executors."""
     spark = df.sparkSession
     path = shared_folder(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -74,3 +74,18 @@ def chunks(data: np.ndarray, offsets: np.ndarray, limit: int = CHUNK_BYTES):
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1)
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
+
+
+def gathered(batches, limit: int, column: int = 0):
+    """Arrow batches put together until one column has about limit bytes; a larger batch stands alone."""
+    held, size = [], 0
+    for batch in batches:
+        more = batch.column(column).nbytes
+        if held and size + more > limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        if batch.num_rows:
+            held.append(batch)
+            size += more
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
