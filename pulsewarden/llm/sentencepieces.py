@@ -4,9 +4,10 @@ A chunk is a run of white space markers with what follows up to the next marker.
 after another character (this is checked), so merges never cross chunks, and the ids of a text are those of its chunks.
 
 Documents are cut into chunks block by block; a block holds its distinct chunks once and its texts as numbers of these.
-The distinct chunks of all blocks are segmented once each, by the library, and written as a table; a join brings each
-block the ids of its own chunks and puts them in the places of the numbers. A chunk is one row for each block, however
-often it stands there, so common words are no hot keys.
+Distinct chunks are dealt out by hash into `parts`, so all blocks' uses of a chunk meet in one task, which keeps the table
+of its part: it has the library segment each chunk once and answers every block that asks. The answers go back to their
+blocks, whose numbers are replaced by ids. A chunk is asked for once a block, however often it stands there, so common
+words are no hot keys.
 
 Null texts are empty and have no ids; repeated rows are each encoded; an empty table gives no rows; other columns, whatever
 their names, are not read.
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsewarden.llm import shared
+from pulsewarden.llm import shared, words
 
 MARK = "▁"
 _MARK = np.frombuffer(MARK.encode(), np.uint8)
@@ -91,66 +92,101 @@ def _numbers(raw, n: int) -> np.ndarray:
     return np.frombuffer(raw or b"", "<u2" if raw is None or len(raw) == 2 * n else "<u4")
 
 
-def _blocks(batches):
-    """A block's name is made of its partition and place, so a task that runs again makes the same rows."""
-    from pyspark import TaskContext
+def _blocks(parts: int):
+    """A block's name is made of its partition and place, so a task that runs again makes the same rows.
 
-    name = TaskContext.get().partitionId() << 32
-    kind = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("numbers", pa.binary()), ("chunks", pa.list_(pa.string()))])
-    for batch in shared.gathered(batches, BLOCK, 1):
-        for low, high, data, offsets in shared.chunks(*shared.utf8(batch.column(1)), BLOCK):
-            chunks, numbers, sizes = chunked(data, offsets)
-            row = [name, batch.column(0).slice(low, high - low).to_pylist(), sizes.astype("<i4").tobytes(), _packed(numbers, len(chunks)), chunks.to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, kind)], schema=kind)
-            name += 1
+    Its distinct chunks are listed part by part, and numbered in that order.
+    """
+    kind = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("numbers", pa.binary()), ("chunks", pa.list_(pa.list_(pa.string())))])
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        name = TaskContext.get().partitionId() << 32
+        for batch in shared.gathered(batches, BLOCK, 1):
+            for low, high, data, offsets in shared.chunks(*shared.utf8(batch.column(1)), BLOCK):
+                chunks, numbers, sizes = chunked(data, offsets)
+                spelled, at = shared.utf8(chunks)
+                part = (words.word_hash(spelled, at[:-1], at[1:]) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                listed = pa.ListArray.from_arrays(np.searchsorted(part[order], np.arange(parts + 1)).astype(np.int32), chunks.take(pa.array(order)).cast(pa.string()))
+                row = [pa.array([name]), pa.array([batch.column(0).slice(low, high - low).to_pylist()], kind.field("ids").type), pa.array([sizes.astype("<i4").tobytes()]),
+                       pa.array([_packed(place[numbers], len(chunks))]), pa.ListArray.from_arrays(np.array([0, parts], np.int32), listed)]
+                yield pa.RecordBatch.from_arrays(row, schema=kind)
+                name += 1
+
+    return run
 
 
 def _segment(path: str):
+    """The ids of each list of chunks, from the table of the parts that this task has; `new` chunks were segmented for it."""
+
     def run(batches):
-        model = processor(path)
+        model, table = processor(path), {}
+        kind = _id_kind(model)
+        # An empty chunk stands for the marker alone, which the library does not put in front of an empty text.
+        alone = model.piece_to_id(MARK)
         for batch in batches:
-            # An empty chunk stands for the marker alone, which the library does not put in front of an empty text.
-            alone = model.piece_to_id(MARK)
-            ids = model.encode(batch.column(0).to_pylist(), num_threads=1)
-            raw = [np.array(x if x else [alone], "<i4").tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["chunk", "coded"])
+            for k in range(batch.num_rows):
+                asked = batch.column(2)[k].as_py()
+                new = [c for c in asked if c not in table]
+                table.update(zip(new, (np.array(x or [alone], kind).tobytes() for x in model.encode(new, num_threads=1))))
+                coded = [table[c] for c in asked]
+                length = np.fromiter(map(len, coded), "<u4", len(coded)) // np.dtype(kind).itemsize
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([b"".join(coded)]), pa.array([length.astype("<u4").tobytes()]), pa.array([len(new)])],
+                                                 names=["block", "part", "coded", "length", "new"])
 
     return run
 
 
-def encode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Blocks of encoded documents: ids (of documents), sizes (token counts, int32 little-endian), tokens (int32 little-endian)."""
+def _id_kind(model) -> str:
+    return "<u2" if model.get_piece_size() <= 1 << 16 else "<u4"
+
+
+def _answers(blocks: DataFrame, model_path: str) -> DataFrame:
+    """(block, part, coded, length, new): of each block and part the ids of its chunks, and how many each has."""
+    asked = blocks.select("block", F.posexplode("chunks").alias("part", "asked")).where(F.size("asked") > 0)
+    return asked.repartition("part").mapInArrow(_segment(model_path), "block long, part int, coded binary, length binary, new long")
+
+
+def encode(docs: DataFrame, model_path: str, *, parts: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Blocks of encoded documents: ids (of documents), sizes (token counts, int32 little-endian), tokens (int32 little-endian).
+
+    A task holds the distinct chunks of its share of the `parts`; corpora of many terabytes want more of these.
+    """
     spark = docs.sparkSession
     shared.small_batches(spark)
+    kind = _id_kind(processor(model_path))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    blocks = shared.cut(texts.mapInArrow(_blocks, "block long, ids array<long>, sizes binary, numbers binary, chunks array<string>"), "blocks", "zstd")
-    table = shared.cut(blocks.select(F.explode("chunks").alias("chunk")).distinct().mapInArrow(_segment(model_path), "chunk string, coded binary"), "chunks")
-    own = blocks.select("block", F.posexplode("chunks").alias("no", "chunk")).join(table, "chunk")
-    joined = own.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("no", "coded"))).alias("table"))
-    rows = blocks.drop("chunks").join(joined.select("block", F.col("table.coded").alias("coded")), "block", "left")
-    return rows.select("ids", "sizes", "numbers", "coded").mapInArrow(_placed, "ids array<long>, sizes binary, tokens binary")
+    blocks = shared.cut(texts.mapInArrow(_blocks(parts), "block long, ids array<long>, sizes binary, numbers binary, chunks array<array<string>>"), "blocks", "zstd")
+    answers = _answers(blocks, model_path)
+    joined = answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "coded", "length"))).alias("table"))
+    rows = blocks.drop("chunks").join(joined.select("block", F.col("table.coded").alias("coded"), F.col("table.length").alias("length")), "block", "left")
+    return rows.select("ids", "sizes", "numbers", "coded", "length").mapInArrow(_placed(kind), "ids array<long>, sizes binary, tokens binary")
 
 
-def _placed(batches):
+def _placed(kind: str):
     """The ids of each block's chunks in the places of their numbers."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            sizes = np.frombuffer(batch.column(1)[k].as_buffer() or b"", "<i4")
-            numbers = _numbers(batch.column(2)[k].as_buffer(), int(sizes.sum()))
-            coded = batch.column(3)[k].values
-            if coded is None:
-                flat, at, length = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
-            else:
-                coded = coded.cast(pa.large_binary())
-                _, bounds, data = coded.buffers()
-                bounds = np.frombuffer(bounds, np.int64)[coded.offset : coded.offset + len(coded) + 1] // 4
-                flat = np.frombuffer(data, "<i4")
-                at, length = bounds[:-1], np.diff(bounds)
-            count = length[numbers]
-            until = np.cumsum(count)
-            tokens = flat[np.repeat(at[numbers] - until + count, count) + np.arange(until[-1])] if len(until) else flat[:0]
-            ends = np.concatenate([[0], until])[np.concatenate([[0], np.cumsum(sizes)])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([np.diff(ends).astype("<i4").tobytes()]), pa.array([tokens.astype("<i4").tobytes()])], names=["ids", "sizes", "tokens"])
+
+    def joined(column: pa.Array, k: int, kind: str) -> np.ndarray:
+        return np.frombuffer(b"".join(column[k].as_py() or []), kind)
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                sizes = np.frombuffer(batch.column(1)[k].as_buffer() or b"", "<i4")
+                numbers = _numbers(batch.column(2)[k].as_buffer(), int(sizes.sum()))
+                flat, length = joined(batch.column(3), k, kind), joined(batch.column(4), k, "<u4").astype(np.int64)
+                at = np.cumsum(length) - length
+                count = length[numbers]
+                until = np.cumsum(count)
+                tokens = flat[np.repeat(at[numbers] - until + count, count) + np.arange(until[-1])] if len(until) else flat[:0]
+                ends = np.concatenate([[0], until])[np.concatenate([[0], np.cumsum(sizes)])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([np.diff(ends).astype("<i4").tobytes()]), pa.array([tokens.astype("<i4").tobytes()])], names=["ids", "sizes", "tokens"])
+
+    return run
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:

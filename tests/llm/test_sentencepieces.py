@@ -54,10 +54,10 @@ def test_round_trip_and_empty_table(spark):
 def test_each_distinct_chunk_is_segmented_once(spark, monkeypatch):
     seen = []
     real = sentencepieces.shared.cut
-    monkeypatch.setattr(sentencepieces.shared, "cut", lambda df, label, *rest: seen.append((label, real(df, label, *rest))) or seen[-1][1])
+    monkeypatch.setattr(sentencepieces.shared, "cut", lambda df, label, *rest: seen.append(real(df, label, *rest)) or seen[-1])
     monkeypatch.setattr(sentencepieces, "BLOCK", 50)
     got(spark, [(k, "the same words in every text") for k in range(200)])
-    assert dict(seen)["blocks"].count() > 1 and dict(seen)["chunks"].count() == 6
+    assert seen[0].count() > 1 and sentencepieces._answers(seen[0], PATH).selectExpr("sum(new)").head()[0] == 6
 
 
 def test_a_model_that_normalises_is_refused(monkeypatch):
