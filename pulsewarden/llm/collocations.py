@@ -31,8 +31,8 @@ LONGEST = 5
 BITS = 26
 #: A pair is hot if it has more than this share of all words, but no fewer and no more than these occurrences.
 HOT_SHARE, HOT_LEAST, HOT_MOST = 2.0**-14, 4096, 1 << 20
-#: Bytes of text that are counted together in a task.
-CHUNK = 16 << 20
+#: Bytes of text that are counted together in a task; its arrays take some 30 times that.
+CHUNK = 6 << 20
 #: First ranks are taken in so many parts of a language, so that no task sorts all its phrases.
 RANK_PARTS = 64
 
