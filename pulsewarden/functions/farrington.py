@@ -129,9 +129,10 @@ def one_series(x: np.ndarray, days: int = DAYS, alpha: float = ALPHA) -> dict[st
     last = ends[:, None] - 7 * lags[None, :]
     whole = last - 6 >= 0
     y = np.where(whole, cumulated[np.clip(last + 1, 0, n)] - cumulated[np.clip(last - 6, 0, n)], 0.0)
+    # weeks count back to the oldest whole one with cases; the days before the first whole week of an end are not looked at
     nonzero = np.flatnonzero(x > 0)
-    first_day = nonzero[0] if len(nonzero) else n
-    history = np.where(len(nonzero), (ends - first_day) // 7, 0)
+    first_days = np.append(nonzero, n)[np.searchsorted(nonzero, np.arange(7))]
+    history = np.maximum(ends - first_days[(ends + 1) % 7], 0) // 7
     short = history < 2 * round(FREQUENCY) + HALF_WINDOW + 1
     used = whole & (lags[None, :] >= 27) & (lags[None, :] <= history[:, None])
     full = history >= FREQUENCY * YEARS + HALF_WINDOW + 1
