@@ -273,3 +273,21 @@ def test_sequence_reconstruction(spark):
     schema = "signal int, sim string, t int, seq array<double>"
     model = detectors.SequenceReconstructor().fit(spark.createDataFrame(rows, schema))
     assert model.score(spark.createDataFrame(rows[:50] + odd, schema)).orderBy(F.desc("score")).head().t == 999
+
+
+def test_history_counts_whole_weeks_from_the_first_cases():
+    """Held against plain loops over weeks counted back from each day; days are 1-based there."""
+    def weeks_with_history(x, k):
+        count = int(np.round(k / 7))
+        sums = [sum(x[k - 7 * w - 7 : k - 7 * w]) if k - 7 * w - 6 > 0 else 0 for w in range(count)]
+        with_cases = [w for w, s in enumerate(sums) if s]
+        return max(with_cases, default=0)
+
+    sparse = np.zeros(2000)
+    sparse[[2, 9, 700, 701, 1500, 1990]] = 5
+    for x in (np.full(2000, 5.0), sparse):
+        got = farrington.one_series(x, 2000)
+        for t, status in zip(got["t"].tolist(), got["status"].tolist()):
+            assert (status == "short") == (weeks_with_history(x, t + 1) < 108), t
+    fives = farrington.one_series(np.full(2000, 5.0), 2000)
+    assert set(fives["status"][756:762]) == {"short"} and fives["status"][762] == "ok"
