@@ -91,6 +91,7 @@ class Matcher(NamedTuple):
     full: dict[int, tuple[int, ...]]  # state of a window-long run -> items that contain it
     short: dict[int, tuple[tuple[int, int], ...]]  # state -> (length, item) of short whole items in it
     items: list
+    spelled: list[bytes]  # the words of the vocabulary
 
 
 def build(items: list[tuple[object, str | None]], window: int) -> Matcher | None:
@@ -100,7 +101,11 @@ def build(items: list[tuple[object, str | None]], window: int) -> Matcher | None
     split = words.split(data, offsets)
     if not len(split.start):
         return None
-    vocabulary, numbers = np.unique(split.hash, return_inverse=True)
+    vocabulary, at, numbers = np.unique(split.hash, return_index=True, return_inverse=True)
+    low = words.LOWER[data].tobytes()
+    spelled = [low[a:b] for a, b in zip(split.start[at].tolist(), split.end[at].tolist())]
+    if len(vocabulary) != len({low[a:b] for a, b in zip(split.start.tolist(), split.end.tolist())}):
+        raise ValueError("two words of the items have one hash")
     streams = [numbers[a:b].tolist() for a, b in zip(split.rows[:-1], split.rows[1:])]
     automaton = Automaton()
     for stream in streams:
@@ -116,7 +121,7 @@ def build(items: list[tuple[object, str | None]], window: int) -> Matcher | None
     pairs = np.unique([a * len(vocabulary) + b for s in streams for a, b in zip(s, s[1:])] or [-1]).astype(np.int64)
     least = min(min(len(s), window) for s in streams if s)
     return Matcher(window, least, vocabulary, pairs, automaton, {k: tuple(v) for k, v in full.items()},
-                   {k: tuple(v) for k, v in short.items()}, [item for item, _ in items])
+                   {k: tuple(v) for k, v in short.items()}, [item for item, _ in items], spelled)
 
 
 def _suffix(automaton: Automaton, state: int, length: int) -> int:
@@ -131,10 +136,10 @@ def _among(sorted_values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, sorted_values[at] == x
 
 
-def match(matcher: Matcher, split: words.Words) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
-    """([(row, first hit word, last hit word)], [(row, item number)]) of a chunk; spans are merged.
+def match(matcher: Matcher, split: words.Words, data: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
+    """([(row, first hit word, last hit word)], [(row, item number)]) of a chunk of bytes; spans are merged.
 
-    Only stretches whose adjacent word pairs all occur in items can match more than one word, so the
+    Words are looked up by their hashes; those of the stretches that may match are compared with the items' by their bytes. Only stretches whose adjacent word pairs all occur in items can match more than one word, so the
     automaton starts anew at each such stretch and skips the rest.
     """
     number, known = _among(matcher.vocabulary, split.hash)
@@ -151,6 +156,10 @@ def match(matcher: Matcher, split: words.Words) -> tuple[list[tuple[int, int, in
     long_enough = ends - begins >= matcher.least
     begins, ends = begins[long_enough], ends[long_enough]
     rows = np.searchsorted(split.rows, begins, "right") - 1
+    for begin, end in zip(begins.tolist(), ends.tolist()):
+        for k in range(begin, end):
+            if words.LOWER[data[split.start[k] : split.end[k]]].tobytes() != matcher.spelled[number[k]]:
+                number[k] = -1
     spans: list[tuple[int, int, int]] = []
     found: set[tuple[int, int]] = set()
     automaton, window = matcher.automaton, matcher.window
@@ -193,7 +202,7 @@ def _scan(text_column: str, id_type: pa.DataType, shards: list, remove: bool):
                 spans: list[list[tuple[int, int]]] = [[] for _ in range(high - low)]
                 items: list[set] = [set() for _ in range(high - low)]
                 for matcher in matchers:
-                    hits, found = match(matcher, split)
+                    hits, found = match(matcher, split, data)
                     for row, first, last in hits:
                         spans[row].append((first, last))
                     for row, item in found:
@@ -274,18 +283,20 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, max_coverage: float = 0.5, w
     Columns are those of docs; the length column follows the new text.
     """
     columns = docs.columns
-    found = find(docs, benchmark, window=window, id_col=id_col, text_col=text_col, keep=tuple(columns), remove=True)
-    text = F.coalesce("__cleaned", text_col)
-    out = found.where(F.col("__coverage") <= max_coverage)
-    out = out.withColumn(text_col, text)
+    plain = {c: f"c{k}" for k, c in enumerate(columns)}
+    text = plain[text_col]
+    found = find(docs.toDF(*plain.values()), benchmark, window=window, id_col=plain[id_col], text_col=text, keep=tuple(plain.values()), remove=True)
+    out = found.where(F.col("__coverage") <= max_coverage).withColumn(text, F.coalesce("__cleaned", text))
     if length_col in columns:
-        out = out.withColumn(length_col, F.when(F.col("__n_hit") > 0, F.length(text_col)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType))
-    return out.select(*columns)
+        length = plain[length_col]
+        out = out.withColumn(length, F.when(F.col("__n_hit") > 0, F.length(text)).otherwise(F.col(length)).cast(docs.schema[length_col].dataType))
+    return out.select(*[F.col(name).alias(c) for c, name in plain.items()])
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The result of the query: counts, the matched items' digest and the verdict."""
-    named = F.concat_ws(",", F.array_sort(F.transform("__items", lambda x: x.cast("string"))))
+    """The result of the query: counts, the matched items' digest and the verdict. Items without an id hit, but are not listed."""
+    items = F.array_compact("__items")
+    named = F.concat_ws(",", F.array_sort(F.transform(items, lambda x: x.cast("string"))))
     return found.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_hit").alias("n_hit"),
-                        F.size("__items").cast("long").alias("n_items"), F.sha2(named, 256).alias("items_sha256"),
+                        F.size(items).cast("long").alias("n_items"), F.sha2(named, 256).alias("items_sha256"),
                         (F.col("__n_hit") > 0).alias("contaminated"), F.col("__longest").alias("longest_span"))

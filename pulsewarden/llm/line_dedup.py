@@ -115,6 +115,18 @@ def within(a: Column, b: Column, limit: int) -> Column:
     return F.when(close, _let(_common_start(a, b, F.least(F.length(a), F.length(b))), without_start)).otherwise(F.lit(False))
 
 
+def _left(text: Column, gone: Column, make) -> Column:
+    """make(lines, place) of each line of a text whose place is not among `gone` (null: none), in time that grows with the lines alone."""
+    lines = F.split(text, "\n")
+    none = F.array().cast("array<int>")
+
+    def of(c: Column) -> Column:
+        places = F.array_except(F.sequence(F.lit(0), F.size(c["lines"]) - 1), c["gone"])
+        return F.transform(places, lambda p: make(c["lines"], p))
+
+    return _let(F.struct(lines.alias("lines"), F.coalesce(gone, none).alias("gone")), of)
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text).alias("hash"), text.alias("text"))
@@ -202,15 +214,15 @@ def dedup(docs: DataFrame, *, limit: int = 2, least: int = 20, every: bool = Fal
     again = _small(repeats(_lines(keyed, least, every), broadcast_rows), broadcast_rows)
     shortest = max(1, least - limit) if every else least
     left = keyed.join(again, ["doc", "hash"], "left")
-    once = left.select("doc", "hash", F.posexplode(F.split("text", "\n")).alias("pos", "line"), "again")
-    once = once.where((F.length("line") >= shortest) & (F.col("again").isNull() | ~F.array_contains("again", F.col("pos")))).drop("again")
+    once = left.select("doc", "hash", F.explode(_left(F.col("text"), F.col("again"), lambda lines, p: F.struct(p.alias("pos"), F.get(lines, p).alias("line")))).alias("at"))
+    once = once.select("doc", "hash", "at.*").where(F.length("line") >= shortest)
     near = near_lines(once, limit=limit, least=least, broadcast_rows=broadcast_rows).select("place.*")
     near = shared.cut(near.groupBy("doc", "hash").agg(F.collect_set("pos").alias("near")), "near")
     joined = left.join(_small(near, broadcast_rows), ["doc", "hash"], "left")
     lines = F.split("text", "\n")
     none = F.array().cast("array<int>")
     gone = F.concat(F.coalesce("again", none), F.coalesce("near", none))
-    kept = F.when(F.size(gone) == 0, F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, k: ~F.array_contains(gone, k)), "\n"))
+    kept = F.when(F.size(gone) == 0, F.col("text")).otherwise(F.array_join(_left(F.col("text"), gone, F.get), "\n"))
     count = lambda name: F.size(F.coalesce(name, none)).cast("long")
     out = joined.select(F.col("id").alias(id_col), F.size(lines).cast("long").alias("n_lines"), count("again").alias("n_repeated"), count("near").alias("n_near"), kept.alias("kept"))
     return out.select(id_col, "n_lines", "n_repeated", "n_near", F.sha2("kept", 256).alias("kept_sha256"), "kept")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsewarden.llm import huffman, shared, words
+from pulsewarden.llm import huffman, shared
 
 MAGIC = b"PWIDS\x00\x00\x01"
 BLOCK = 1 << 18
@@ -42,24 +42,31 @@ class Pieces:
     Texts are cut at white space and between ASCII letters or digits and ASCII marks; a splitter that
     drops white space and never joins letters with marks cuts there too. No cut is made next to
     apostrophes, which may start a suffix, next to <, | and >, which may belong to a special token, or next
-    to bytes beyond ASCII, where normalisation may look at neighbours. Pieces are known by a 64-bit hash.
+    to bytes beyond ASCII, where normalisation may look at neighbours. Pieces are known by their texts. Whether a tokenizer
+    is such a one is tried on texts that hold every kind of cut; another is refused.
+
+    At most about `most` pieces are held, or the distinct ones of one chunk.
     """
 
+    _TRIED = "Ab1 c2D, e-f(g) x.y/z 12,345.6 it's we'LL <|x|> a\tb\nc\x0bd \x1b~ __k__ #h @i i18n 1st é,ü ß-9 名.x"
+
     def __init__(self, path: str, most: int = 2_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self._forget()
+        whole = self.tokenizer.encode(self._TRIED, add_special_tokens=False).ids
+        raw = np.frombuffer(self._TRIED.encode(), np.uint8)
+        if self.encode(raw, np.array([0, len(raw)]), 0)[0][:-1].tolist() != whole:
+            raise ValueError(f"texts cannot be cut into pieces for {path}")
 
     def _forget(self):
-        self.number: dict[int, int] = {}
+        self.number: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.at, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _learn(self, hashes: list[int], texts: list[str]):
-        if len(self.number) + len(texts) > self.most:
-            self._forget()
+    def _learn(self, texts: list[str]):
         lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         first, total = len(self.number), int(sizes.sum())
@@ -71,7 +78,7 @@ class Pieces:
         self.size[first : first + len(lists)] = sizes
         self.flat[self.used : self.used + total] = np.fromiter((i for x in lists for i in x), np.uint32, total)
         self.used += total
-        self.number.update(zip(hashes, range(first, first + len(lists))))
+        self.number.update(zip(texts, range(first, first + len(lists))))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, ids per row), each row followed by end_id."""
@@ -84,19 +91,17 @@ class Pieces:
         start = np.flatnonzero((kind != _SPACE) & turn)
         stop = np.concatenate([turn[1:] | (kind[1:] == _SPACE), [True]]) if len(data) else turn
         end = np.flatnonzero((kind != _SPACE) & stop) + 1
-        hashes = words.piece(words.prefix_sums(data), start, end)
-        unique, where, back = np.unique(hashes, return_index=True, return_inverse=True)
-        values = unique.tolist()
-        new = [k for k, v in enumerate(values) if v not in self.number]
+        until = np.zeros(len(start) + 1, np.int64)
+        np.cumsum(end - start, out=until[1:])
+        coded = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(until), pa.py_buffer(data[kind != _SPACE])).dictionary_encode()
+        texts = coded.dictionary.to_pylist()
+        new = [t for t in texts if t not in self.number]
+        if new and len(self.number) + len(new) > self.most:
+            self._forget()
+            new = texts
         if new:
-            raw = data.tobytes()
-            texts = [raw[start[k] : end[k]].decode() for k in where[new].tolist()]
-            known = len(self.number)
-            self._learn([values[k] for k in new], texts)
-            if len(self.number) < known + len(new):  # it forgot pieces of this chunk
-                missing = [k for k, v in enumerate(values) if v not in self.number]
-                self._learn([values[k] for k in missing], [raw[start[k] : end[k]].decode() for k in where[missing].tolist()])
-        number = np.fromiter(map(self.number.__getitem__, values), np.int64, len(values))[back]
+            self._learn(new)
+        number = np.fromiter(map(self.number.__getitem__, texts), np.int64, len(texts))[coded.indices.to_numpy(zero_copy_only=False)]
         size, at = self.size[number], self.at[number]
         until = np.cumsum(size)
         total = int(until[-1]) if len(until) else 0
@@ -210,18 +215,19 @@ def read_file(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(docs, "<i8"), np.frombuffer(sizes, "<u4"), np.concatenate(out) if out else np.empty(0, np.uint32)
 
 
-def write(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, file_ids: int = 2_000_000, shard_bytes: int = 24 << 20) -> DataFrame:
+def write(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, file_ids: int = 2_000_000, shard_bytes: int = 24 << 20, most_shards: int = 20_000) -> DataFrame:
     """Write all documents' ids; return the manifest (path, start, n_docs, n_ids, bytes), one row a file.
 
     Files follow ascending id; rows that repeat an id follow each other in the order of their texts. A null
     text is an empty one, whose only id is end_id; a null id is written as the smallest long. Extra columns
-    are ignored. Only the counts of ids (as many as the vocabulary has) and one total a shard reach the driver.
+    are ignored. Rows that repeat one id, and those without one, are one task's. Only the counts of ids (as many as the
+    vocabulary has) and one total for each of at most `most_shards` shards reach the driver; a shard has as many files as it needs.
     """
     spark = docs.sparkSession
     shared.small_batches(spark)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(text_col).alias("text"))
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
-    dealt = texts.repartitionByRange(max(1, -(-total // shard_bytes)), "id").sortWithinPartitions("id", "text")
+    dealt = texts.repartitionByRange(min(max(1, -(-total // shard_bytes)), most_shards), "id").sortWithinPartitions("id", "text")
     kind = "shard long, seq long, docs binary, sizes binary, ids binary, n_docs long, n_ids long"
     path = shared.shared_folder(spark, "ids")
     dealt.mapInArrow(_tokenise(tokenizer_path, end_id, file_ids), kind).write.option("compression", "zstd").parquet(path)

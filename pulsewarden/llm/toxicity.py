@@ -36,12 +36,13 @@ class Model(NamedTuple):
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of all words and word beginnings, with repeats."""
     split = words.split(data, offsets)
+    sums = words.prefix_sums(words.LOWER[data])
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(split.rows))
     hashes, rows = [split.hash], [row]
     for size in STEMS:
         long = split.end - split.start > size
         start = split.start[long]
-        hashes.append(words.mix(words.piece(split.sums, start, start + size) + np.uint64(size)))
+        hashes.append(words.mix(words.piece(sums, start, start + size) + np.uint64(size)))
         rows.append(row[long])
     return np.concatenate(hashes), np.concatenate(rows)
 
@@ -66,7 +67,7 @@ def _distinct(hashes: np.ndarray, row: np.ndarray, n: int) -> list[np.ndarray]:
 def sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", bound: int = 4000) -> DataFrame:
     """At most `bound` labelled texts of each grade, those whose ids hash lowest: (text, grade).
 
-    Rows without id, text or grade are left out; an id that repeats counts once, with its highest grade.
+    Rows without id, text or grade are left out; an id that repeats counts once, with its highest grade and least text.
     """
     known = labels.where(F.col(grade_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(grade_col).cast("int").alias("grade"))
     spread = F.xxhash64("id")
@@ -79,7 +80,7 @@ def sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     chosen = parts[0]
     for part in parts[1:]:
         chosen = chosen.unionByName(part)
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").where(F.col("text").isNotNull()).select("text", "grade")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").where(F.col("text").isNotNull()).groupBy("id", "grade").agg(F.min("text").alias("text")).select("text", "grade")
 
 
 def fit(sampled: DataFrame, *, least_docs: int | None = None, penalty: float = 3e-4, rounds: int = 100, refine=None) -> Model:

@@ -7,6 +7,7 @@ of the same classes, so the split can be done on bytes.
 
 from __future__ import annotations
 
+import hashlib
 from typing import NamedTuple
 
 import numpy as np
@@ -41,7 +42,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """Running polynomial hash; piece() gets the hash of any stretch from it."""
+    """Running polynomial hash modulo 2**64; piece() gets the hash of any stretch from it.
+
+    For stretches of some hundred bytes at most, or where equal hashes only suggest equal stretches: longer ones can
+    be made that collide.
+    """
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_OF_BYTE[data] * powers(len(data)), out=sums[1:])
     return sums
@@ -53,12 +58,38 @@ def piece(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+#: Key of word hashes, and bytes from which a word is hashed on its own.
+_KEY = 0x5851F42D4C957F2D
+_LONG = 256
+
+
+def word_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of each stretch start:end, mixed in anew after each eight bytes.
+
+    A polynomial modulo 2**64 would not do: words of 1024 letters can be made that it cannot tell apart whatever its base.
+    """
+    size = end - start
+    out = mix(size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) ^ np.uint64(_KEY))
+    eights = np.ndarray(len(data) + 1, "<u8", np.append(data, np.zeros(8, np.uint8)).tobytes(), strides=(1,))
+    rest = np.flatnonzero(size <= _LONG)
+    done = 0
+    while len(rest):
+        left = size[rest] - done
+        keep = np.where(left >= 8, ~np.uint64(0), (np.uint64(1) << (8 * (left % 8)).astype(np.uint64)) - np.uint64(1))
+        out[rest] = mix(out[rest] ^ eights[start[rest] + done] & keep)
+        done += 8
+        rest = rest[left > 8]
+    for k in np.flatnonzero(size > _LONG).tolist():
+        raw = hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8, key=_KEY.to_bytes(8)).digest()
+        out[k] = np.frombuffer(raw, "<u8")[0]
+    return out
+
+
 class Words(NamedTuple):
     start: np.ndarray
     end: np.ndarray
     hash: np.ndarray
     rows: np.ndarray  # word offsets of each row, one more than rows
-    sums: np.ndarray
 
 
 def split(data: np.ndarray, offsets: np.ndarray) -> Words:
@@ -74,8 +105,7 @@ def split(data: np.ndarray, offsets: np.ndarray) -> Words:
     start = np.flatnonzero(inside & (~before | first[:-1]))
     after = np.append(inside[1:], False) if len(data) else inside
     end = np.flatnonzero(inside & (~after | first[1:])) + 1
-    sums = prefix_sums(low)
-    return Words(start, end, piece(sums, start, end), np.searchsorted(start, offsets), sums)
+    return Words(start, end, word_hash(low, start, end), np.searchsorted(start, offsets))
 
 
 def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:

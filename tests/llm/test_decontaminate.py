@@ -2,6 +2,7 @@ import hashlib
 import random
 
 from pulsewarden.llm import decontaminate as d
+from twins import SWAPPED, THUE_MORSE
 
 DOCS = "doc_id long, text string, lang string, n_words long"
 ITEMS = "item_id long, text string, n_words long"
@@ -63,3 +64,25 @@ def test_clean_removes_spans_and_covered_documents(spark):
     rows = {r.doc_id: r for r in d.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
     assert set(rows) == {2, 3, 4} and rows[2].text.startswith("Before , after z") and rows[2].n_chars == len(rows[2].text)
     assert rows[3].text == "Plain text" and rows[3].n_chars == 5 and rows[4].text is None
+
+
+def test_words_of_one_pattern_do_not_match(spark):
+    docs, items = [(1, SWAPPED), (2, THUE_MORSE)], [(1, THUE_MORSE)]
+    assert run(spark, docs, items) == brute(docs, items) and run(spark, docs, items)[1][1] == 0
+
+
+def test_a_word_with_an_items_hash_is_compared(monkeypatch):
+    """Were all hashes of words of a length equal, bytes would still decide."""
+    monkeypatch.setattr(d.words, "word_hash", lambda data, start, end: (end - start).astype("u8"))
+    matcher = d.build([(1, "a bb ccc")], 3)
+    data, offsets = d.shared.utf8(d.pa.array(["x a bb ccc y", "a bb ddd", "q zz ccc"]))
+    spans, found = d.match(matcher, d.words.split(data, offsets), data)
+    assert spans == [(0, 1, 3)] and found == [(0, 0)]
+
+
+def test_items_without_id_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", 3), (2, "c d e f", "y", 4)], "doc_id long, text string, __items string, n_chars long")
+    items = spark.createDataFrame([(None, "a b")], "item_id long, text string")
+    assert [tuple(r) for r in d.clean(docs, items).collect()] == [(2, "c d e f", "y", 4)]
+    row = d.digest(d.find(docs, items)).where("doc_id = 1").head()
+    assert row.contaminated and row.n_items == 0 and row.items_sha256 == hashlib.sha256(b"").hexdigest()

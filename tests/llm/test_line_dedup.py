@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,17 +18,18 @@ def distance(a, b):
     return row[-1]
 
 
-def brute(docs, limit, least):
-    lines = [(i, k, line) for i, t in docs for k, line in enumerate((t or "").split("\n")) if len(line) >= least]
+def brute(docs, limit, least, every=False):
+    taken = lambda line: len(line) >= least or every and line.strip(" \t\n\v\f\r") != ""
+    lines = [(i, k, line) for i, t in docs for k, line in enumerate((t or "").split("\n")) if len(line) >= (1 if every else least)]
     first = {}
     for i, k, line in sorted(lines):
         first.setdefault(line, (i, k))
-    near = {a for a in first for b in first if a != b and first[b] < first[a] and abs(len(a) - len(b)) <= limit and distance(a, b) <= limit}
+    near = {a for a in first for b in first if len(a) >= least and a != b and first[b] < first[a] and abs(len(a) - len(b)) <= limit and distance(a, b) <= limit}
     out = {}
     for i, t in docs:
         kept, again, close = [], 0, 0
         for k, line in enumerate((t or "").split("\n")):
-            repeat = len(line) >= least and (i, k) != first[line]
+            repeat = taken(line) and (i, k) != first[line]
             again += repeat
             close += not repeat and line in near
             if not (repeat or line in near):
@@ -51,8 +53,8 @@ def test_within(spark, limit):
     assert [(r.a, r.b, r.w) for r in got] == [(a, b, distance(a, b) <= limit) for a, b in rows]
 
 
-@pytest.mark.parametrize("limit,least", [(1, 8), (2, 8), (2, 20)])
-def test_against_all_pairs(spark, limit, least):
+@pytest.mark.parametrize("limit,least,every", [(1, 8, False), (2, 8, False), (2, 20, False), (2, 20, True), (2, 8, True), (1, 1, True)])
+def test_against_all_pairs(spark, limit, least, every):
     rng = random.Random(9)
     base = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(5, 40))) for _ in range(25)]
     docs = []
@@ -67,8 +69,8 @@ def test_against_all_pairs(spark, limit, least):
         docs.append((k, "\n".join(lines)))
     docs += [(100, None), (101, ""), (102, "\n\n"), (103, base[0] + "\n" + "q" * 30000 + "\n" + "r" * 300 + "\n" + "r" * 299), (104, docs[3][1])]
     frame = spark.createDataFrame([(i, t, "x", 5) for i, t in docs], "doc_id long, text string, line string, pos int")
-    got = {r.doc_id: (r.n_lines, r.n_repeated, r.n_near, r.kept_sha256) for r in d.dedup(frame, limit=limit, least=least).collect()}
-    assert got == brute(docs, limit, least)
+    got = {r.doc_id: (r.n_lines, r.n_repeated, r.n_near, r.kept_sha256) for r in d.dedup(frame, limit=limit, least=least, every=every).collect()}
+    assert got == brute(docs, limit, least, every)
 
 
 def test_repeated_rows_and_empty(spark):
@@ -85,3 +87,11 @@ def test_short_lines_repeat_and_serve_as_earlier(spark):
     got = {r.doc_id: (r.n_repeated, r.n_near, r.kept) for r in d.dedup(spark.createDataFrame(rows, "doc_id long, text string"), every=True).collect()}
     assert got[2] == (1, 0, "\n  \nLet.") and got[1][:2] == got[3][:2] == got[5][:2] == (0, 0)
     assert got[4] == (1, 1, "") and got[6] == (0, 0, rows[5][1])
+
+
+def test_many_lines_of_one_document(spark):
+    """Time grows with the lines: 400,000 of one document within a minute."""
+    frame = spark.createDataFrame([(1, "Les.\n" * 400_000), (2, "other\nLes.")], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: (r.n_lines, r.n_repeated, r.kept) for r in d.dedup(frame, every=True).collect()}
+    assert got == {1: (400_001, 399_999, "Les.\n"), 2: (2, 1, "other")} and time.time() - began < 60

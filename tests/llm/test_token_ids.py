@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 
 from pulsewarden.llm import huffman, shared, token_ids
 from pulsewarden.llm.decontaminate import pa
+from twins import SWAPPED, THUE_MORSE
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 WHOLE = Tokenizer.from_file(PATH)
@@ -57,3 +58,19 @@ def test_files(spark, file_ids):
         start += len(ids)
     assert got == want
     assert token_ids.read(token_ids.write(frame.limit(0), PATH)).collect() == []
+
+
+def test_more_pieces_than_the_worker_holds():
+    few = token_ids.Pieces(PATH, most=5)
+    for texts in (["one two three"], ["one two three four five six seven eight nine ten one"], ["eleven one two"], [" ".join(f"w{k}" for k in range(300))], ["one w7"]):
+        data, offsets = shared.utf8(pa.array(texts))
+        assert few.encode(data, offsets, 1)[0].tolist() == WHOLE.encode(texts[0], add_special_tokens=False).ids + [1]
+
+
+def test_pieces_are_told_apart_by_their_texts():
+    assert encode([THUE_MORSE, SWAPPED]) == [WHOLE.encode(t, add_special_tokens=False).ids + [1] for t in (THUE_MORSE, SWAPPED)]
+
+
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError):
+        token_ids.Pieces(public_tokenizers.path("byte_bpe_50k.json"))
