@@ -7,7 +7,7 @@ Documents are cut into chunks block by block; a block holds its distinct chunks
 Distinct chunks are dealt out by hash into `parts`, so all blocks' uses of a chunk meet in one task, which keeps the table
 of its part: it has the library segment each chunk once and answers every block that asks. The answers go back to their
 blocks, whose numbers are replaced by ids. A chunk is asked for once a block, however often it stands there, so common
-words are no hot keys.
+words are no hot keys. Blocks are a table bucketed by block, so only questions and answers are shuffled, packed and compressed.
 
 Null texts are empty and have no ids; repeated rows are each encoded; an empty table gives no rows; other columns, whatever
 their names, are not read.
@@ -16,9 +16,11 @@ their names, are not read.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,12 +86,15 @@ def chunked(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray
     return coded.dictionary, numbers, np.diff(np.searchsorted(at, offsets))
 
 
-def _packed(numbers: np.ndarray, below: int) -> bytes:
-    return numbers.astype("<u2" if below <= 1 << 16 else "<u4").tobytes()
+def _packed(sizes: np.ndarray, data: np.ndarray) -> bytes:
+    """Compressed: how many sizes, the sizes, the data."""
+    return zstandard.ZstdCompressor(level=3).compress(np.uint32(len(sizes)).tobytes() + sizes.astype("<u4").tobytes() + data.tobytes())
 
 
-def _numbers(raw, n: int) -> np.ndarray:
-    return np.frombuffer(raw or b"", "<u2" if raw is None or len(raw) == 2 * n else "<u4")
+def _unpacked(raw) -> tuple[np.ndarray, memoryview]:
+    raw = zstandard.ZstdDecompressor().decompress(raw)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    return np.frombuffer(raw, "<u4", n, 4), memoryview(raw)[4 + 4 * n :]
 
 
 def _blocks(parts: int):
@@ -97,7 +102,7 @@ def _blocks(parts: int):
 
     Its distinct chunks are listed part by part, and numbered in that order.
     """
-    kind = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("numbers", pa.binary()), ("chunks", pa.list_(pa.list_(pa.string())))])
+    kind = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("numbers", pa.binary()), ("asked", pa.list_(pa.binary()))])
 
     def run(batches):
         from pyspark import TaskContext
@@ -111,10 +116,11 @@ def _blocks(parts: int):
                 order = np.argsort(part, kind="stable")
                 place = np.empty(len(order), np.int64)
                 place[order] = np.arange(len(order))
-                listed = pa.ListArray.from_arrays(np.searchsorted(part[order], np.arange(parts + 1)).astype(np.int32), chunks.take(pa.array(order)).cast(pa.string()))
-                row = [pa.array([name]), pa.array([batch.column(0).slice(low, high - low).to_pylist()], kind.field("ids").type), pa.array([sizes.astype("<i4").tobytes()]),
-                       pa.array([_packed(place[numbers], len(chunks))]), pa.ListArray.from_arrays(np.array([0, parts], np.int32), listed)]
-                yield pa.RecordBatch.from_arrays(row, schema=kind)
+                spelled, at = shared.utf8(chunks.take(pa.array(order)))
+                edge = np.searchsorted(part[order], np.arange(parts + 1))
+                asked = [_packed(np.diff(at[a : b + 1]), spelled[at[a] : at[b]]) if b > a else None for a, b in zip(edge[:-1], edge[1:])]
+                row = [name, batch.column(0).slice(low, high - low).to_pylist(), _packed(sizes, place[numbers].astype("<u4")), asked]
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, kind)], schema=kind)
                 name += 1
 
     return run
@@ -130,13 +136,15 @@ def _segment(path: str):
         alone = model.piece_to_id(MARK)
         for batch in batches:
             for k in range(batch.num_rows):
-                asked = batch.column(2)[k].as_py()
+                size, spelled = _unpacked(batch.column(2)[k].as_buffer())
+                at = np.append(0, np.cumsum(size, dtype=np.int64)).tolist()
+                asked = [str(spelled[a:b], "utf-8") for a, b in zip(at[:-1], at[1:])]
                 new = [c for c in asked if c not in table]
                 table.update(zip(new, (np.array(x or [alone], kind).tobytes() for x in model.encode(new, num_threads=1))))
                 coded = [table[c] for c in asked]
-                length = np.fromiter(map(len, coded), "<u4", len(coded)) // np.dtype(kind).itemsize
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([b"".join(coded)]), pa.array([length.astype("<u4").tobytes()]), pa.array([len(new)])],
-                                                 names=["block", "part", "coded", "length", "new"])
+                length = np.fromiter(map(len, coded), np.int64, len(coded)) // np.dtype(kind).itemsize
+                answer = _packed(length, np.frombuffer(b"".join(coded), kind))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([answer]), pa.array([len(new)])], names=["block", "part", "coded", "new"])
 
     return run
 
@@ -146,9 +154,9 @@ def _id_kind(model) -> str:
 
 
 def _answers(blocks: DataFrame, model_path: str) -> DataFrame:
-    """(block, part, coded, length, new): of each block and part the ids of its chunks, and how many each has."""
-    asked = blocks.select("block", F.posexplode("chunks").alias("part", "asked")).where(F.size("asked") > 0)
-    return asked.repartition("part").mapInArrow(_segment(model_path), "block long, part int, coded binary, length binary, new long")
+    """(block, part, coded, new): of each block and part the ids of its chunks."""
+    asked = blocks.select("block", F.posexplode("asked").alias("part", "asked")).where(F.col("asked").isNotNull())
+    return asked.repartition("part").mapInArrow(_segment(model_path), "block long, part int, coded binary, new long")
 
 
 def encode(docs: DataFrame, model_path: str, *, parts: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,30 +168,39 @@ def encode(docs: DataFrame, model_path: str, *, parts: int = 256, id_col: str =
     shared.small_batches(spark)
     kind = _id_kind(processor(model_path))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    blocks = shared.cut(texts.mapInArrow(_blocks(parts), "block long, ids array<long>, sizes binary, numbers binary, chunks array<array<string>>"), "blocks", "zstd")
+    made = texts.mapInArrow(_blocks(parts), "block long, ids array<long>, numbers binary, asked array<binary>")
+    blocks = _bucketed(made, "block")
     answers = _answers(blocks, model_path)
-    joined = answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "coded", "length"))).alias("table"))
-    rows = blocks.drop("chunks").join(joined.select("block", F.col("table.coded").alias("coded"), F.col("table.length").alias("length")), "block", "left")
-    return rows.select("ids", "sizes", "numbers", "coded", "length").mapInArrow(_placed(kind), "ids array<long>, sizes binary, tokens binary")
+    joined = answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "coded"))).alias("table"))
+    rows = blocks.drop("asked").join(joined.select("block", F.col("table.coded").alias("coded")), "block", "left")
+    return rows.select("ids", "numbers", "coded").mapInArrow(_placed(kind), "ids array<long>, sizes binary, tokens binary")
+
+
+def _bucketed(rows: DataFrame, column: str) -> DataFrame:
+    """rows as a table in the shared folder, bucketed by a column, so that joins on it do not shuffle them again."""
+    spark = rows.sparkSession
+    name = f"pulsewarden_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.write.bucketBy(buckets, column).option("path", shared.shared_folder(spark, "blocks")).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
 
 
 def _placed(kind: str):
     """The ids of each block's chunks in the places of their numbers."""
 
-    def joined(column: pa.Array, k: int, kind: str) -> np.ndarray:
-        return np.frombuffer(b"".join(column[k].as_py() or []), kind)
-
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                sizes = np.frombuffer(batch.column(1)[k].as_buffer() or b"", "<i4")
-                numbers = _numbers(batch.column(2)[k].as_buffer(), int(sizes.sum()))
-                flat, length = joined(batch.column(3), k, kind), joined(batch.column(4), k, "<u4").astype(np.int64)
+                sizes, numbers = _unpacked(batch.column(1)[k].as_buffer())
+                numbers = np.frombuffer(numbers, "<u4")
+                answers = [_unpacked(x.as_buffer()) for x in (batch.column(2)[k].values if batch.column(2)[k].is_valid else ())]
+                length = np.concatenate([n.astype(np.int64) for n, _ in answers]) if answers else np.empty(0, np.int64)
+                flat = np.concatenate([np.frombuffer(ids, kind) for _, ids in answers]) if answers else np.empty(0, kind)
                 at = np.cumsum(length) - length
                 count = length[numbers]
                 until = np.cumsum(count)
                 tokens = flat[np.repeat(at[numbers] - until + count, count) + np.arange(until[-1])] if len(until) else flat[:0]
-                ends = np.concatenate([[0], until])[np.concatenate([[0], np.cumsum(sizes)])]
+                ends = np.concatenate([[0], until])[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([np.diff(ends).astype("<i4").tobytes()]), pa.array([tokens.astype("<i4").tobytes()])], names=["ids", "sizes", "tokens"])
 
     return run

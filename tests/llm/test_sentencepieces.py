@@ -45,7 +45,7 @@ def test_small_blocks_change_nothing(spark, monkeypatch):
 
 def test_round_trip_and_empty_table(spark):
     rows = [(k, t) for k, t in made(60) if "▁" not in t]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS ids", "2 AS chunk", "3 AS block")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS ids", "2 AS asked", "3 AS block")
     back = sentencepieces.decode(sentencepieces.encode(docs, PATH), PATH)
     assert sorted((r.doc_id, r.text) for r in back.collect()) == sorted(rows)
     assert got(spark, []) == []
@@ -53,8 +53,8 @@ def test_round_trip_and_empty_table(spark):
 
 def test_each_distinct_chunk_is_segmented_once(spark, monkeypatch):
     seen = []
-    real = sentencepieces.shared.cut
-    monkeypatch.setattr(sentencepieces.shared, "cut", lambda df, label, *rest: seen.append(real(df, label, *rest)) or seen[-1])
+    real = sentencepieces._bucketed
+    monkeypatch.setattr(sentencepieces, "_bucketed", lambda *given: seen.append(real(*given)) or seen[-1])
     monkeypatch.setattr(sentencepieces, "BLOCK", 50)
     got(spark, [(k, "the same words in every text") for k in range(200)])
     assert seen[0].count() > 1 and sentencepieces._answers(seen[0], PATH).selectExpr("sum(new)").head()[0] == 6
