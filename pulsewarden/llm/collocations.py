@@ -75,7 +75,7 @@ def tokens(text: pa.Array, lang: pa.Array) -> Tokens:
     in_lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row]
     word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     of_word, of_lang = _hashes(coded.dictionary), _hashes(langs.dictionary)
-    return Tokens(langs.dictionary, coded.dictionary, in_lang, word, joined, words.mix(of_word[word] ^ words.mix(of_lang[in_lang] + np.uint64(1))) if len(word) else of_word)
+    return Tokens(langs.dictionary, coded.dictionary, in_lang, word, joined, _of_words(of_lang[in_lang], of_word[word]) if len(word) else of_word)
 
 
 def _hashes(strings: pa.Array) -> np.ndarray:
@@ -83,8 +83,25 @@ def _hashes(strings: pa.Array) -> np.ndarray:
     return words.piece(words.prefix_sums(data), offsets[:-1], offsets[1:])
 
 
+def _of_words(of_lang: np.ndarray, of_word: np.ndarray) -> np.ndarray:
+    return words.mix(of_word ^ words.mix(of_lang + np.uint64(1)))
+
+
+def _phrase_hashes(batches):
+    """Hashes of words or pairs with their language, as tasks that read texts compute them."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        parts = pc.split_pattern(batch.column(1), " ")
+        size = parts.value_lengths().to_numpy(zero_copy_only=False)
+        last = np.cumsum(size) - 1
+        flat = _of_words(np.repeat(_hashes(batch.column(0)), size), _hashes(parts.flatten()))
+        pairs = _pair_hash(flat, last - (size > 1))
+        yield pa.RecordBatch.from_arrays([pa.array(np.where(size > 1, pairs, flat[last]).view(np.int64))], names=["h"])
+
+
 def _pair_hash(hash: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return words.mix(hash[at] * np.uint64(0x9E3779B97F4A7C15) + hash[at + 1])
+    return words.mix(hash[at] * np.uint64(0x9E3779B97F4A7C15) + hash[np.minimum(at + 1, len(hash) - 1)])
 
 
 def _packed(parts: list[np.ndarray]) -> np.ndarray:
@@ -104,9 +121,9 @@ def _has(bits: np.ndarray, hash: np.ndarray) -> np.ndarray:
 
 
 def _bitmap(rows: DataFrame) -> np.ndarray:
-    """A bit for each value of column h, modulo the bitmap's size: at most 2**20 rows of two numbers reach the driver."""
+    """A bit for each phrase's hash, modulo the bitmap's size: at most 2**20 rows of two numbers reach the driver."""
     place = F.col("h").bitwiseAND((1 << BITS) - 1)
-    found = rows.select(F.shiftright(place, 6).alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int")).alias("b")).groupBy("slot").agg(F.bit_or("b").alias("b")).toPandas()
+    found = rows.select("lang", "phrase").mapInArrow(_phrase_hashes, "h long").select(F.shiftright(place, 6).alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int")).alias("b")).groupBy("slot").agg(F.bit_or("b").alias("b")).toPandas()
     bits = np.zeros(1 << (BITS - 6), np.int64)
     bits[found["slot"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64)
     return bits
@@ -125,13 +142,13 @@ def _batch(tokens: Tokens, at: np.ndarray, **columns) -> pa.RecordBatch:
 
 
 def _count_words(batches):
-    """(lang, h, phrase, n) of the words of each chunk, and a row without a phrase for all of a language's words."""
+    """(lang, phrase, n) of the words of each chunk, and a row without a phrase for all of a language's words."""
     for batch in shared.gathered(batches, CHUNK):
         t = tokens(batch.column(0), batch.column(1))
         _, at, n = np.unique(_packed([t.lang, t.word]), return_index=True, return_counts=True)
-        yield _batch(t, at, h=t.hash[at].view(np.int64), phrase=_strings(t, at, np.ones(len(at), int), 1), n=n)
+        yield _batch(t, at, phrase=_strings(t, at, np.ones(len(at), int), 1), n=n)
         _, at, n = np.unique(t.lang, return_index=True, return_counts=True)
-        yield _batch(t, at, h=np.zeros(len(at), np.int64), phrase=pa.nulls(len(at), pa.string()), n=n)
+        yield _batch(t, at, phrase=pa.nulls(len(at), pa.string()), n=n)
 
 
 def _count_pairs(frequent):
@@ -142,7 +159,7 @@ def _count_pairs(frequent):
             places = np.flatnonzero(t.joined & common & np.append(common[1:], False)[: len(common)])
             _, at, n = np.unique(_packed([t.lang[places], t.word[places], t.word[places + 1]]), return_index=True, return_counts=True)
             at = places[at]
-            yield _batch(t, at, h=_pair_hash(t.hash, at).view(np.int64), phrase=_strings(t, at, np.full(len(at), 2), 2), n=n)
+            yield _batch(t, at, phrase=_strings(t, at, np.full(len(at), 2), 2), n=n)
 
     return run
 
@@ -255,9 +272,9 @@ def phrases(docs: DataFrame, *, least: int = 100, text_col: str = "text", lang_c
     spark = docs.sparkSession
     shared.small_batches(spark)
     texts = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    kind = "lang string, h long, phrase string, n long"
+    kind = "lang string, phrase string, n long"
     keep = F.col("phrase").isNull() | (F.col("n") >= least)
-    sums = lambda rows: rows.groupBy("lang", "h", "phrase").agg(F.sum("n").alias("n"))
+    sums = lambda rows: rows.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     counted = shared.cut(sums(texts.mapInArrow(_count_words, kind)).where(keep), "words")
     per_lang = counted.where("phrase is null").select("lang", "n")
     single = counted.where("phrase is not null")
@@ -269,7 +286,7 @@ def phrases(docs: DataFrame, *, least: int = 100, text_col: str = "text", lang_c
     windows = texts.mapInArrow(_project(frequent, hot), "lang string, pair string, spread string, window string, n long")
     dealt = windows.repartition("lang", "pair", "spread").sortWithinPartitions("lang", "pair")
     longer = dealt.mapInArrow(_grow(least), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    every = single.select("lang", "phrase", "n").unionByName(pairs.select("lang", "phrase", "n")).unionByName(longer)
+    every = single.unionByName(pairs).unionByName(longer)
     size = F.length("phrase") - F.length(F.replace("phrase", F.lit(" "))) + 1
     return shared.cut(every.select("lang", "phrase", size.alias("size"), F.col("n").alias("f")), "phrases"), per_lang
 

@@ -28,6 +28,8 @@ from pulsewarden.llm import huffman, shared
 
 MAGIC = b"PWIDS\x00\x00\x01"
 BLOCK = 1 << 18
+#: Bytes of text that are cut into pieces together.
+CHUNK = 2 << 20
 _SPACE, _ALNUM, _MARK, _STICKY = 0, 1, 2, 3
 _CLASS = np.full(256, _MARK, np.uint8)
 _CLASS[[9, 10, 11, 12, 13, 32]] = _SPACE
@@ -56,6 +58,9 @@ class Pieces:
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self._forget()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         whole = self.tokenizer.encode(self._TRIED, add_special_tokens=False).ids
         raw = np.frombuffer(self._TRIED.encode(), np.uint8)
         if self.encode(raw, np.array([0, len(raw)]), 0)[0][:-1].tolist() != whole:
@@ -67,18 +72,31 @@ class Pieces:
         self.at, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def _learn(self, texts: list[str]):
-        lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        first, total = len(self.number), int(sizes.sum())
-        while first + len(lists) > len(self.at):
+        """Encode texts that are not known yet. Words of letters go many at a time where tokens show that they end a word."""
+        words = [t for t in texts if t.isalpha()] if self.ends.any() else []
+        for low in range(0, len(words), 2000):
+            group = words[low : low + 2000]
+            flat = np.array(self.tokenizer.encode(" ".join(group), add_special_tokens=False).ids, np.uint32)
+            stop = np.flatnonzero(self.ends[flat]) + 1
+            if len(stop) == len(group) and stop[-1] == len(flat):
+                self._keep(group, np.diff(stop, prepend=0), flat)
+        rest = [t for t in texts if t not in self.number]
+        if rest:
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            self._keep(rest, sizes, np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum())))
+
+    def _keep(self, texts: list[str], sizes: np.ndarray, flat: np.ndarray):
+        first, total = len(self.number), len(flat)
+        while first + len(texts) > len(self.at):
             self.at, self.size = np.concatenate([self.at, self.at * 0]), np.concatenate([self.size, self.size * 0])
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, self.flat * 0])
-        self.at[first : first + len(lists)] = self.used + np.cumsum(sizes) - sizes
-        self.size[first : first + len(lists)] = sizes
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in lists for i in x), np.uint32, total)
+        self.at[first : first + len(texts)] = self.used + np.cumsum(sizes) - sizes
+        self.size[first : first + len(texts)] = sizes
+        self.flat[self.used : self.used + total] = flat
         self.used += total
-        self.number.update(zip(texts, range(first, first + len(lists))))
+        self.number.update(zip(texts, range(first, first + len(texts))))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, ids per row), each row followed by end_id."""
@@ -142,9 +160,9 @@ def _tokenise(path: str, end_id: int, file_ids: int):
             names = ["shard", "seq", "docs", "sizes", "ids", "n_docs", "n_ids"]
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if k in (0, 1, 5, 6) else pa.binary()) for k, x in enumerate(row)], names=names)
 
-        for batch in batches:
+        for batch in shared.gathered(batches, CHUNK, 1):
             docs = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for low, high, data, offsets in shared.chunks(*shared.utf8(batch.column(1))):
+            for low, high, data, offsets in shared.chunks(*shared.utf8(batch.column(1)), CHUNK):
                 ids, sizes = pieces.encode(data, offsets, end_id)
                 held.append((docs[low:high], sizes, ids))
                 count += len(ids)

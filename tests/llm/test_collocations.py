@@ -67,6 +67,15 @@ def test_full_bitmaps_change_nothing(spark, rows, monkeypatch):
     assert got(spark, rows, least=3) == brute(rows, 3, 100, 2000)
 
 
+def test_hashes_of_phrases_are_those_of_places():
+    import numpy as np
+    import pyarrow as pa
+
+    t = collocations.tokens(pa.array(["ab cd, ef gh", "ab cd"]), pa.array(["en", None]))
+    hashes = next(collocations._phrase_hashes([pa.RecordBatch.from_pydict({"lang": ["en", "en", "und", "en"], "phrase": ["ab", "ab cd", "ab cd", "ef gh"]})])).column(0).to_numpy().view(np.uint64)
+    assert hashes.tolist() == [t.hash[0], *(collocations._pair_hash(t.hash, np.array([k]))[0] for k in (0, 4, 2))]
+
+
 def test_long_text_and_empty_table(spark):
     long = [("ab cd ef " * 50000, "en")]
     assert got(spark, long, least=100) == brute(long, 100, 100, 2000)
