@@ -66,6 +66,52 @@ def features20(series: DataFrame, window: int) -> DataFrame:
     )
 
 
+def by_windows(series: DataFrame, windows: tuple[int, ...], names: tuple[str, ...] = NAMES20) -> DataFrame:
+    """(signal, sim, window, t, features): the 20 features, or the 4 of NAMES4, of several window lengths from one sort.
+
+    Each day that has a whole window of a length is a row of it.
+    """
+    days = Window.partitionBy(*SERIES).orderBy("t")
+    x, s = F.col("x"), _frame(7)
+    if names == NAMES4:
+        base = series.select(*SERIES, "t", "x", F.row_number().over(days).alias("rn"), *[f("x").over(_frame(w)).alias(f"{c}{w}") for w in windows for f, c in ((F.avg, "mean_"), (F.stddev_pop, "std_"))])
+        rows = [F.struct(F.lit(w).alias("window"), F.array(x, F.col(f"mean_{w}"), F.col(f"std_{w}"), x / (F.col(f"mean_{w}") + EPSILON)).alias("features")) for w in windows]
+    else:
+        own = [f("x").over(_frame(w)).alias(f"{c}{w}") for w in windows for f, c in ((F.avg, "mean_"), (F.max, "max_"), (F.min, "min_"), (F.stddev_pop, "std_"), (F.first, "first_"), (F.collect_list, "values_"))]
+        base = series.select(*SERIES, "t", "x", F.row_number().over(days).alias("rn"), F.avg("x").over(s).alias("mean7"), F.max("x").over(s).alias("max7"), F.stddev_pop("x").over(s).alias("std7"),
+                             *[F.coalesce(x - F.lag("x", k).over(days), F.lit(0.0)).alias(f"diff{k}") for k in (1, 7, 14)], *own)
+        base = base.select("*", *[F.array_sort(f"values_{w}").alias(f"ordered_{w}") for w in windows])
+        base = base.select("*", *[_middle(F.col(f"ordered_{w}")).alias(f"median_{w}") for w in windows])
+        rows = [F.struct(F.lit(w).alias("window"), F.array(*_row20(w)).alias("features")) for w in windows]
+    whole = [F.when(F.col("rn") >= w, r) for w, r in zip(windows, rows)]
+    each = base.select(*SERIES, "t", F.explode(F.array(*whole)).alias("r")).where(F.col("r").isNotNull())
+    return each.select(*SERIES, F.col("r.window").alias("window"), "t", F.col("r.features").alias("features"))
+
+
+def _row20(w: int) -> list[Column]:
+    """The features in the order of NAMES20 from by_windows' columns of window w."""
+    x, of = F.col("x"), lambda c: F.col(f"{c}_{w}")
+    mad = _middle(F.array_sort(F.transform(of("values"), lambda v: F.abs(v - of("median")))))
+    slope = (x - of("first")) / (w + EPSILON)
+    return [
+        x, F.col("mean7"), of("mean"), F.col("max7"), of("max"), x / (F.col("mean7") + EPSILON), x / (of("mean") + EPSILON),
+        _share_up_to(F.slice(of("values"), -min(7, w), min(7, w)), x), _share_up_to(of("values"), x), F.col("diff1"), F.col("diff7"), F.col("diff14"), F.col("std7"), of("std"),
+        of("std") / (of("mean") + EPSILON), slope, x - (of("first") + slope * (w - 1)), (x - of("mean")) / (of("std") + EPSILON),
+        0.6745 * (x - of("median")) / F.when(mad == 0, EPSILON).otherwise(mad), (x - of("min")) / (of("max") - of("min") + EPSILON),
+    ]
+
+
+def standardise_arrays(rows: DataFrame, fitted_on: DataFrame, by: list[str]) -> DataFrame:
+    """Each place of `features` less its mean, over its population deviation, both from fitted_on by the given keys; deviation 0 counts as 1.
+
+    Keys that fitted_on lacks give no rows. Both tables' arrays have one length.
+    """
+    places = fitted_on.select(*by, F.posexplode("features").alias("p", "v")).groupBy(*by, "p").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+    ordered = F.array_sort(F.collect_list(F.struct("p", "m", F.when(F.col("s") == 0, 1.0).otherwise(F.col("s")).alias("s"))))
+    moments = places.groupBy(*by).agg(ordered.alias("moments"))
+    return rows.join(moments, by).withColumn("features", F.zip_with("features", "moments", lambda v, m: (v - m["m"]) / m["s"])).drop("moments")
+
+
 def features4(series: DataFrame, window: int) -> DataFrame:
     """x, window mean, population deviation and x / (mean + eps) of each day with a whole window."""
     w = _frame(window)

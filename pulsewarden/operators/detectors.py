@@ -1,24 +1,21 @@
 """Model detectors with one contract: fit(train rows) then score(rows) -> higher = more anomalous.
 
-Rows are (signal, sim, t, features array). Models are per signal. Isolation trees and support vectors are
-fitted in grouped tasks on seeded samples of bounded size, so that no group holds a signal's rows; models are small
-tables that scoring joins by signal.
+Rows are (signal, config, sim, t, features array), sequences (signal, sim, t, seq array). Models are keyed by signal and
+config; rows without a config have config 0. forest and ocsvm hold the others.
 """
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Callable
 from typing import Protocol
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsewarden.operators import calibrate, slices
+from pulsewarden.operators.forest import IsolationForest
+from pulsewarden.operators.ocsvm import OneClassSVM
+from pulsewarden.operators.recurrent import SequenceAutoencoder
 
 KEYS = ["signal", "sim", "t"]
 
@@ -31,152 +28,10 @@ class Detector(Protocol):
     def score(self, rows: DataFrame) -> DataFrame: ...
 
 
-def _sampled(train: DataFrame, draws: int, size: int, seed: int) -> DataFrame:
-    """`draws` repeatable samples of about `size` rows a signal: (signal, draw, features).
-
-    A row enters a draw by a hash of its key, at a rate of twice size over the signal's rows; the lowest
-    hashes of a draw are kept. Rows move only if some draw takes them.
-    """
-    counted = F.broadcast(train.groupBy("signal").agg(F.count("*").alias("n")))
-    hashed = train.join(counted, "signal").select(
-        "signal", "features", F.explode(F.filter(
-            F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda d: F.struct(d.alias("draw"), F.pmod(F.xxhash64(F.lit(seed), d, *KEYS), F.lit(1 << 40)).alias("h"))),
-            lambda s: s["h"] < F.least(F.lit(1.0), F.lit(2.0 * size) / F.col("n")) * float(1 << 40))).alias("s"))
-    ranked = hashed.select("signal", "s.draw", "s.h", "features").withColumn("rn", F.row_number().over(Window.partitionBy("signal", "draw").orderBy("h")))
-    return ranked.where(F.col("rn") <= size).select("signal", "draw", "features")
-
-
-class IsolationForest:
-    """Isolation forest: per tree a sample of `size` rows and a share of features; score 2^(-depth / c(size)).
-
-    Rows are scored in `blocks` tasks a signal, each of which gets the trees; very many rows want more.
-    """
-
-    def __init__(self, trees: int = 100, size: int = 256, feature_share: float = 1.0, seed: int = 42, blocks: int = 64):
-        self.name, self.trees, self.size, self.feature_share, self.seed, self.blocks = "iforest", trees, size, feature_share, seed, blocks
-        self.model: DataFrame | None = None
-
-    def fit(self, train: DataFrame) -> "IsolationForest":
-        share, seed = self.feature_share, self.seed
-
-        def grow(part: pd.DataFrame) -> pd.DataFrame:
-            rows = np.array(part["features"].tolist())
-            draw = int(part["draw"].iloc[0])
-            rng = np.random.default_rng([seed, int(part["signal"].iloc[0]), draw])
-            allowed = rng.permutation(rows.shape[1])[: max(1, round(share * rows.shape[1]))]
-            limit = int(np.ceil(np.log2(max(len(rows), 2))))
-            feature, cut, left, right, depth = [], [], [], [], []
-
-            def node(at: np.ndarray, level: int) -> int:
-                me = len(feature)
-                for column, value in ((feature, -1), (cut, 0.0), (left, -1), (right, -1), (depth, level + _expected(len(at)))):
-                    column.append(value)
-                if level < limit and len(at) > 1:
-                    spread = rows[at][:, allowed]
-                    low, high = spread.min(axis=0), spread.max(axis=0)
-                    usable = np.flatnonzero(high > low)
-                    if len(usable):
-                        pick = rng.choice(usable)
-                        value = rng.uniform(low[pick], high[pick])
-                        below = spread[:, pick] < value
-                        feature[me], cut[me] = int(allowed[pick]), float(value)
-                        left[me] = node(at[below], level + 1)
-                        right[me] = node(at[~below], level + 1)
-                return me
-
-            node(np.arange(len(rows)), 0)
-            return pd.DataFrame([{"signal": part["signal"].iloc[0], "tree": draw, "n": len(rows), "feature": feature, "cut": cut, "left": left, "right": right, "depth": depth}])
-
-        kind = "signal int, tree int, n int, feature array<int>, cut array<double>, left array<int>, right array<int>, depth array<double>"
-        grown = _sampled(train, self.trees, self.size, self.seed).groupBy("signal", "draw").applyInPandas(grow, kind)
-        self.model = grown
-        return self
-
-    def score(self, rows: DataFrame) -> DataFrame:
-        """Trees travel once a signal and block of rows, as rows of a block are scored together."""
-        blocks = rows.groupBy("signal", F.pmod(F.xxhash64("sim", F.floor(F.col("t") / 512)), F.lit(self.blocks)).alias("block"))
-
-        def run(key, part: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-            if part.empty or model.empty:
-                return pd.DataFrame({"signal": np.empty(0, np.int32), "sim": np.empty(0, object), "t": np.empty(0, np.int32), "score": np.empty(0)})
-            values = np.array(part["features"].tolist())
-            total, sizes = np.zeros(len(values)), []
-            for tree in model.sort_values("tree").itertuples():
-                feature, cut, left, right, depth = (np.asarray(x) for x in (tree.feature, tree.cut, tree.left, tree.right, tree.depth))
-                at = np.zeros(len(values), int)
-                while True:
-                    inner = feature[at] >= 0
-                    if not inner.any():
-                        break
-                    rows_in = np.flatnonzero(inner)
-                    here = at[rows_in]
-                    at[rows_in] = np.where(values[rows_in, feature[here]] < cut[here], left[here], right[here])
-                total += depth[at]
-                sizes.append(tree.n)
-            score = 2.0 ** (-(total / len(sizes)) / max(_expected(int(np.mean(sizes))), 1e-9))
-            return pd.DataFrame({"signal": part["signal"].to_numpy(), "sim": part["sim"].to_numpy(object), "t": part["t"].to_numpy(), "score": score})
-
-        spread = self.model.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(self.blocks - 1).cast("bigint"))).alias("block"))
-        return blocks.cogroup(spread.groupBy("signal", "block")).applyInPandas(run, "signal int, sim string, t int, score double")
-
-
-def _expected(n: int) -> float:
-    """Mean depth of an unsuccessful search in a binary tree of n."""
-    return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n
-
-
-class OneClassSVM:
-    """One-class support vector machine with an RBF kernel on a bounded sample, by pairwise coordinate steps."""
-
-    def __init__(self, nu: float = 0.05, size: int = 1000, rounds: int = 1000, seed: int = 42):
-        self.name, self.nu, self.size, self.rounds, self.seed = "ocsvm", nu, size, rounds, seed
-        self.model: DataFrame | None = None
-
-    def fit(self, train: DataFrame) -> "OneClassSVM":
-        nu, rounds = self.nu, self.rounds
-
-        def solve(part: pd.DataFrame) -> pd.DataFrame:
-            x = np.array(part["features"].tolist())
-            gamma = 1.0 / max(x.shape[1] * x.var(), 1e-12)
-            square = (x**2).sum(axis=1)
-            kernel = np.exp(-gamma * np.maximum(square[:, None] + square[None, :] - 2 * x @ x.T, 0))
-            n = len(x)
-            top = 1.0 / max(nu * n, 1.0)
-            alpha = np.zeros(n)
-            alpha[: int(nu * n)] = top
-            alpha[min(int(nu * n), n - 1)] += 1.0 - alpha.sum()
-            gradient = kernel @ alpha
-            for _ in range(rounds):
-                up = np.where(alpha < top - 1e-12, gradient, np.inf)
-                down = np.where(alpha > 1e-12, gradient, -np.inf)
-                i, j = int(up.argmin()), int(down.argmax())
-                if down[j] - up[i] < 1e-6:
-                    break
-                step = min((gradient[j] - gradient[i]) / max(kernel[i, i] + kernel[j, j] - 2 * kernel[i, j], 1e-12), top - alpha[i], alpha[j])
-                alpha[i] += step
-                alpha[j] -= step
-                gradient += step * (kernel[:, i] - kernel[:, j])
-            free = (alpha > 1e-9) & (alpha < top - 1e-9)
-            rho = float(gradient[free].mean() if free.any() else gradient[alpha > 1e-9].max())
-            some = alpha > 1e-9
-            return pd.DataFrame([{"signal": part["signal"].iloc[0], "vectors": x[some].tolist(), "alpha": alpha[some].tolist(), "gamma": gamma, "rho": rho}])
-
-        kind = "signal int, vectors array<array<double>>, alpha array<double>, gamma double, rho double"
-        self.model = _sampled(train, 1, self.size, self.seed).groupBy("signal").applyInPandas(solve, kind)
-        return self
-
-    def score(self, rows: DataFrame) -> DataFrame:
-        """rho less the kernel sum, by array functions; the model of a signal is at most `size` vectors."""
-        distance = lambda v: F.aggregate(F.zip_with("features", v, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
-        near = F.zip_with("vectors", "alpha", lambda v, a: a * F.exp(-F.col("gamma") * distance(v)))
-        joined = rows.join(F.broadcast(self.model), "signal")
-        return joined.select(*KEYS, (F.col("rho") - F.aggregate(near, F.lit(0.0), lambda s, d: s + d)).alias("score"))
-
-
 class SequenceReconstructor:
     """Linear autoencoder of 14-day sequences: projection on `k` principal components, one model for all signals.
 
-    A stand-in of the same bottleneck for a recurrent network, which it is not. Scores mix mean squared and
+    The linear counterpart of SequenceAutoencoder, of the same bottleneck. Scores mix mean squared and
     largest absolute reconstruction error. The input is (signal, sim, t, seq) and is not scaled.
     """
 
@@ -210,19 +65,5 @@ class SequenceReconstructor:
         return self.errors(rows).select(*KEYS, (a * F.col("mse") + b * F.col("peak")).alias("score"))
 
 
-def search(candidates: list[tuple[Detector, DataFrame, DataFrame]], labels: DataFrame, splits: DataFrame, tune: Callable[[DataFrame], DataFrame], target: float) -> DataFrame:
-    """Alarms of the test series by each signal's best configuration: signal, sim, t, config, score, y, a.
-
-    A candidate is a detector, its train rows and the rows to score (their features depend on the configuration). Thresholds
-    and the configuration come from the validation series alone. Scores are persisted, as they are read twice.
-    """
-    parts = [model.fit(slices.restrict(train, splits, "train")).score(rows).withColumn("config", F.lit(k)) for k, (model, train, rows) in enumerate(candidates)]
-    scored = functools.reduce(DataFrame.unionByName, parts).join(labels.select(*KEYS, "y"), KEYS).persist()
-    val, test = (slices.restrict(scored, splits, s) for s in ("val", "test"))
-    keyed = val.select(F.struct("signal", "config").alias("signal"), "sim", "t", "score", "y")
-    tuned = tune(keyed).select("signal.signal", "signal.config", "thr", "sens", "spec")
-    return calibrate.apply_choice(test, calibrate.choose_config(tuned, target))
-
-
 #: Detectors by name; an unknown name is a KeyError.
-REGISTRY = {"iforest": IsolationForest, "ocsvm": OneClassSVM, "seqrecon": SequenceReconstructor}
+REGISTRY = {"iforest": IsolationForest, "ocsvm": OneClassSVM, "seqauto": SequenceAutoencoder, "seqrecon": SequenceReconstructor}

@@ -10,8 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsewarden.functions import farrington, features
-from pulsewarden.operators import calibrate, detectors, ensemble, metrics, slices
+from pulsewarden.functions import bilstm, farrington, features
+from pulsewarden.operators import calibrate, detectors, ensemble, forest, metrics, ocsvm, recurrent, search, slices, tables
 from pulsewarden.sources import panels
 
 TRAIN, TAIL = 2100, 343
@@ -606,54 +606,94 @@ def farrington_weights(spark, sf):
     return _rounded(weeks.groupBy("signal", "sim").applyInPandas(weigh, "signal int, sim string, week int, weight double"))
 
 
-def _vectors(spark, sf):
-    """(train, test) rows of the 20 features as arrays, standardised on train."""
+def _vectors(spark, sf, names=features.NAMES20):
+    """(train, test) rows of the features of 14 days as arrays, standardised on train."""
     p = panel(spark, sf)
-    train, test = features.features20(slices.head(p, TRAIN), 14), features.features20(slices.tail(p, TAIL), 14)
-    names = list(features.NAMES20)
-    pack = lambda rows: features.standardise(rows, train, names).select(*KEYS, F.array(*names).alias("features"))
-    return pack(train), pack(test)
+    train, test = (features.by_windows(rows, (14,), names) for rows in (slices.head(p, TRAIN), slices.tail(p, TAIL)))
+    return tuple(features.standardise_arrays(rows, train, ["signal"]).select(*KEYS, "features") for rows in (train, test))
 
 
 @query()
 def iforest_scores(spark, sf):
     train, test = _vectors(spark, sf)
-    return detectors.IsolationForest(trees=60).fit(train).score(test)
+    return forest.IsolationForest([forest.Config(200, 0.9, 0.6)]).fit(train).score(test).drop("config")
 
 
 @query()
 def ocsvm_scores(spark, sf):
-    train, test = _vectors(spark, sf)
-    return detectors.OneClassSVM(size=400).fit(train).score(test)
+    train, test = _vectors(spark, sf, features.NAMES4)
+    return ocsvm.OneClassSVM([0.05]).fit(train).score(test).drop("config")
+
+
+def _autoencoder(p, splits):
+    """Autoencoders of the train days of train series, which stop by the loss on the last days of validation series.
+
+    They are narrower than the default and take longer steps, as an epoch here is one step over all sequences.
+    """
+    train = features.sequences(slices.head(slices.restrict(p, splits, "train"), TRAIN)).withColumn("held", F.lit(False))
+    val = features.sequences(slices.tail(slices.restrict(p, splits, "val"), TAIL, 13)).withColumn("held", F.lit(True))
+    rows = tables.committed(train.unionByName(val).select("signal", "held", "seq"), "sequences")
+    return recurrent.SequenceAutoencoder(bilstm.Shape(14, (16, 8), 4, (0.1, 0.1)), epochs=30, rate=0.02, floor=10).fit(rows)
 
 
 @query()
 def seq_recon_scores(spark, sf):
+    p = panel(spark, sf)
+    return _autoencoder(p, slices.split_sims(p)).score(features.sequences(slices.tail(p, TAIL, 13)))
+
+
+@query()
+def seq_linear_scores(spark, sf):
+    """The linear counterpart of the recurrent model, one for all signals."""
     p = panel(spark, sf)
     model = detectors.SequenceReconstructor().fit(features.sequences(slices.head(p, TRAIN)))
     return model.score(features.sequences(slices.warmed_up(slices.tail(p, TAIL, 13), 1)))
 
 
+def _searched(spark, sf, name):
+    """The whole grid of a detector: every configuration fitted, tuned on validation series, the best applied to test series."""
+    p = panel(spark, sf)
+    splits = slices.split_sims(p)
+    if name == "iforest":
+        grid, names, tune, target = search.FOREST_GRID, features.NAMES20, calibrate.contamination, 0.97
+        detector = forest.IsolationForest([forest.Config(*g[1:]) for g in grid])
+    else:
+        grid, names, tune, target = search.SVM_GRID, features.NAMES4, calibrate.percentiles, 0.95
+        detector = ocsvm.OneClassSVM([g[1] for g in grid])
+    train, rows = search.inputs(p, splits, [g[0] for g in grid], names, TRAIN, TAIL)
+    return search.search(detector, train, rows, p, splits, tune, target, grid)
+
+
+@query()
+def iforest_search(spark, sf):
+    return _searched(spark, sf, "iforest").alarms
+
+
+@query()
+def ocsvm_search(spark, sf):
+    return _searched(spark, sf, "ocsvm").alarms
+
+
 @query()
 def ensemble_full(spark, sf):
-    """Isolation forest, one-class SVM and sequence reconstruction, voted: metrics per signal.
+    """Isolation forest, one-class SVM and recurrent reconstruction, voted: metrics per signal.
 
     Detectors are fitted on the train days of train series, thresholds tuned on the last days of validation series,
-    and alarms are those of test series.
+    and alarms are those of test series. Scores of both are written once.
     """
     p = panel(spark, sf)
     labels, splits = p.select(*KEYS, "y"), slices.split_sims(p)
-    train, last = _vectors(spark, sf)
-    train = slices.restrict(train, splits, "train")
-    fit_on = slices.restrict(p, splits, "train")
-    recon = detectors.SequenceReconstructor().fit(features.sequences(slices.head(fit_on, TRAIN)))
-    scored = [detectors.IsolationForest(trees=40).fit(train).score(last), detectors.OneClassSVM(size=300).fit(train).score(last), recon.score(features.sequences(slices.tail(p, TAIL, 13)))]
-    parts = []
-    for k, rows in enumerate(scored):
-        labelled = rows.join(labels, KEYS)
-        tuned = calibrate.negative_tail(slices.restrict(labelled, splits, "val"), 0.95)
-        parts.append(calibrate.alarms(slices.restrict(labelled, splits, "test"), tuned).select(*KEYS, F.lit(k).alias("detector"), "a", "y"))
-    return metrics.original(ensemble.vote(parts[0].unionByName(parts[1]).unionByName(parts[2])))
+    scored = []
+    for detector, names in ((forest.IsolationForest([forest.Config(200, 0.9, 0.6)]), features.NAMES20), (ocsvm.OneClassSVM([0.05]), features.NAMES4)):
+        train, rows = search.inputs(p, splits, [14], names, TRAIN, TAIL)
+        scored.append(detector.fit(train).score(rows).drop("config"))
+    scored.append(_autoencoder(p, splits).score(features.sequences(slices.tail(p, TAIL, 13))))
+    every = scored[0].withColumn("detector", F.lit(0)).unionByName(scored[1].withColumn("detector", F.lit(1))).unionByName(scored[2].withColumn("detector", F.lit(2)))
+    held = tables.committed(every.join(labels, KEYS), "ensemble-scores")
+    keyed = slices.restrict(held, splits, "val").select(F.struct("signal", "detector").alias("signal"), "sim", "t", "score", "y")
+    tuned = calibrate.negative_tail(keyed, 0.95).select("signal.signal", "signal.detector", "thr")
+    alarms = slices.restrict(held, splits, "test").join(F.broadcast(tuned), ["signal", "detector"])
+    return metrics.original(ensemble.vote(alarms.select(*KEYS, "detector", (F.col("score") >= F.col("thr")).cast("int").alias("a"), "y")))
 
 
 @query(FULL + f", b AS (SELECT *, row_number() OVER (PARTITION BY signal, sim ORDER BY t) AS rn, avg(x) OVER {_W14} AS m, stddev_pop(x) OVER {_W14} AS s FROM tail), sc AS (SELECT signal, sim, t, y, round((x - m) / (s + 1e-6), 9) AS score FROM b WHERE rn >= 14), q AS (SELECT signal, quantile_cont(score, 0.95) AS thr FROM sc GROUP BY 1), al AS (SELECT sc.signal, sim, t, y, CASE WHEN score >= thr THEN 1 ELSE 0 END AS a FROM sc JOIN q USING (signal))" + _PER + f" SELECT {_EACH} FROM ps")

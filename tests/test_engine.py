@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsewarden.functions import farrington, features
-from pulsewarden.operators import calibrate, detectors, ensemble, metrics, slices
+from pulsewarden.operators import calibrate, detectors, ensemble, forest, metrics, ocsvm, search, slices
 from pulsewarden.sources import panels
 
 ALARMS = "signal int, sim string, t int, a double, y int"
@@ -244,10 +244,26 @@ def test_search_tunes_on_validation_series_only(spark):
     table = spark.createDataFrame(rows, "signal int, sim string, t int, features array<double>, y int")
     blind = table.withColumn("features", F.array(F.lit(0.5), F.rand(1), F.lit(0.5)))
     splits = spark.createDataFrame([(1, s, s) for s in ("train", "val", "test")], "signal int, sim string, split string")
-    candidates = [(detectors.OneClassSVM(nu=0.05, size=200), rows.drop("y"), rows.drop("y")) for rows in (blind, table)]
-    got = detectors.search(candidates, table, splits, calibrate.two_stage, 0.97).collect()
-    assert len(got) == 200 and {r.sim for r in got} == {"test"} and {r.config for r in got} == {1}
-    assert sum(r.a for r in got if r.y) >= 18 and sum(r.a for r in got if not r.y) <= 20
+    both = blind.withColumn("config", F.lit(0)).unionByName(table.withColumn("config", F.lit(1))).drop("y")
+    for detector in (ocsvm.OneClassSVM([0.05, 0.05]), forest.IsolationForest([forest.Config(60)] * 2)):
+        found = search.search(detector, slices.restrict(both, splits, "train"), both, table, splits, calibrate.two_stage, 0.97, [("blind",), ("plain",)])
+        got = found.alarms.collect()
+        assert len(got) == 200 and {r.sim for r in got} == {"test"} and {r.config for r in got} == {1}
+        assert sum(r.a for r in got if r.y) >= 18 and sum(r.a for r in got if not r.y) <= 20
+        manifest = found.manifest.collect()
+        assert [r.settings for r in manifest] == ['["blind"]', '["plain"]'] and spark.read.parquet(manifest[0].scores).count() == 1200
+
+
+def test_features_of_several_windows_are_those_of_each(spark):
+    x = np.random.default_rng(4).poisson(5, 60).astype(float)
+    s = series(spark, x)
+    for names, build in ((features.NAMES20, features.features20), (features.NAMES4, features.features4)):
+        got = {(r.window, r.t): r.features for r in features.by_windows(s, (7, 14, 21), names).collect()}
+        want = {(w, r.t): [r[c] for c in names] for w in (7, 14, 21) for r in build(s, w).collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    rows = features.by_windows(s, (7, 14), features.NAMES4)
+    scaled = np.array([r.features for r in features.standardise_arrays(rows, rows, ["signal", "window"]).where("window = 7").collect()])
+    assert np.allclose(scaled.mean(axis=0), 0, atol=1e-9) and np.allclose(scaled.std(axis=0), 1)
 
 
 def test_subsample_default_mix_and_common_span(spark):
