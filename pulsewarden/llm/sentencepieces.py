@@ -28,8 +28,8 @@ from pulsewarden.llm import shared, words
 
 MARK = "▁"
 _MARK = np.frombuffer(MARK.encode(), np.uint8)
-#: Bytes of text of a block: its numbers and ids take some 20 times that in a task.
-BLOCK = 8 << 20
+#: Bytes of text of a block, and of the stretches in which it is cut and put together, whose arrays take some 30 times that.
+BLOCK, STRETCH = 32 << 20, 4 << 20
 
 _of_worker: dict[str, object] = {}
 
@@ -108,20 +108,35 @@ def _blocks(parts: int):
         from pyspark import TaskContext
 
         name = TaskContext.get().partitionId() << 32
-        for batch in shared.gathered(batches, BLOCK, 1):
-            for low, high, data, offsets in shared.chunks(*shared.utf8(batch.column(1)), BLOCK):
+
+        def block(held) -> pa.RecordBatch:
+            ids, sizes, numbers, chunks = zip(*held)
+            merged = pa.chunked_array(chunks).combine_chunks().dictionary_encode()
+            chunks, among = merged.dictionary, merged.indices.to_numpy(zero_copy_only=False)
+            edge = np.cumsum([0, *(len(x[3]) for x in held)])
+            spelled, at = shared.utf8(chunks)
+            part = (words.word_hash(spelled, at[:-1], at[1:]) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order))
+            told = np.concatenate([place[among[a:b]][n] for a, b, n in zip(edge[:-1], edge[1:], numbers)])
+            spelled, at = shared.utf8(chunks.take(pa.array(order)))
+            edge = np.searchsorted(part[order], np.arange(parts + 1))
+            asked = [_packed(np.diff(at[a : b + 1]), spelled[at[a] : at[b]]) if b > a else None for a, b in zip(edge[:-1], edge[1:])]
+            row = [name, [i for x in ids for i in x.to_pylist()], _packed(np.concatenate(sizes), told.astype("<u4")), asked]
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, kind)], schema=kind)
+
+        held, size = [], 0
+        for batch in batches:
+            for low, high, data, offsets in shared.chunks(*shared.utf8(batch.column(1)), STRETCH):
                 chunks, numbers, sizes = chunked(data, offsets)
-                spelled, at = shared.utf8(chunks)
-                part = (words.word_hash(spelled, at[:-1], at[1:]) % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                place = np.empty(len(order), np.int64)
-                place[order] = np.arange(len(order))
-                spelled, at = shared.utf8(chunks.take(pa.array(order)))
-                edge = np.searchsorted(part[order], np.arange(parts + 1))
-                asked = [_packed(np.diff(at[a : b + 1]), spelled[at[a] : at[b]]) if b > a else None for a, b in zip(edge[:-1], edge[1:])]
-                row = [name, batch.column(0).slice(low, high - low).to_pylist(), _packed(sizes, place[numbers].astype("<u4")), asked]
-                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, kind)], schema=kind)
-                name += 1
+                held.append((batch.column(0).slice(low, high - low), sizes, numbers, chunks))
+                size += len(data)
+                if size >= BLOCK:
+                    yield block(held)
+                    held, size, name = [], 0, name + 1
+        if held:
+            yield block(held)
 
     return run
 
@@ -197,11 +212,18 @@ def _placed(kind: str):
                 length = np.concatenate([n.astype(np.int64) for n, _ in answers]) if answers else np.empty(0, np.int64)
                 flat = np.concatenate([np.frombuffer(ids, kind) for _, ids in answers]) if answers else np.empty(0, kind)
                 at = np.cumsum(length) - length
-                count = length[numbers]
-                until = np.cumsum(count)
-                tokens = flat[np.repeat(at[numbers] - until + count, count) + np.arange(until[-1])] if len(until) else flat[:0]
-                ends = np.concatenate([[0], until])[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([np.diff(ends).astype("<i4").tobytes()]), pa.array([tokens.astype("<i4").tobytes()])], names=["ids", "sizes", "tokens"])
+                edge = np.append(0, np.cumsum(sizes, dtype=np.int64))
+                low = 0
+                while low < len(sizes):
+                    high = max(low + 1, int(np.searchsorted(edge, edge[low] + STRETCH // 8, "right")) - 1)
+                    some = numbers[edge[low] : edge[high]]
+                    count = length[some]
+                    until = np.cumsum(count)
+                    tokens = flat[np.repeat(at[some] - until + count, count) + np.arange(until[-1])] if len(until) else flat[:0]
+                    ends = np.append(0, until)[edge[low : high + 1] - edge[low]]
+                    ids = pa.array([batch.column(0)[k].values.slice(low, high - low).to_pylist()], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([np.diff(ends).astype("<i4").tobytes()]), pa.array([tokens.astype("<i4").tobytes()])], names=["ids", "sizes", "tokens"])
+                    low = high
 
     return run
 

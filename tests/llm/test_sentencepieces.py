@@ -38,7 +38,8 @@ def test_as_the_library_does(spark):
 
 
 def test_small_blocks_change_nothing(spark, monkeypatch):
-    monkeypatch.setattr(sentencepieces, "BLOCK", 100)
+    monkeypatch.setattr(sentencepieces, "BLOCK", 250)
+    monkeypatch.setattr(sentencepieces, "STRETCH", 80)
     rows = made(80) + EDGES
     assert got(spark, rows) == brute(rows)
 
@@ -56,6 +57,7 @@ def test_each_distinct_chunk_is_segmented_once(spark, monkeypatch):
     real = sentencepieces._bucketed
     monkeypatch.setattr(sentencepieces, "_bucketed", lambda *given: seen.append(real(*given)) or seen[-1])
     monkeypatch.setattr(sentencepieces, "BLOCK", 50)
+    monkeypatch.setattr(sentencepieces, "STRETCH", 20)
     got(spark, [(k, "the same words in every text") for k in range(200)])
     assert seen[0].count() > 1 and sentencepieces._answers(seen[0], PATH).selectExpr("sum(new)").head()[0] == 6
 
