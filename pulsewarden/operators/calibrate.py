@@ -2,9 +2,8 @@
 
 Scores are (signal, sim, t, score, y) with higher = more anomalous; an alarm is score >= threshold. A detector
 whose scores are lower for anomalies negates them first: its percentile p is then minus the percentile 100 - p.
-Every tuner returns one row per signal. Candidate thresholds are a fixed grid of exact percentiles, found in
-one aggregation per signal; each score then gets the number of candidates at or below it from the sorted
-candidates, and counts per such rank are cumulated. So a score is touched twice, however long the grid is.
+Every tuner returns one row per signal. Candidate thresholds are a fixed grid of exact percentiles; these, and the days
+that reach each, come from scores sorted once (order.Ordered), so no task holds a signal's scores.
 """
 
 from __future__ import annotations
@@ -12,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsewarden.operators import order
+from pulsewarden.operators.order import Ordered, fraction
+
 #: Fixed values of the reference grids.
 CONTAMINATION = [0.01, 0.015, 0.02, 0.025, 0.03, 0.035, 0.04, 0.045, 0.05, 0.06, 0.07]
 CONTAMINATION_FALLBACK = [0.005, 0.01, 0.015, 0.02, 0.025, 0.03, 0.035, 0.04, 0.05]
@@ -33,28 +35,17 @@ def f_beta(sens: Column, spec: Column, beta: float = 0.5) -> Column:
     return F.when(below <= 0, 0.0).otherwise((1 + square) * sens * spec / below)
 
 
-def grid(scores: DataFrame, percents: list[float], over: str = "all") -> DataFrame:
+def grid(scores: DataFrame | Ordered, percents: list[float], over: str = "all") -> DataFrame:
     """(signal, pos, percent, thr, sens, spec, positives, negatives) of each candidate percentile.
 
-    over='negatives' takes percentiles over days without outbreak, or over all where a signal has none.
+    over='negatives' takes percentiles over days without outbreak, or over all where a signal has none. Several grids of the
+    same scores share one Ordered.
     """
-    shares = F.array(*[F.lit(p / 100) for p in percents])
-    chosen = F.percentile("score", shares)
-    if over == "negatives":
-        quiet = F.percentile(F.when(F.col("y") == 0, F.col("score")), shares)
-        chosen = F.coalesce(quiet, chosen)
-    found = scores.groupBy("signal").agg(chosen.alias("thr"), F.sum("y").cast("long").alias("positives"), F.sum(1 - F.col("y")).cast("long").alias("negatives"))
-    ranked = scores.join(F.broadcast(found.select("signal", F.array_sort("thr").alias("ordered"))), "signal")
-    ranked = ranked.select("signal", "y", F.size(F.filter("ordered", lambda v: v <= F.col("score"))).alias("rank"))
-    counts = ranked.groupBy("signal", "rank").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
-    cells = found.select("signal", "positives", "negatives", "thr", F.array_sort("thr").alias("ordered"))
-    each = cells.select("signal", "positives", "negatives", "ordered", F.posexplode("thr").alias("pos", "thr"))
-    each = each.withColumn("least", F.array_position("ordered", F.col("thr")).cast("int")).drop("ordered")
-    met = each.join(counts, "signal", "left").groupBy("signal", "pos", "thr", "positives", "negatives").agg(
-        F.sum(F.when(F.col("rank") >= F.col("least"), F.col("p")).otherwise(0)).alias("tp"), F.sum(F.when(F.col("rank") >= F.col("least"), F.col("q")).otherwise(0)).alias("fp"))
+    ordered = scores if isinstance(scores, Ordered) else Ordered(scores)
+    met = ordered.reached(ordered.percentiles([p / 100 for p in percents], over))
     percent = F.element_at(F.array(*[F.lit(float(p)) for p in percents]), F.col("pos") + 1)
-    return met.select("signal", "pos", percent.alias("percent"), "thr", F.try_divide(F.col("tp").cast("double"), F.col("positives")).alias("sens"),
-                      F.try_divide((F.col("negatives") - F.col("fp")).cast("double"), F.col("negatives")).alias("spec"), "positives", "negatives")
+    return met.select("signal", "pos", percent.alias("percent"), "thr", fraction(F.col("tp"), F.col("positives")).alias("sens"),
+                      fraction(F.col("negatives") - F.col("fp"), F.col("negatives")).alias("spec"), "positives", "negatives")
 
 
 def best(rows: DataFrame, order: list[Column], by: list[str]) -> DataFrame:
@@ -87,22 +78,25 @@ def contamination(scores: DataFrame, target: float = 0.97) -> DataFrame:
 
     percent is 100 times the share; scores are higher = anomalous, so the threshold is the percentile 100 - percent.
     """
+    scores = Ordered(scores)
     main = grid(scores, [100 - 100 * c for c in CONTAMINATION])
     spare = grid(scores, [100 - 100 * c for c in CONTAMINATION_FALLBACK])
-    found = _first_of(scores, [("main", _pick(main, F.col("spec") >= target, weighted(), "main")), ("fallback", _pick(spare, F.lit(True), F.col("spec"), "fallback"))])
+    found = _first_of(scores.totals(), [("main", _pick(main, F.col("spec") >= target, weighted(), "main")), ("fallback", _pick(spare, F.lit(True), F.col("spec"), "fallback"))])
     return found.withColumn("percent", 100 - F.col("percent"))
 
 
 def percentiles(scores: DataFrame, target: float = 0.95) -> DataFrame:
     """One of six low percentiles of a normality score (here the high ones of its negative), else the second percentile."""
+    scores = Ordered(scores)
     main = grid(scores, [100 - p for p in SVM_PERCENTILES])
-    return _first_of(scores, [("main", _pick(main, F.col("spec") >= target, weighted(), "main")), ("fallback", _pick(main, F.col("pos") == 1, F.lit(0.0), "fallback"))])
+    return _first_of(scores.totals(), [("main", _pick(main, F.col("spec") >= target, weighted(), "main")), ("fallback", _pick(main, F.col("pos") == 1, F.lit(0.0), "fallback"))])
 
 
 def two_stage(scores: DataFrame, target: float = 0.97) -> DataFrame:
     """Percentiles 85 to 99.5 at the target specificity, then 80 to 94, then the 80th."""
+    scores = Ordered(scores)
     first, second = grid(scores, STAGE_1), grid(scores, STAGE_2)
-    return _first_of(scores, [
+    return _first_of(scores.totals(), [
         ("first", _pick(first, F.col("spec") >= target, weighted(), "first")),
         ("second", _pick(second, F.col("spec") >= target, weighted(), "second")),
         ("last", _pick(second, F.col("pos") == 0, F.lit(0.0), "last")),
@@ -141,7 +135,7 @@ def negative_tail(scores: DataFrame, target: float, floor: float = 0.0, beta: fl
 
 def guard_rail(tuned: DataFrame, train_scores: DataFrame, percent: float = 95.0) -> DataFrame:
     """The tuned threshold, but not below a percentile of the train scores; that percentile where nothing was tuned."""
-    rail = train_scores.groupBy("signal").agg(F.percentile("score", percent / 100).alias("rail"))
+    rail = order.percentile(train_scores, percent / 100, "rail")
     joined = rail.join(tuned.select("signal", F.col("thr").alias("tuned")), "signal", "left")
     return joined.select("signal", "tuned", "rail", F.greatest("tuned", "rail").alias("thr"))
 
@@ -163,7 +157,7 @@ def with_default(tuned: DataFrame, train_errors: DataFrame, mix: int, percent: f
     """
     rest = train_errors.join(tuned.select("signal"), "signal", "left_anti")
     missing = lambda: F.lit(None).cast("double")
-    spare = rest.groupBy("signal").agg(F.percentile("mse", percent / 100).alias("thr")).select(
+    spare = order.percentile(rest, percent / 100, "thr", "mse").select(
         "signal", F.lit(mix).alias("mix"), F.lit("default").alias("stage"), F.lit(percent).alias("percent"), "thr", missing().alias("sens"), missing().alias("spec"))
     return tuned.unionByName(spare)
 
@@ -185,10 +179,9 @@ def alarms(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 def transductive(scores: DataFrame, shares: DataFrame) -> DataFrame:
     """Alarms for a fixed share of the test scores themselves: shares has signal and percent (of alarms)."""
-    joined = scores.join(F.broadcast(shares.select("signal", "percent")), "signal")
     listed = [r.percent for r in shares.select("percent").distinct().orderBy("percent").collect()]
     if not listed:
         return scores.withColumn("a", F.lit(0)).limit(0)
-    found = joined.groupBy("signal", "percent").agg(F.percentile("score", F.array(*[F.lit(1 - p / 100) for p in listed])).alias("p"))
-    position = F.array_position(F.array(*[F.lit(p) for p in listed]), F.col("percent")).cast("int")
-    return alarms(scores, found.select("signal", F.element_at("p", position).alias("thr")))
+    found = Ordered(scores.select("signal", "score")).percentiles([1 - p / 100 for p in listed])
+    position = F.element_at(F.array(*[F.lit(p) for p in listed]), F.col("pos") + 1)
+    return alarms(scores, found.withColumn("percent", position).join(shares.select("signal", "percent"), ["signal", "percent"]).select("signal", "thr"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsewarden.functions import bilstm, farrington, features
-from pulsewarden.operators import calibrate, detectors, ensemble, forest, metrics, ocsvm, recurrent, search, slices, tables
+from pulsewarden.operators import calibrate, detectors, ensemble, forest, metrics, ocsvm, order, recurrent, search, slices, tables
 from pulsewarden.sources import panels
 
 TRAIN, TAIL = 2100, 343
@@ -701,5 +701,4 @@ def surveillance_slice(spark, sf):
     """Panel, four features on the tail, z score, percentile threshold, alarms, metrics per series."""
     tail = slices.tail(panel(spark, sf), TAIL)
     scored = features.features4(tail, 14).join(tail.select(*KEYS, "y"), KEYS).select(*KEYS, "y", F.round((F.col("x") - F.col("mean")) / (F.col("std") + 1e-6), 9).alias("score"))
-    thresholds = scored.groupBy("signal").agg(F.percentile("score", 0.95).alias("thr"))
-    return _rounded(metrics.each_sim(calibrate.alarms(scored, thresholds)))
+    return _rounded(metrics.each_sim(calibrate.alarms(scored, order.percentile(scored, 0.95, "thr"))))
