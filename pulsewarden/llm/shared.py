@@ -12,8 +12,8 @@ import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in one Arrow batch: with texts of 100 KB a batch stays near 50 MB.
-ARROW_ROWS = 500
+#: Rows in one Arrow batch, and bytes beyond which it takes no further row.
+ARROW_ROWS, ARROW_BYTES = 500, 8 << 20
 #: Bytes of text that one vectorised step works on; its work arrays take about 60 times that.
 CHUNK_BYTES = 1 << 20
 
@@ -46,6 +46,7 @@ def cut(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of the Python steps that follow."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
