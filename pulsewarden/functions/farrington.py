@@ -119,6 +119,31 @@ def quantile(mu: np.ndarray, phi: np.ndarray, p: float) -> np.ndarray:
     return out
 
 
+class Trace:
+    """Table function over the days of one series, in order: the rows of detect for it."""
+
+    def __init__(self):
+        self.key, self.counts = None, []
+
+    def eval(self, row):
+        self.key = row["signal"], row["sim"]
+        self.counts.append(row["x"] or 0.0)
+
+    def terminate(self):
+        if self.key is None:
+            return
+        got = one_series(np.array(self.counts, float))
+        names = [f.split()[0] for f in SCHEMA.split(", ")][2:]
+        for k in range(len(got["t"])):
+            row = [got[n][k].item() for n in names]
+            yield (int(self.key[0]), self.key[1], *(None if isinstance(v, float) and np.isnan(v) else v for v in row))
+
+
+def register(spark) -> None:
+    """Make `farrington_trace(TABLE(rows) PARTITION BY (signal, sim) ORDER BY t)` known to SQL; rows have signal, sim, t and x."""
+    spark.udtf.register("farrington_trace", F.udtf(Trace, returnType=SCHEMA))
+
+
 def one_series(x: np.ndarray, days: int = DAYS, alpha: float = ALPHA) -> dict[str, np.ndarray]:
     """Results of the last `days` days of one series of daily counts."""
     n = len(x)

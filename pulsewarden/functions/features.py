@@ -149,6 +149,17 @@ def weekly(series: DataFrame, k: int) -> DataFrame:
     return every.join(summed, [*SERIES, "week"], "left").select(*SERIES, "week", F.coalesce("cases", F.lit(0.0)).alias("cases"))
 
 
+def anchored_weeks(series: DataFrame, most: int = 266) -> DataFrame:
+    """(signal, sim, t, weeks): for each day the sums of the weeks that end on it, seven days before it and so on, newest first.
+
+    At most `most` weeks, whole ones only; a day before the seventh has none. Days seven apart share their weeks, so one
+    window over the days of a residue modulo 7 has the weeks of all of them. Series have all their days.
+    """
+    summed = series.select(*SERIES, "t", F.sum("x").over(_frame(7)).alias("week"), F.row_number().over(Window.partitionBy(*SERIES).orderBy("t")).alias("rn")).where(F.col("rn") >= 7)
+    back = Window.partitionBy(*SERIES, F.pmod("t", F.lit(7))).orderBy("t").rowsBetween(1 - most, 0)
+    return summed.select(*SERIES, "t", F.reverse(F.collect_list("week").over(back)).alias("weeks"))
+
+
 def trim_leading_zeros(weeks: DataFrame) -> DataFrame:
     """Leading zero weeks become null; first_week is the first week with cases, or the last if none has."""
     by = Window.partitionBy(*SERIES)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pulsewarden.functions import bilstm, farrington, features
 from pulsewarden.operators import calibrate, detectors, ensemble, forest, metrics, ocsvm, order, recurrent, search, slices, tables
-from pulsewarden.sources import panels
+from pulsewarden.sources import panels, wide_files
 
 TRAIN, TAIL = 2100, 343
 KEYS = ["signal", "sim", "t"]
@@ -115,6 +115,27 @@ def unpivot_wide(spark, sf):
     return panels.to_long(wide, "day")
 
 
+@query(PANEL + """ SELECT signal, 'regular' AS label_set, sim, sim_idx, t, x, y FROM panel UNION ALL SELECT signal, 'seasonal', sim, sim_idx, t, x, CASE WHEN (t + 50) % 170 < 20 THEN 1 ELSE 0 END FROM panel WHERE signal = 2""")
+def files_scan(spark, sf):
+    """The panel as wide CSV files, counts, labels and seasonal labels of each signal apart, read back by one scan."""
+    p, folder = panel(spark, sf), tables.folder(spark, "matrices")
+    seasonal = p.withColumn("y", ((F.col("t") + 50) % 170 < 20).cast("int"))
+    for signal in (1, 2):
+        for kind, rows, value in (("totals", p, "x"), ("outbreaks", p, "y"), *([("seasonal_outbreaks", seasonal, "y")] if signal == 2 else [])):
+            wide_files.write_matrix(rows.where(F.col("signal") == signal), f"{folder}/simulated_{kind}_sig{signal}.csv", value)
+    return wide_files.scan(spark, folder)
+
+
+@query(FULL + " SELECT signal, sim, CAST(row_number() OVER (PARTITION BY signal, sim ORDER BY t) - 1 AS INT) AS row, CASE WHEN x > 12 THEN 1.0 ELSE 0.0 END AS a FROM tail")
+def alarm_files(spark, sf):
+    """Alarms of each signal written as one matrix, a column a series and a row a day, and read back by row."""
+    alarms, folder = slices.tail(panel(spark, sf), TAIL).withColumn("a", (F.col("x") > 12).cast("double")), tables.folder(spark, "alarms")
+    for signal in (1, 2):
+        wide_files.write_matrix(alarms.where(F.col("signal") == signal), f"{folder}/alarms_signal_{signal}.csv")
+    read = wide_files.read_matrices(spark, f"{folder}/alarms_signal_*.csv")
+    return read.select(F.regexp_extract("source", r"signal_(\d+)", 1).cast("int").alias("signal"), F.col("sim_col").alias("sim"), F.col("t").alias("row"), F.col("x").alias("a"))
+
+
 @query(PANEL + " SELECT a.signal, a.sim, a.t, a.x, b.y FROM panel a JOIN panel b ON a.signal = b.signal AND a.sim = b.sim AND a.t = b.t")
 def label_join(spark, sf):
     p = panel(spark, sf)
@@ -291,10 +312,24 @@ def enough_cases(spark, sf):
 
 
 @query("""WITH c AS (SELECT i, CAST(round(52.18 * i) AS INT) AS c FROM range(0, 7) r(i)), l AS (SELECT CAST(lag AS INT) AS lag FROM range(28, 266) q(lag)),
-m AS (SELECT lag, max(c.c) AS c FROM l JOIN c ON l.lag >= c.c - 3 GROUP BY lag)
-SELECT lag, CAST(CASE WHEN lag - c <= 3 OR lag - c > 48 THEN 1 ELSE 2 + (lag - c - 4) // 5 END AS INT) AS season FROM m""")
+m AS (SELECT lag, max(c.c) AS c FROM l JOIN c ON l.lag >= c.c - 3 GROUP BY lag),
+g AS (SELECT lag, CAST(CASE WHEN lag - c <= 3 OR lag - c > 48 THEN 1 ELSE 2 + (lag - c - 4) // 5 END AS INT) AS season FROM m), """ + WEEKS.replace("WITH ", "", 1).lstrip() + """
+SELECT signal, sim, season, count(*) AS weeks, sum(cases) AS cases FROM wk JOIN g ON g.lag = 316 - week GROUP BY ALL""")
 def season_groups(spark, sf):
-    return spark.createDataFrame(farrington.group_table(), "lag int, season int")
+    """Cases of each series in each seasonal group of the weeks back from one day."""
+    groups = spark.createDataFrame(farrington.group_table(), "lag int, season int")
+    weeks = features.weekly(panel(spark, sf), _K).withColumn("lag", 316 - F.col("week"))
+    return weeks.join(F.broadcast(groups), "lag").groupBy("signal", "sim", "season").agg(F.count("*").alias("weeks"), F.sum("cases").alias("cases"))
+
+
+@query(FULL + """, s AS (SELECT signal, sim, t, sum(x) OVER w AS c, count(*) OVER w AS days FROM panel WINDOW w AS (PARTITION BY signal, sim ORDER BY t ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)),
+k AS (SELECT a.signal, a.sim, a.t, (a.t - s.t) // 7 AS lag, s.c FROM tail a JOIN s ON s.signal = a.signal AND s.sim = a.sim AND s.t <= a.t AND (a.t - s.t) % 7 = 0 AND s.days = 7 AND (a.t - s.t) // 7 < 266)
+SELECT signal, sim, t, count(*) AS weeks, sum(c) AS cases, sum(c * (lag % 53)) AS placed, CAST(max(CASE WHEN c > 0 THEN lag END) AS INT) AS oldest FROM k GROUP BY ALL""")
+def weekly_rollup_anchors(spark, sf):
+    """What the weeks back from every day of the tail hold: how many, their cases, where these lie and the oldest week with any."""
+    weeks = features.anchored_weeks(panel(spark, sf)).join(slices.tail(panel(spark, sf), TAIL).select(*KEYS), KEYS)
+    each = weeks.select(*KEYS, F.posexplode("weeks").alias("lag", "c"))
+    return each.groupBy(*KEYS).agg(F.count("*").alias("weeks"), F.sum("c").alias("cases"), F.sum(F.col("c") * (F.col("lag") % 53)).alias("placed"), F.max(F.when(F.col("c") > 0, F.col("lag"))).alias("oldest"))
 
 
 # calibration
@@ -592,6 +627,14 @@ def farrington_alarms(spark, sf):
     return farrington.detect(panel(spark, sf))
 
 
+@query()
+def farrington_trace(spark, sf):
+    """The same results by a table function, as SQL calls it: one partition a series, in the order of days."""
+    farrington.register(spark)
+    panel(spark, sf).select(*KEYS, "x").createOrReplaceTempView("pulsewarden_panel")
+    return spark.sql("SELECT * FROM farrington_trace(TABLE(pulsewarden_panel) PARTITION BY (signal, sim) ORDER BY t)")
+
+
 @query(WEEKS + """, r AS (SELECT *, avg(cases) OVER (PARTITION BY signal, sim) AS mu FROM wk), s AS (SELECT *, 1.5 * (pow(cases, 2.0 / 3) * pow(mu, -1.0 / 6) - sqrt(mu)) / sqrt(1.2) AS s FROM r),
 w AS (SELECT *, CASE WHEN s > 2.58 THEN 1 / (s * s) ELSE 1.0 END AS w FROM s) SELECT signal, sim, week, round(w * count(*) OVER v / sum(w) OVER v, 6) AS weight FROM w WINDOW v AS (PARTITION BY signal, sim)""")
 def farrington_weights(spark, sf):

@@ -307,3 +307,20 @@ def test_history_counts_whole_weeks_from_the_first_cases():
             assert (status == "short") == (weeks_with_history(x, t + 1) < 108), t
     fives = farrington.one_series(np.full(2000, 5.0), 2000)
     assert set(fives["status"][756:762]) == {"short"} and fives["status"][762] == "ok"
+
+
+def test_weeks_of_all_anchors_are_those_of_each(spark):
+    x = np.random.default_rng(3).poisson(2, 80).astype(float)
+    got = {r.t: r.weeks for r in features.anchored_weeks(series(spark, x), 6).collect()}
+    assert got == {t: [x[e - 6 : e + 1].sum() for e in range(t, 5, -7)][:6] for t in range(6, 80)}
+
+
+def test_table_function_gives_the_rows_of_detect(spark):
+    rng = np.random.default_rng(2)
+    rows = [(s, f"sig{s}_sim{k}", t, float(v)) for s, k in ((1, 0), (1, 1), (2, 0)) for t, v in enumerate(rng.poisson(3, 2400 if k == 0 else 300))]
+    table = spark.createDataFrame(rows, "signal int, sim string, t int, x double").orderBy(F.rand(1))
+    farrington.register(spark)
+    table.createOrReplaceTempView("rows_to_trace")
+    got = spark.sql("SELECT * FROM farrington_trace(TABLE(rows_to_trace) PARTITION BY (signal, sim) ORDER BY t)")
+    want = farrington.detect(table)
+    assert got.schema == want.schema and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 986
