@@ -5,10 +5,10 @@
    so that expected domain token totals of unseen documents are those that labels would give.
 2. Rates r_d >= floor are fitted so that the expected domain token totals sum_d r_d n_d p_dk meet the targets
    T_k, and of all such rates those that are closest to 1: sum_d n_d (r_d - 1)^2 is least. They have the form
-   r_d = max(floor, 1 + sum_k l_k p_dk) with one number l_k a domain, found by Newton steps on the concave dual.
-   A tiny penalty keeps the l_k finite where no rates meet the targets; the distance left is then reported.
+   r_d = max(floor, 1 + sum_k l_k p_dk) with one number l_k a domain, found by accelerated projected gradient steps on
+   the missing totals. Where no rates meet the targets, the nearest that were seen are taken and the distance left is reported.
 
-The driver holds the K numbers l_k and the K x K second derivatives of each round and nothing else; a
+The driver holds the K numbers l_k and one K x K matrix of second moments and nothing else; a
 document's rate follows from the l_k, so no rates are stored between rounds and a lost executor costs only
 its tasks. All steps over documents are DataFrame functions and Spark ML.
 """
@@ -108,9 +108,15 @@ def _dot(numbers, values: Column) -> Column:
     return sum((F.lit(float(x)) * values[k] for k, x in enumerate(numbers)), F.lit(0.0))
 
 
-def fit_rates(members: DataFrame, targets: list[float], *, values: Column | None = None, floor: float = 0.0, tolerance: float = 1e-3, rounds: int = 100, penalty: float = 1e-9) -> tuple[DataFrame, Fit]:
+def fit_rates(members: DataFrame, targets: list[float], *, values: Column | None = None, floor: float = 0.0, tolerance: float = 1e-3, rounds: int = 200, patience: int = 30, penalty: float = 1e-9) -> tuple[DataFrame, Fit]:
     """(members with `rate`, the Fit): the rates closest to 1, `floor` at least, whose expected totals meet the targets.
 
+    Least squares by accelerated projected gradient: a step projects every document's rate on those of `floor` or above, sums
+    what the rates give each domain over all documents, and moves the rates along the documents' values by the missing
+    totals, scaled by the domains' K x K second moments (with these a step of one is the longest safe one, and one step is
+    enough where no rate is held at the floor). The state is K numbers. Momentum starts anew where it points uphill; the search
+    ends within tolerance, after `rounds`, or after `patience` rounds that brought nothing, with the nearest rates seen. Rates and totals are those of one pass.
+
     values (by default the posteriors) are what a token of a document adds to each total. A total is met within
     tolerance of its target, or, if that is 0, of all tokens. A total that no document adds to cannot be met and is passed over. Where the
     targets cannot be met, rates come as near as the penalty lets them, Fit.met is false and Fit.residuals says what
@@ -126,41 +132,41 @@ def fit_rates(members: DataFrame, targets: list[float], *, values: Column | None
     tokens_in, known = max(float(first[0]), 1e-9), np.array([x > 1e-6 for x in first[1:]])
     goal = np.array(targets, float) * known
 
-    def look(numbers):
-        """Totals, second derivatives and the dual at these numbers."""
-        line = _dot(numbers, values) + 1.0
-        free = line >= floor
-        rate = F.when(free, line).otherwise(F.lit(float(floor)))
-        cost = F.when(free, line * line / 2).otherwise(line * float(floor) - float(floor) ** 2 / 2)
-        pairs = [(i, j) for i in range(k) for j in range(i, k)]
-        row = members.agg(total(n * cost), *[total(n * rate * v) for v in each], *[total(F.when(free, n * each[i] * each[j])) for i, j in pairs]).head()
-        bend = np.zeros((k, k))
-        for (i, j), x in zip(pairs, row[k + 1 :]):
-            bend[i, j] = bend[j, i] = x
-        held = penalty * tokens_in
-        dual = float(numbers @ goal) - row[0] - held / 2 * float(numbers @ numbers)
-        return np.array(row[1 : k + 1]) * known, bend + held * np.eye(k), dual
+    def look(numbers, *more):
+        """Totals of the projected rates at these numbers, and other sums of the same pass."""
+        rate = F.greatest(F.lit(float(floor)), _dot(numbers, values) + 1.0)
+        row = members.agg(*[total(n * rate * v) for v in each], *[total(m) for m in more]).head()
+        return np.array(row[:k]) * known, row[k:]
 
     near = tolerance * np.where(goal == 0, tokens_in, np.maximum(np.abs(goal), 1.0))
-    numbers = np.zeros(k)
-    totals, bend, dual = look(numbers)
-    done = 0
+    at = numbers = np.zeros(k)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    totals, row = look(at, *[n * each[i] * each[j] for i, j in pairs])
+    bend = np.zeros((k, k))
+    for (i, j), x in zip(pairs, row):
+        bend[i, j] = bend[j, i] = x
+    held = penalty * tokens_in
+    scale = np.linalg.inv(bend * np.outer(known, known) + np.diag(np.where(known, held, 1.0))) * np.outer(known, known)
+    off = lambda t: float(np.abs(t - goal).sum())
+    done, pace, since, best = 0, 1.0, 0, (off(totals), at, totals)
     while done < rounds and (np.abs(totals - goal) > near).any():
-        slope = (goal - totals - penalty * tokens_in * numbers) * known
-        step = np.linalg.solve(bend, slope) * known
-        size, gain = 1.0, float(slope @ step)
-        if gain <= 1e-12 * tokens_in:
+        slope = goal - totals - held * at
+        new = at + scale @ slope
+        if float(slope @ (new - numbers)) < 0:
+            pace = 1.0
+        faster = (1 + (1 + 4 * pace * pace) ** 0.5) / 2
+        at, numbers, pace = new + (pace - 1) / faster * (new - numbers), new, faster
+        totals, _ = look(at)
+        done += 1
+        since = 0 if off(totals) < 0.99 * best[0] else since + 1
+        best = min(best, (off(totals), at, totals), key=lambda x: x[0])
+        if since >= patience:
             break
-        while done < rounds:
-            done += 1
-            new = look(numbers + size * step)
-            if new[2] >= dual + 1e-4 * size * gain - 1e-12 * abs(dual):
-                break
-            size /= 2
-        numbers, (totals, bend, dual) = numbers + size * step, new
+    if (np.abs(totals - goal) > near).any():
+        _, at, totals = best
     left = totals - goal
     fit = Fit(totals.tolist(), left.tolist(), bool((np.abs(left) <= near).all()), done)
-    return members.withColumn("rate", F.greatest(F.lit(float(floor)), _dot(numbers, values) + 1.0)), fit
+    return members.withColumn("rate", F.greatest(F.lit(float(floor)), _dot(at, values) + 1.0)), fit
 
 
 def quality_domains(labels: DataFrame) -> DataFrame:

@@ -114,3 +114,15 @@ def test_resample_shares_of_overlapping_domains(spark):
     rated, shares, met = m.fit_shares(overlapping(spark, 0.04), [0.85, 0.15])
     got = totals(rated)
     assert met and got[2] >= 0 and abs(got[1] / (got[0] + got[1]) - 0.15) <= 2e-3 and abs(shares[1] - 0.15) <= 2e-3
+
+
+def test_one_step_is_enough_where_no_rate_is_held(spark):
+    """Steps are those of plain projected gradient: one where nothing is projected, some where rates end at the floor."""
+    members = overlapping(spark, 0.06)
+    size = members.agg(F.sum("n_tokens")).head()[0]
+    near, far = (m.fit_rates(members, [(1 - w) * size, w * size], tolerance=1e-4) for w in (0.101, 0.16))
+    assert near[1].met and near[1].rounds <= 2 and near[0].where("rate = 0").count() == 0
+    assert far[1].met and 2 < far[1].rounds < 100 and far[0].where("rate = 0").count() > 0
+    for rated, fit in (near, far):
+        got = totals(rated)
+        assert all(abs(g - t) < 1e-6 * size for g, t in zip(got, fit.totals))
