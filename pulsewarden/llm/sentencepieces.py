@@ -29,7 +29,7 @@ from pulsewarden.llm import shared, words
 MARK = "▁"
 _MARK = np.frombuffer(MARK.encode(), np.uint8)
 #: Bytes of text of a block, and of the stretches in which it is cut and put together, whose arrays take some 30 times that.
-BLOCK, STRETCH = 32 << 20, 4 << 20
+BLOCK, STRETCH = 16 << 20, 2 << 20
 
 _of_worker: dict[str, object] = {}
 
