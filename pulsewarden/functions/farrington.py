@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsewarden.functions.quantiles import quantile
+
 FREQUENCY, YEARS, HALF_WINDOW, GROUPS = 52.18, 5, 3, 10
 RECENT, ALPHA, ENOUGH, DAYS = 28, 0.01, 5, 343
 SCHEMA = "signal int, sim string, t int, mu double, upper double, exceedance double, alarm double, alarmall double, trend double, slope double, status string"
@@ -96,29 +98,6 @@ def down_weights(y: np.ndarray, mu: np.ndarray, phi: np.ndarray, leverage: np.nd
     return raw * (used.sum(axis=1) / np.maximum(raw.sum(axis=1), 1e-12))[:, None]
 
 
-def quantile(mu: np.ndarray, phi: np.ndarray, p: float) -> np.ndarray:
-    """Smallest counts whose cumulated probability reaches p, all days at once: Poisson if phi is 1, else negative binomial.
-
-    Each probability is the one before it times (mu + (k - 1) (phi - 1)) / (k phi), which holds for both.
-    """
-    mu, phi = np.maximum(np.atleast_1d(mu).astype(float), 1e-12), np.maximum(np.atleast_1d(phi).astype(float), 1.0)
-    top = (mu + 12 * np.sqrt(np.maximum(mu * phi, 1.0)) + 14 * phi + 40).astype(int)
-    out = np.zeros(len(mu), int)
-    order = np.argsort(top, kind="stable")
-    at = 0
-    while at < len(order):
-        step = max(1, 2_000_000 // int(top[order[min(at + 63, len(order) - 1)]] + 1))
-        rows = order[at : at + min(step, 64)]
-        at += len(rows)
-        m, f, k = mu[rows, None], phi[rows, None], np.arange(1, top[rows].max() + 1)[None, :]
-        over = f - 1
-        none = np.where(over > 1e-9, -m * np.log(f) / np.maximum(over, 1e-9), -m)
-        log_p = none + np.cumsum(np.log((m + (k - 1) * over) / (k * f)), axis=1)
-        reached = np.cumsum(np.concatenate([np.exp(none), np.exp(log_p)], axis=1), axis=1) >= p - 1e-12
-        out[rows] = np.where(reached.any(axis=1), reached.argmax(axis=1), top[rows])
-    return out
-
-
 class Trace:
     """Table function over the days of one series, in order: the rows of detect for it."""
 
