@@ -291,6 +291,19 @@ def standardize(spark, sf):
     return _rounded(features.standardise(slices.tail(p, TAIL).select(*KEYS, "x"), slices.head(p, TRAIN), ["x"]))
 
 
+_M14 = ", ".join(f"avg({c}) AS m{k}, stddev_pop({c}) AS s{k}" for k, c in enumerate(("x", "m", "s", "r")))
+
+
+@query(SPLITS + f""", f AS (SELECT p.*, avg(x) OVER {_W14} AS m, stddev_pop(x) OVER {_W14} AS s, row_number() OVER (PARTITION BY signal, sim ORDER BY t) AS rn, max(t) OVER (PARTITION BY signal, sim) AS n FROM panel p),
+g AS (SELECT f.*, split, x / (m + 1e-6) AS r FROM f JOIN splits USING (signal, sim) WHERE rn >= 14), k AS (SELECT signal, {_M14} FROM g WHERE split = 'train' AND t < {TRAIN} AND y = 0 GROUP BY 1)
+SELECT signal, sim, t, {", ".join(f"round(({c} - m{k}) / s{k}, 6) AS f{k}" for k, c in enumerate(("x", "m", "s", "r")))} FROM g JOIN k USING (signal) WHERE split <> 'train' AND t > n - {TAIL}""")
+def features_with_context(spark, sf):
+    """Rows to score with windows that reach back before the tail, scaled on train days without outbreaks."""
+    p = panel(spark, sf)
+    rows = search.inputs(p, slices.split_sims(p), [14], features.NAMES4, TRAIN, TAIL, tail_context=True, train_exclude_outbreaks=True)[1]
+    return _rounded(rows.select(*KEYS, *[F.col("features")[k].alias(f"f{k}") for k in range(4)]))
+
+
 _K = 2209
 WEEKS = PANEL + f""", wk AS (SELECT s.signal, s.sim, CAST(w.w AS INT) AS week, coalesce((SELECT sum(x) FROM panel p WHERE p.signal = s.signal AND p.sim = s.sim AND p.t + 1 BETWEEN {_K} - 7 * (316 - w.w) - 6 AND {_K} - 7 * (316 - w.w) AND {_K} - 7 * (316 - w.w) - 6 >= 1), 0.0) AS cases
 FROM (SELECT DISTINCT signal, sim FROM panel) s, range(1, 317) w(w))"""
@@ -627,6 +640,12 @@ def farrington_alarms(spark, sf):
     return farrington.detect(panel(spark, sf))
 
 
+@query()
+def farrington_alarms_b(spark, sf):
+    """The second variant, with a reported trend of 0."""
+    return farrington.detect(panel(spark, sf), trend=False, variant="b")
+
+
 @query()
 def farrington_trace(spark, sf):
     """The same results by a table function, as SQL calls it: one partition a series, in the order of days."""

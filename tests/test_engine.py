@@ -179,6 +179,65 @@ def test_farrington_fit_against_dense_regression(sloped):
     assert np.isclose(base[0], beta[0]) and (np.isclose(b[0], beta[-1]) if sloped else np.isnan(b[0]))
 
 
+def _plainly_settles(y, design, w):
+    """The same rule by one least squares problem a step."""
+    loss = lambda mu: 2 * (w * (np.where(y > 0, y * np.log(np.maximum(y, 1) / mu), 0) - y + mu)).sum()
+    mu = y + 0.1
+    eta, old = np.log(mu), loss(mu)
+    for _ in range(25):
+        root = np.sqrt(w * mu)
+        eta = design @ np.linalg.lstsq(design * root[:, None], root * (eta + (y - mu) / mu), rcond=1e-13)[0]
+        mu = np.maximum(np.exp(eta), np.finfo(float).eps)
+        new = loss(mu)
+        if abs(new - old) / (abs(new) + 0.1) < 1e-8:
+            return True
+        old = new
+    return False
+
+
+def test_farrington_settling_against_least_squares(monkeypatch):
+    rng = np.random.default_rng(8)
+    groups, lags = farrington.lag_groups(265), np.arange(266)
+    y = rng.poisson(rng.choice([0.01, 0.05, 3.0], 12)[:, None], (12, 266)).astype(float)
+    y[:2] = 0
+    y[0, [40, 250]] = 5
+    y[[1, 2, 4], 28:] = 0
+    y[1, [118, 217, 260, 262]] = y[2, [118, 217, 260, 262]] = [16, 3164, 3114548, 1570437]
+    y[4, [100, 115, 127, 142, 149, 198, 239]] = [102912746, 3346, 223203, 1099, 406147, 110, 788]
+    used = np.tile(lags >= 28, (12, 1))
+    w = rng.uniform(0.2, 1.4, y.shape)
+    sloped = np.arange(12) % 2 == 0
+    want = []
+    for k in range(12):
+        design = np.column_stack([(groups[28:, None] == np.arange(1, 11)).astype(float), *([-lags[28:] / 100.0] if sloped[k] else [])])
+        want.append(_plainly_settles(y[k, 28:], design, w[k, 28:]))
+    assert want[1] and not want[2] and not want[4]
+    assert farrington.settles(y, groups, -lags.astype(float), used, w, sloped).tolist() == want
+    x = rng.poisson(3, 2500).astype(float)
+    monkeypatch.setattr(farrington, "settles", lambda y, g, x, used, w, sloped: ~sloped)
+    flat = farrington.one_series(x, 50)
+    assert (flat["trend"] == 0).all() and np.isnan(flat["slope"]).all() and not np.isnan(flat["mu"]).any()
+    monkeypatch.setattr(farrington, "settles", lambda y, *rest: np.zeros(len(y), bool))
+    none = farrington.one_series(x, 50)
+    assert set(none["status"]) == {"unfit"} and all(np.isnan(none[c]).all() for c in ("mu", "upper", "alarm", "alarmall", "trend", "slope"))
+
+
+def test_farrington_variants():
+    zero = np.zeros(1200)
+    a, b = (farrington.one_series(zero, 1200, variant=v) for v in "ab")
+    assert set(a["status"]) == {"short"}
+    for t, status in zip(b["t"].tolist(), b["status"].tolist()):
+        assert (status == "short") == (round((t + 1) / 7) - 1 < 108) and status in ("short", "few"), t
+    assert np.isinf(b["alarm"][-1]) and b["alarm"][0] == 1e300
+    x = np.random.default_rng(1).poisson(np.linspace(2, 6, 2500)).astype(float)
+    fits = {(v, trend): farrington.one_series(x, 60, trend=trend, variant=v) for v in "ab" for trend in (True, False)}
+    assert (fits["a", True]["mu"] == fits["b", True]["mu"]).all() and (fits["b", False]["mu"] == fits["b", True]["mu"]).all()
+    assert (fits["a", False]["mu"] < fits["a", True]["mu"]).all() and np.isnan(fits["a", False]["slope"]).all()
+    assert (fits["b", False]["trend"] == 0).all() and (fits["b", True]["trend"] == 1).all()
+    with pytest.raises(ValueError):
+        farrington.one_series(x, variant="c")
+
+
 def test_farrington_quantiles_by_summing():
     def slow(mu, phi, p):
         k, total, term = 0, 0.0, np.exp(-mu) if phi == 1 else phi ** (-mu / (phi - 1))
@@ -309,6 +368,20 @@ def test_history_counts_whole_weeks_from_the_first_cases():
     assert set(fives["status"][756:762]) == {"short"} and fives["status"][762] == "ok"
 
 
+def test_rows_to_score_reach_back_and_outbreaks_are_no_train_rows(spark):
+    rng = np.random.default_rng(6)
+    rows = [(1, f"sig1_sim{k}", t, float(v), int(t % 50 < 5)) for k in range(3) for t, v in enumerate(rng.poisson(4, 300))]
+    p = spark.createDataFrame(rows, "signal int, sim string, t int, x double, y int")
+    splits = spark.createDataFrame([(1, "sig1_sim0", "train"), (1, "sig1_sim1", "val"), (1, "sig1_sim2", "test"), (1, "sig1_sim2", "val")], "signal int, sim string, split string")
+    days = lambda df: {(r.sim, r.config): (r.n, r.first) for r in df.groupBy("sim", "config").agg(F.count("*").alias("n"), F.min("t").alias("first")).collect()}
+    train, last = search.inputs(p, splits, [7, 14, 7], features.NAMES4, 200, 60)
+    assert days(train) == {("sig1_sim0", 0): (194, 6), ("sig1_sim0", 1): (187, 13), ("sig1_sim0", 2): (194, 6)}
+    assert days(last) == {(f"sig1_sim{k}", c): (60 - w + 1, 240 + w - 1) for k in (1, 2) for c, w in enumerate((7, 14, 7))}
+    train, last = search.inputs(p, splits, [7, 14, 7], features.NAMES4, 200, 60, tail_context=True, train_exclude_outbreaks=True)
+    assert days(train) == {("sig1_sim0", 0): (194 - 15, 6), ("sig1_sim0", 1): (187 - 15, 13), ("sig1_sim0", 2): (194 - 15, 6)}
+    assert days(last) == {(f"sig1_sim{k}", c): (60, 240) for k in (1, 2) for c in range(3)}
+
+
 def test_weeks_of_all_anchors_are_those_of_each(spark):
     x = np.random.default_rng(3).poisson(2, 80).astype(float)
     got = {r.t: r.weeks for r in features.anchored_weeks(series(spark, x), 6).collect()}
