@@ -79,3 +79,19 @@ def test_repeated_id_with_other_text(spark):
     assert got == {(2, 36): (2, 1), (3, 36): (3, 2), (4, 37): (3, 2)}
     assert sorted(r.class_id for r in j.join(frame.where("doc_id = 1")).collect())[1] < 0
     assert sorted(map(tuple, j.keep_one(frame).collect())) == [(1, a), (1, b)]
+
+
+def test_defaults_find_every_link_of_the_small_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = sorted(((i, grams(t)) for i, t in docs.select("doc_id", "text").collect()), key=lambda x: len(x[1]))
+    want = {i: 0 for i, _ in sets}
+    for k, (a, left) in enumerate(sets):
+        for b, right in sets[k + 1 :]:
+            if 0.8 * len(right) > len(left):
+                break
+            common = len(left & right)
+            if left and common >= 0.8 * (len(left) + len(right) - common):
+                want[a] += 1
+                want[b] += 1
+    assert sum(want.values()) > 100
+    assert {r.doc_id: r.n_links for r in j.join(docs).collect()} == want
