@@ -38,7 +38,7 @@ def inputs(panel: DataFrame, splits: DataFrame, windows: list[int], names: tuple
 
     Train rows are the first days of train series, the others the last days of validation and test series; windows stay
     inside these. A series that is held out for both is scored once. With tail_context the windows of the last days reach
-    back before them, so that every one of these days has a row for every window. With train_exclude_outbreaks days whose
+    back before them, so that every one of these days has a row for every window. Features are written once. With train_exclude_outbreaks days whose
     label y is above 0 are no train rows, though windows of later days hold their counts; without it labels are not looked at.
     """
     of = {w: [k for k, x in enumerate(windows) if x == w] for w in sorted(set(windows))}
@@ -49,6 +49,7 @@ def inputs(panel: DataFrame, splits: DataFrame, windows: list[int], names: tuple
     last = features.by_windows(slices.tail(held, tail_days, max(windows) - 1 if tail_context else 0), tuple(of), names)
     if tail_context:
         last = slices.tail(last, tail_days)
+    head, last = tables.committed(head, "train-features"), tables.committed(last, "held-features")
     configs = F.element_at(F.create_map(*[x for w, ks in of.items() for x in (F.lit(w), F.array(*[F.lit(k) for k in ks]))]), F.col("window"))
     scaled = lambda rows: features.standardise_arrays(rows, head, ["signal", "window"]).select(*KEYS, F.explode(configs).alias("config"), "features")
     return scaled(head), scaled(last)

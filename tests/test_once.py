@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from pulsewarden.functions import features
+from pulsewarden.operators import search
 from pulsewarden.plans import queries
 from pulsewarden.sources import panels
 
@@ -31,3 +33,13 @@ def test_events_are_read_once(spark):
 
 def test_panel_of_the_queries_does_not_read_events_again(spark):
     assert not [f for f in queries.panel(spark, "/root/testdata/sf0.001").inputFiles() if "lineitem" in f or "orders" in f]
+
+
+def test_search_makes_features_once(spark):
+    series = [(s, f"sig{s}_sim{k}", t, float((t * 7 + k) % 11), 0) for s in (1, 2) for k in range(5) for t in range(40)]
+    seen = spark.sparkContext.accumulator(0)
+    panel = counting(spark.createDataFrame(series, "signal int, sim string, t int, x double, y int"), seen)
+    splits = spark.createDataFrame([(s, f"sig{s}_sim{k}", "train" if k < 3 else "val" if k == 3 else "test") for s in (1, 2) for k in range(5)], "signal int, sim string, split string")
+    train, rows = search.inputs(panel, splits, [7, 14], features.NAMES4, 30, 20)
+    read = seen.value
+    assert train.count() == 6 * (24 + 17) and rows.count() == 4 * (14 + 7) and seen.value == read > 0
