@@ -1,14 +1,17 @@
 """Phrase collocations by contiguous pattern growth.
 
-Frequent words, then frequent pairs, are counted with map-side sums. Every place where two frequent pairs follow each
-other is a pointer into the corpus; it is projected to its pair as the window of words that may still extend it (five
-words at most, cut where a pair is not frequent). One task for each pair then grows phrases to the right, depth first:
-it splits the pair's windows by their next word, keeps the extensions that are frequent and descends into each.
-
-Windows are summed before they move. A pair with many occurrences (more than `share` of all words) is hot: its windows
-are dealt out by the whole window, each task grows what it has without a threshold and the sums decide. Which words and
-pairs are frequent or hot is known in the tasks from bitmaps of a fixed size; a false hit only costs time, as the final
-counts decide. Scores are decimals of 38 digits, so they are exact.
+Frequent words are counted with map-side sums. Most pairs of these are rare, so pairs, then triples of frequent pairs, are
+first counted by slots of their hashes (hash pruning): only slots and counts move, and a phrase can be frequent only if
+its slot is. Every place of a pair whose slot is frequent is a pointer into the corpus; it is projected to its pair as the
+window of words that may still extend it (five words at most, cut where a triple's slot is not frequent). One task for
+each pair then counts it and grows phrases to the right, depth first: it splits the pair's windows by their next word,
+keeps the extensions that are frequent and descends into each.
+
+Windows are summed before they move; those of a chunk that go to the same part of the pairs share a row. A pair with many
+occurrences (more than `share` of all words) is hot: its windows are dealt out by the whole window, each task grows what
+it has without a threshold and the sums decide. Which words and slots are frequent or hot is known in the tasks from
+bitmaps of a fixed size; a false hit only costs time, as the final counts decide. Scores are decimals of 38 digits, so
+they are exact.
 
 Null texts are empty; a null language is `und`; repeated rows count as often as they stand; an empty table gives no rows;
 other columns, whatever their names, are not read.
@@ -27,8 +30,16 @@ from pyspark.sql import functions as F
 from pulsewarden.llm import shared, words
 
 LONGEST = 5
+#: Phrases of two words up to this many are counted by slots first.
+PRUNED = 3
 #: Bits of a bitmap, as a power of two: 8 MB each.
 BITS = 26
+#: Slots are at least as many as a bitmap's bits and one for so many words, as a power of two, but no more than 2**MOST_BITS.
+WORDS_A_SLOT, MOST_BITS = 8, 32
+#: Slots of a part, which are summed together: a slot's place in it has 16 bits. Pairs are dealt out by the same parts.
+PART_BITS = 16
+#: Bytes of windows from which a task grows the parts it holds.
+HELD = 4 << 20
 #: A pair is hot if it has more than this share of all words, but no fewer and no more than these occurrences.
 HOT_SHARE, HOT_LEAST, HOT_MOST = 2.0**-14, 4096, 1 << 20
 #: Bytes of text that are counted together in a task; its arrays take some 30 times that.
@@ -101,7 +112,19 @@ def _phrase_hashes(batches):
 
 
 def _pair_hash(hash: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return words.mix(hash[at] * np.uint64(0x9E3779B97F4A7C15) + hash[np.minimum(at + 1, len(hash) - 1)])
+    return _run_hash(hash, at, 2)
+
+
+def _run_hash(hash: np.ndarray, at: np.ndarray, size: int | np.ndarray) -> np.ndarray:
+    """Hashes of the `size` words from each place on."""
+    run = hash[at]
+    for k in range(1, int(np.max(size, initial=0))):
+        run = np.where(size > k, words.mix(run * np.uint64(0x9E3779B97F4A7C15) + hash[np.minimum(at + k, len(hash) - 1)]), run)
+    return run
+
+
+def _slot(hash: np.ndarray, bits: int) -> np.ndarray:
+    return (hash & np.uint64((1 << bits) - 1)).astype(np.uint32)
 
 
 def _packed(parts: list[np.ndarray]) -> np.ndarray:
@@ -121,14 +144,32 @@ def _has(bits: np.ndarray, hash: np.ndarray) -> np.ndarray:
 
 
 def _bitmap(rows: DataFrame) -> np.ndarray:
-    """A bit for each phrase's hash, modulo the bitmap's size: at most 2**20 rows of two numbers reach the driver."""
+    """A bit for each hash or slot h, modulo the bitmap's size: at most 2**20 rows of two numbers reach the driver."""
     place = F.col("h").bitwiseAND((1 << BITS) - 1)
-    found = rows.select("lang", "phrase").mapInArrow(_phrase_hashes, "h long").select(F.shiftright(place, 6).alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int")).alias("b")).groupBy("slot").agg(F.bit_or("b").alias("b")).toPandas()
+    found = rows.select(F.shiftright(place, 6).alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int")).alias("b")).groupBy("slot").agg(F.bit_or("b").alias("b")).toPandas()
     bits = np.zeros(1 << (BITS - 6), np.int64)
     bits[found["slot"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64)
     return bits
 
 
+def _may_start(tokens: Tokens, known: list) -> list[np.ndarray]:
+    """For phrases of 1, 2 and more words, as many as bitmaps are known, the places where one stands that may be frequent."""
+    found = [_has(known[0].value, tokens.hash)]
+    for size, bits in enumerate(known[1:], 2):
+        found.append(_both(tokens, found))
+        places = np.flatnonzero(found[-1])
+        found[-1][places] = _has(bits.value, _run_hash(tokens.hash, places, size))
+    return found
+
+
+def _both(tokens: Tokens, found: list[np.ndarray]) -> np.ndarray:
+    """Where a phrase with one word more than the last of `found` begins and ends with one of these."""
+    both = found[-1].copy()
+    both[:-1] &= found[-1][1:]
+    both[-1:] = False
+    return both & tokens.joined if len(found) == 1 else both
+
+
 def _strings(tokens: Tokens, at: np.ndarray, length: np.ndarray, most: int) -> pa.Array:
     """The space-joined words from each place on."""
     last = len(tokens.word) - 1
@@ -151,48 +192,94 @@ def _count_words(batches):
         yield _batch(t, at, phrase=pa.nulls(len(at), pa.string()), n=n)
 
 
-def _count_pairs(frequent):
+def _count_slots(known: list, bits: int):
+    """(part, slots in it, their counts) of the phrases with one word more than those whose bitmaps are known."""
+
     def run(batches):
         for batch in shared.gathered(batches, CHUNK):
             t = tokens(batch.column(0), batch.column(1))
-            common = _has(frequent.value, t.hash)
-            places = np.flatnonzero(t.joined & common & np.append(common[1:], False)[: len(common)])
-            _, at, n = np.unique(_packed([t.lang[places], t.word[places], t.word[places + 1]]), return_index=True, return_counts=True)
-            at = places[at]
-            yield _batch(t, at, phrase=_strings(t, at, np.full(len(at), 2), 2), n=n)
+            places = np.flatnonzero(_both(t, _may_start(t, known)))
+            hash = _run_hash(t.hash, places, len(known) + 1)
+            slot, n = np.unique(_slot(hash, bits), return_counts=True)
+            part = slot >> PART_BITS
+            order = np.lexsort((n, part))  # equal counts stand together
+            begin = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.empty(0, np.int64)
+            bounds = pa.array(np.append(begin, len(part)), pa.int32())
+            place = (slot & ((1 << PART_BITS) - 1)).astype(np.uint16).view(np.int16)
+            lists = [pa.ListArray.from_arrays(bounds, pa.array(x[order])) for x in (place, n.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array(part[begin].astype(np.int32)), *lists], names=["part", "slot", "n"])
 
     return run
 
 
-def _project(frequent, hot):
-    """Windows that start with two frequent pairs: lang, pair, spread (the window if its pair is hot, else empty), window, n."""
+def _sum_slots(least: int):
+    """(slot, n) of the slots with at least so many occurrences; equal parts follow each other."""
+
+    def often(part: int, sums: np.ndarray) -> pa.RecordBatch:
+        slot = np.flatnonzero(sums >= least)
+        return pa.RecordBatch.from_pydict({"h": (part << PART_BITS) + slot, "n": sums[slot].astype(np.int64)})
+
+    def run(batches):
+        last, sums = None, None
+        for batch in batches:
+            for begin, end in zip(*_runs([batch.column(0)])):
+                part = batch.column(0)[int(begin)].as_py()
+                if part != last:
+                    if last is not None:
+                        yield often(last, sums)
+                    last, sums = part, np.zeros(1 << PART_BITS)
+                slot, n = (batch.column(k).slice(begin, end - begin).flatten().to_numpy() for k in (1, 2))
+                sums += np.bincount(slot.view(np.uint16), n, 1 << PART_BITS)  # as doubles, exact up to 2**53
+        if last is not None:
+            yield often(last, sums)
+
+    return run
+
+
+def _project(known: list, hot, bits: int):
+    """Windows that start with a frequent pair: lang, part (of the pair, or of the window if its pair is hot), hot, windows with a line end between them, n of each."""
 
     def run(batches):
         for batch in shared.gathered(batches, CHUNK):
             t = tokens(batch.column(0), batch.column(1))
-            places = np.flatnonzero(t.joined)
-            pair = np.zeros(len(t.word) + LONGEST, bool)
-            pair[places] = _has(frequent.value, _pair_hash(t.hash, places))
-            at = np.flatnonzero(pair[:-1] & pair[1:])
-            length, going = np.full(len(at), 3), np.ones(len(at), bool)
-            for k in range(2, LONGEST - 1):
-                going &= pair[at + k]
+            found = _may_start(t, known)
+            further = np.append(found[-1], np.zeros(LONGEST, bool))
+            pairs = np.flatnonzero(found[1])
+            if not len(pairs):
+                continue
+            length, going = np.full(len(pairs), PRUNED - 1), np.ones(len(pairs), bool)
+            for k in range(LONGEST - PRUNED + 1):
+                going &= further[pairs + k]
                 length += going
             last = len(t.word) - 1
-            _, some, n = np.unique(_packed([t.lang[at], *[np.where(length > k, t.word[np.minimum(at + k, last)] + 1, 0) for k in range(LONGEST)]]), return_index=True, return_counts=True)
-            at, length = at[some], length[some]
-            window = _strings(t, at, length, LONGEST)
-            spread = pc.if_else(pa.array(_has(hot.value, _pair_hash(t.hash, at))), window, "")
-            yield _batch(t, at, pair=_strings(t, at, np.full(len(at), 2), 2), spread=spread, window=window, n=n)
+            first, n = [], []
+            for most, some in ((2, np.flatnonzero(length == 2)), (LONGEST, np.flatnonzero(length > 2))):
+                at, size = pairs[some], length[some]
+                _, one, count = np.unique(_packed([t.lang[at], *[np.where(size > k, t.word[np.minimum(at + k, last)] + 1, 0) for k in range(most)]]), return_index=True, return_counts=True)
+                first.append(some[one])
+                n.append(count)
+            first = np.concatenate(first)
+            at, size = pairs[first], length[first]
+            heavy = _has(hot.value, _pair_hash(t.hash, at))
+            part = _slot(_run_hash(t.hash, at, np.where(heavy, size, 2)), bits) >> PART_BITS
+            order = np.lexsort((part, heavy, t.lang[at]))
+            at, size, heavy, part, n = at[order], size[order], heavy[order], part[order], np.concatenate(n)[order]
+            begin, end = _runs([pa.array(x) for x in (t.lang[at], heavy, part)])
+            bounds = pa.array(np.append(begin, end[-1]), pa.int32())
+            windows = pc.binary_join(pa.ListArray.from_arrays(bounds, _strings(t, at, size, LONGEST)), "\n")
+            yield _batch(t, at[begin], part=pa.array(part[begin].astype(np.int32)), hot=heavy[begin], windows=windows, n=pa.ListArray.from_arrays(bounds, pa.array(n.astype(np.int32))))
 
     return run
 
 
-def _grow(least: int):
-    """Frequent extensions of each pair's windows; a hot pair's are all given, as other tasks have more of them."""
+def _grow(least: int, enough: int):
+    """Frequent pairs and extensions in each pair's windows; a hot pair's are all given, as other tasks have more of them."""
 
-    def grown(table: pa.Table) -> pa.RecordBatch:
-        parts = pc.split_pattern(table["window"].combine_chunks(), " ")
+    def grown(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        windows = pc.split_pattern(table.column(3), "\n")
+        row = np.repeat(np.arange(len(windows)), windows.value_lengths().to_numpy(zero_copy_only=False))
+        parts = pc.split_pattern(windows.flatten(), " ")
         coded = parts.flatten().dictionary_encode()
         length = parts.value_lengths().to_numpy(zero_copy_only=False)
         begin = np.cumsum(length) - length
@@ -201,8 +288,11 @@ def _grow(least: int):
         for k in range(LONGEST):
             has = length > k
             follow[k, has] = flat[begin[has] + k]
-        n = table["n"].to_numpy()
-        hot = pc.not_equal(table["spread"], "").to_numpy()
+        lang = table.column(0).dictionary_encode().indices.to_numpy(zero_copy_only=False)[row]
+        order = np.lexsort((follow[1], follow[0], lang))
+        row, lang, follow = row[order], lang[order], follow[:, order]
+        n = table.column(4).flatten().to_numpy().astype(np.int64)[order]
+        hot = table.column(2).to_numpy(zero_copy_only=False)[row]
         found: list[tuple[int, int, int]] = []
 
         def extend(pointers: np.ndarray, size: int, bound: int) -> None:
@@ -222,34 +312,30 @@ def _grow(least: int):
                 if size + 1 < LONGEST:
                     extend(inner, size + 1, bound)
 
-        key = [table["lang"], table["pair"]]
-        for begin, end in zip(*_runs(key)):
-            extend(np.arange(begin, end), 2, 1 if hot[begin] else least)
+        for begin, end in zip(*_runs([pa.array(x) for x in (lang, follow[0], follow[1])])):
+            total, bound = int(n[begin:end].sum()), 1 if hot[begin] else least
+            if total >= bound:
+                found.append((int(begin), 2, total))
+                extend(np.arange(begin, end), 2, bound)
         at, size, total = (np.array(x, np.int64) for x in (zip(*found) if found else ([], [], [])))
         columns = [coded.dictionary.take(pa.array(follow[k, at], mask=size <= k)) for k in range(LONGEST)]
         phrase = pc.binary_join_element_wise(*columns, " ", null_handling="skip")
-        return pa.RecordBatch.from_pydict({"lang": table["lang"].take(pa.array(at)).combine_chunks(), "phrase": phrase, "n": pa.array(total)})
+        return pa.RecordBatch.from_pydict({"lang": table.column(0).take(pa.array(row[at])), "phrase": phrase, "n": pa.array(total)})
 
     def run(batches):
         held: list[pa.RecordBatch] = []
-        last = None
+        bytes_held, last = 0, None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            begins, ends = _runs([batch.column("lang"), batch.column("pair")])
-            here = (batch.column("lang")[0].as_py(), batch.column("pair")[0].as_py())
-            if last is not None and here != last:
-                yield grown(pa.Table.from_batches(held))
-                held = []
-            last = (batch.column("lang")[-1].as_py(), batch.column("pair")[-1].as_py())
-            if len(begins) > 1 or last != here:
-                cut = int(begins[-1])
-                yield grown(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held = [batch.slice(cut)]
-            else:
-                held.append(batch)
+            for begin, end in zip(*_runs([batch.column(0), batch.column(1)])):
+                here = (batch.column(0)[int(begin)].as_py(), batch.column(1)[int(begin)].as_py())
+                if here != last and bytes_held >= enough:
+                    yield grown(held)
+                    held, bytes_held = [], 0
+                last = here
+                held.append(batch.slice(begin, end - begin))
+                bytes_held += held[-1].column(3).nbytes
         if held:
-            yield grown(pa.Table.from_batches(held))
+            yield grown(held)
 
     return run
 
@@ -279,14 +365,18 @@ def phrases(docs: DataFrame, *, least: int = 100, text_col: str = "text", lang_c
     per_lang = counted.where("phrase is null").select("lang", "n")
     single = counted.where("phrase is not null")
     total = per_lang.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
-    common = spark.sparkContext.broadcast(_bitmap(single))
-    pairs = shared.cut(sums(texts.mapInArrow(_count_pairs(common), kind)).where(keep), "pairs")
     heavy = min(max(int(total * HOT_SHARE), HOT_LEAST), HOT_MOST)
-    frequent, hot = (spark.sparkContext.broadcast(_bitmap(x)) for x in (pairs, pairs.where(F.col("n") > heavy)))
-    windows = texts.mapInArrow(_project(frequent, hot), "lang string, pair string, spread string, window string, n long")
-    dealt = windows.repartition("lang", "pair", "spread").sortWithinPartitions("lang", "pair")
-    longer = dealt.mapInArrow(_grow(least), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    every = single.unionByName(pairs).unionByName(longer)
+    bits = min(max(int(total // WORDS_A_SLOT).bit_length(), BITS), MOST_BITS)
+    known = [spark.sparkContext.broadcast(_bitmap(single.select("lang", "phrase").mapInArrow(_phrase_hashes, "h long")))]
+    for size in range(2, PRUNED + 1):
+        counts = texts.mapInArrow(_count_slots(list(known), bits), "part int, slot array<smallint>, n array<int>")
+        slots = shared.cut(counts.repartition("part").sortWithinPartitions("part").mapInArrow(_sum_slots(least), "h long, n long"), f"slots{size}")
+        known.append(spark.sparkContext.broadcast(_bitmap(slots)))
+        if size == 2:
+            hot = spark.sparkContext.broadcast(_bitmap(slots.where(F.col("n") > heavy)))
+    windows = texts.mapInArrow(_project(known, hot, bits), "lang string, part int, hot boolean, windows string, n array<int>")
+    dealt = windows.repartition("lang", "part").sortWithinPartitions("lang", "part")
+    every = single.unionByName(sums(dealt.mapInArrow(_grow(least, HELD), kind)).where(F.col("n") >= least))
     size = F.length("phrase") - F.length(F.replace("phrase", F.lit(" "))) + 1
     return shared.cut(every.select("lang", "phrase", size.alias("size"), F.col("n").alias("f")), "phrases"), per_lang
 

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from pulsewarden.llm import collocations
@@ -92,3 +93,29 @@ def test_products_pass_64_bits(spark):
 def test_other_columns_do_not_matter(spark):
     docs = spark.createDataFrame([("x y x y x y", "en", 1, 2, "a", 3)], "text string, lang string, n long, h long, phrase string, pair int")
     assert collocations.collocations(docs, least=2).count() == len(brute([("x y x y x y", "en")], 2, 100, 2000))
+
+
+def _moved(spark):
+    """Bytes and rows that all stages so far wrote for shuffles."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty(30_000)
+    stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    each = [stages.apply(k) for k in range(stages.size())]
+    return np.array([sum(s.shuffleWriteBytes() for s in each), sum(s.shuffleWriteRecords() for s in each)])
+
+
+def test_rare_pairs_of_frequent_words_are_not_moved(spark):
+    rng = random.Random(8)
+    known = [f"word{k}" for k in range(300)]
+    rows = [(" ".join(rng.choices(known, k=300)), "en") for _ in range(1500)] + [("word1 word2 word3", "en")] * 150
+    before = _moved(spark)
+    assert got(spark, rows) == brute(rows, 100, 100, 2000)
+    size, written = _moved(spark) - before
+    assert size < 0.4 * sum(len(text) for text, _ in rows) and written < 0.1 * 1500 * 300
+
+
+def test_pruning_slots_of_any_number_change_nothing(spark, rows, monkeypatch):
+    monkeypatch.setattr(collocations, "WORDS_A_SLOT", 1e-5)
+    assert got(spark, rows, least=3) == brute(rows, 3, 100, 2000)
+    monkeypatch.setattr(collocations, "HELD", 1)
+    assert got(spark, rows, least=3) == brute(rows, 3, 100, 2000)
