@@ -1,7 +1,8 @@
 """One-class support vector machines with an RBF kernel, for many signals and configurations in one plan.
 
 The kernel is mapped to a few features by landmarks (Nystrom: kernel values to the landmarks times the inverse root of
-the landmarks' own kernel matrix). In that space the machine is a smooth convex problem of some hundred numbers a key,
+the landmarks' own kernel matrix). Landmarks are no sample: rows are added, those first of which the features so far lose most, until
+features give the kernel of any two rows within a tolerance. In that space the machine is a smooth convex problem of some hundred numbers a key,
 
     |w|^2 / 2 - rho + sum(hinge(rho - w . f)) / (nu * rows),
 
@@ -22,6 +23,8 @@ from pulsewarden.operators import tables
 from pulsewarden.operators.forest import KEY, ROW, with_config
 from pulsewarden.operators.keyed_sums import keyed_sums
 
+#: Rows of a key among which landmarks are chosen in a pass over all rows.
+CANDIDATES = 1024
 STEPS = np.array([1.0, 0.7, 0.5, 0.3, 0.15, 0.05, 0.01, 0.001])
 
 
@@ -54,6 +57,25 @@ def nystrom(landmarks: np.ndarray, gamma: float) -> Map:
     return Map(landmarks, vectors[:, some] / np.sqrt(values[some]), gamma)
 
 
+def pivots(x: np.ndarray, gamma: float, loss: float, known: Map | None = None, most: int | None = None) -> np.ndarray:
+    """Rows of x to be landmarks beside the known ones: the row with the largest loss, again and again, until none exceeds `loss` or there are `most`.
+
+    The loss of a row is its kernel value to itself less that of its features, 1 - f . f; of two rows, kernel and features differ by the larger loss at most.
+    """
+    f = known(x).T if known else np.empty((0, len(x)))
+    first, f = len(f), np.concatenate([f, np.empty((len(x), len(x)))])
+    left, chosen = 1.0 - (f[:first] ** 2).sum(axis=0), []
+    while len(chosen) < len(x) and (most is None or len(chosen) < most):
+        i, d = int(left.argmax()), first + len(chosen)
+        if left[i] <= loss:
+            break
+        f[d] = (kernel(x, x[i : i + 1], gamma)[:, 0] - f[:d].T @ f[:d, i]) / np.sqrt(left[i])
+        left = left - f[d] ** 2
+        left[i] = 0.0
+        chosen.append(i)
+    return x[chosen]
+
+
 def hinge(u: np.ndarray, width: float) -> np.ndarray:
     """max(u, 0), with a parabola of the given width between its two arms."""
     return np.where(u >= width, u - width / 2, np.maximum(u, 0.0) ** 2 / (2 * width)) if width else np.maximum(u, 0.0)
@@ -62,13 +84,14 @@ def hinge(u: np.ndarray, width: float) -> np.ndarray:
 class OneClassSVM:
     """Machines of several configurations; config k of the rows has nu = nus[k], and rows of other configs are left out.
 
-    At most about `most` rows of a key are fitted, those whose keys hash lowest, as the method to match does. gamma is
+    All rows are fitted, and a key has as many landmarks as bring the kernel of any two of its rows within `loss`. Two options bound this: with `most` about so many rows
+    of a key are fitted, those whose keys hash lowest; with `landmarks` a key has no more of these. gamma is
     one over the features' number times their variance. Scores are rho less w . f, higher where rows are outside. Rows of a
     key without a model have no score; an empty table gives no model.
     """
 
-    def __init__(self, nus: list[float] | None = None, *, most: int = 50_000, landmarks: int = 128, rounds: int = 60, tolerance: float = 1e-4, seed: int = 42):
-        self.name, self.nus, self.most, self.landmarks = "ocsvm", nus or [0.05], most, landmarks
+    def __init__(self, nus: list[float] | None = None, *, most: int | None = None, landmarks: int | None = None, loss: float = 0.01, rounds: int = 60, tolerance: float = 1e-4, seed: int = 42):
+        self.name, self.nus, self.most, self.landmarks, self.loss = "ocsvm", nus or [0.05], most, landmarks, max(loss, 1e-4)
         self.rounds, self.tolerance, self.seed = rounds, tolerance, seed
         self.maps: dict[tuple, Map] = {}
         self.states: dict[tuple, State] = {}
@@ -77,24 +100,51 @@ class OneClassSVM:
     def fit(self, train: DataFrame) -> "OneClassSVM":
         share = F.pmod(F.xxhash64(F.lit(self.seed), "sim", "t"), F.lit(1 << 40)) / float(1 << 40)
         rows = with_config(train).where(F.col("config").between(0, len(self.nus) - 1)).select(*KEY, share.alias("h"), "features")
-        counts = rows.groupBy(*KEY).agg(F.count("*").alias("n"))
-        kept = rows.join(F.broadcast(counts), KEY).where(F.col("h") < self.most / F.col("n"))
-        kept = tables.committed(kept.select(*KEY, "h", "features"), "svm-rows")
+        if self.most is not None:
+            counts = rows.groupBy(*KEY).agg(F.count("*").alias("n"))
+            rows = rows.join(F.broadcast(counts), KEY).where(F.col("h") < self.most / F.col("n"))
+        spread = rows.select(*KEY, "h", "features").repartition(rows.sparkSession.sparkContext.defaultParallelism)  # rows are gone through many times
+        kept = tables.committed(spread, "svm-rows")
         add = lambda of: F.aggregate("features", F.lit(0.0), lambda s, v: s + of(v))
         sized = kept.groupBy(*KEY).agg(F.count("*").alias("n"), F.max(F.size("features")).alias("d"), F.sum(add(lambda v: v)).alias("s"), F.sum(add(lambda v: v * v)).alias("q")).collect()
         if not sized:
             return self
         sizes = {(r.signal, r.config): r.n for r in sized}
         gammas = {(r.signal, r.config): 1.0 / max(r.d * (r.q / (r.n * r.d) - (r.s / (r.n * r.d)) ** 2), 1e-12) for r in sized}
-        listed = kept.sparkSession.createDataFrame([(*k, n) for k, n in sizes.items()], "signal int, config int, n long")
-        near = kept.join(F.broadcast(listed), KEY).where(F.col("h") < F.least(F.lit(float(self.most)), F.col("n")) / F.col("n") * 4.0 * self.landmarks / F.col("n") + 64.0 / F.col("n"))
-        lowest = near.withColumn("place", F.row_number().over(Window.partitionBy(*KEY).orderBy("h", "features"))).where(F.col("place") <= self.landmarks)
-        for key, part in lowest.select(*KEY, "features").toPandas().groupby(KEY):
-            key = (int(key[0]), int(key[1]))
-            self.maps[key] = nystrom(np.unique(np.array(part["features"].tolist(), float), axis=0), gammas[key])
+        self._cover(kept, gammas)
         self._solve(kept.select(*KEY, "features"), sizes)
         return self
 
+    def _cover(self, rows: DataFrame, gammas: dict[tuple, float]) -> None:
+        """Maps of all keys. Each pass over the rows takes those with the largest losses, in equal cases those that hash lowest, and the landmarks among these."""
+        going = dict(gammas)
+        while going:
+            held = rows.sparkSession.sparkContext.broadcast((self.maps, going, self.loss))
+
+            def lost(frames, held=held):
+                maps, known, loss = held.value
+                for frame in frames:
+                    for key, part in frame.groupby(KEY):
+                        key = (int(key[0]), int(key[1]))
+                        if key in known:
+                            left = 1.0 - (maps[key](np.array(part["features"].tolist(), float)) ** 2).sum(axis=1) if key in maps else np.ones(len(part))
+                            yield part.assign(left=left.round(6))[left > loss]
+
+            order = Window.partitionBy(*KEY).orderBy(F.desc("left"), "h", "features")
+            worst = rows.mapInPandas(lost, "signal int, config int, h double, features array<double>, left double").withColumn("place", F.row_number().over(order)).where(F.col("place") <= CANDIDATES)
+            found = worst.toPandas().sort_values("place")
+            held.destroy()
+            more = {}
+            for key, part in found.groupby(KEY):
+                key = (int(key[0]), int(key[1]))
+                known = self.maps.get(key)
+                room = None if self.landmarks is None else self.landmarks - (len(known.landmarks) if known else 0)
+                new = pivots(np.array(part["features"].tolist(), float), gammas[key], self.loss, known, room)
+                if len(new):
+                    more[key] = gammas[key]
+                    self.maps[key] = nystrom(np.concatenate([known.landmarks, new]) if known else new, gammas[key])
+            going = more
+
     def _solve(self, rows: DataFrame, sizes: dict[tuple, int]) -> None:
         means = self._sums(rows, {k: None for k in sizes}, lambda f, _: np.append(f.sum(axis=0), len(f)))
         for key, total in means.items():
@@ -110,7 +160,10 @@ class OneClassSVM:
                 ridge = np.append(np.ones(d - 1), 1e-6)
                 slope = state.weight * total[1 : 1 + d] + state.v * np.append(np.ones(d - 1), 0.0)
                 slope[-1] -= 1.0
-                moves[key] = -np.linalg.solve(state.weight * total[1 + d :].reshape(d, d) + np.diag(ridge), slope)
+                bend = np.zeros((d, d))
+                bend[np.triu_indices(d)] = total[1 + d :]
+                bend = bend + np.triu(bend, 1).T
+                moves[key] = -np.linalg.solve(state.weight * bend + np.diag(ridge), slope)
             tried = self._sums(rows, {k: (going[k], m) for k, m in moves.items()}, _tried)
             for key, losses in tried.items():
                 state, move = going[key], moves[key]
@@ -176,12 +229,12 @@ def _sides(f: np.ndarray) -> np.ndarray:
 
 
 def _slopes(f: np.ndarray, state: State) -> np.ndarray:
-    """Loss, its gradient and its second derivatives, summed over rows."""
+    """Loss, its gradient and the upper triangle of its second derivatives, summed over rows."""
     a = _sides(f)
     u = a @ state.v
     inner = (u > 0) & (u < state.width)
     slope = np.clip(u / state.width, 0.0, 1.0)
-    return np.concatenate([[hinge(u, state.width).sum()], slope @ a, (a[inner].T @ a[inner] / state.width).ravel()])
+    return np.concatenate([[hinge(u, state.width).sum()], slope @ a, (a[inner].T @ a[inner] / state.width)[np.triu_indices(a.shape[1])]])
 
 
 def _tried(f: np.ndarray, given: tuple[State, np.ndarray]) -> np.ndarray:

@@ -73,6 +73,26 @@ def test_rows_are_bounded(spark):
     assert 220 < 1 / (model.states[1, 0].weight * 0.05) < 380 and model.score(rows).count() == 2000
 
 
+def test_all_rows_are_fitted(spark):
+    """Also those of a key with more rows than 50,000."""
+    rows = spark.range(60_000).select(F.lit(1).alias("signal"), F.lit(0).alias("config"), F.lit("s").alias("sim"), F.col("id").cast("int").alias("t"), F.array(F.sin("id"), F.cos(F.col("id") * 7)).alias("features"))
+    model = ocsvm.OneClassSVM(rounds=1).fit(rows)
+    assert round(1 / (model.states[1, 0].weight * 0.05)) == 60_000
+
+
+def test_kernel_features_hold_for_all_rows(spark):
+    """Few rows far from all others count too; landmarks do not depend on how rows are dealt out."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(5000, 2)), 9 + rng.normal(size=(3, 2)), [[-12.0, 14.0]]])
+    rows = spark.createDataFrame([(1, 0, "s", t, v.tolist()) for t, v in enumerate(x)], KIND)
+    maps = [ocsvm.OneClassSVM(rounds=1).fit(rows.repartition(n)).maps[1, 0] for n in (1, 7)]
+    assert np.array_equal(maps[0].landmarks, maps[1].landmarks) and len(maps[0].landmarks) < 500
+    f = maps[0](x)
+    assert (1 - (f**2).sum(axis=1)).max() < 0.0101
+    some = np.r_[:100, 4990:5004]
+    assert np.abs(f @ f[some].T - ocsvm.kernel(x, x[some], maps[0].gamma)).max() < 0.0101
+
+
 @pytest.mark.parametrize("width", [0.0, 0.3])
 def test_rounded_hinge(width):
     u = np.array([-1.0, 0.0, 0.1, 0.3, 2.0])
