@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame
 WIDE = 64
 
 
-def keyed_sums(rows: DataFrame, partial: Callable[[Iterator[pd.DataFrame]], dict[tuple, np.ndarray]], keys: dict[str, str]) -> dict[tuple, np.ndarray]:
+def keyed_sums(rows: DataFrame, partial: Callable[[Iterator[pd.DataFrame]], dict[tuple, np.ndarray]], keys: dict[str, str], most: int = WIDE) -> dict[tuple, np.ndarray]:
     """Sum by key of what `partial` makes of each partition: {key: vector of doubles}.
 
-    keys names the key columns and their types. The driver gets as many vectors a key as there are partitions, or WIDE
+    keys names the key columns and their types. The driver gets as many vectors a key as there are partitions, or `most`
     where there are more; a key's vectors all have one length.
     """
     names = list(keys)
@@ -24,12 +24,12 @@ def keyed_sums(rows: DataFrame, partial: Callable[[Iterator[pd.DataFrame]], dict
     def run(frames):
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId() % WIDE
+        part = TaskContext.get().partitionId() % most
         for key, vector in partial(frames).items():
             yield pd.DataFrame([[*key, part, vector.astype(float).tobytes()]], columns=[*names, "part", "v"])
 
     found = rows.mapInPandas(run, kind)
-    if rows.rdd.getNumPartitions() > WIDE:
+    if rows.rdd.getNumPartitions() > most:
         found = found.groupBy(*names, "part").applyInPandas(_added(names), kind)
     out: dict[tuple, np.ndarray] = {}
     for row in found.collect():

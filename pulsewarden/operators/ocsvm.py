@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from pulsewarden.operators import tables
 from pulsewarden.operators.forest import KEY, ROW, with_config
-from pulsewarden.operators.keyed_sums import keyed_sums
+from pulsewarden.operators.keyed_sums import WIDE, keyed_sums
 
 #: Rows of a key among which landmarks are chosen in a pass over all rows.
 CANDIDATES = 1024
@@ -199,7 +199,9 @@ class OneClassSVM:
             return out
 
         try:
-            return keyed_sums(rows, partial, {"signal": "int", "config": "int"})
+            # second derivatives are large, so tasks add those of up to WIDE partitions before the driver does
+            most = max(1, rows.rdd.getNumPartitions() // WIDE) if of is _slopes else WIDE
+            return keyed_sums(rows, partial, {"signal": "int", "config": "int"}, most)
         finally:
             held.destroy()
 
